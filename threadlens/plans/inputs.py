@@ -101,3 +101,60 @@ def posts_with_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 POSTS_EDGES_SQL = (f"(SELECT post_id AS id, text FROM {POSTS_SQL} UNION ALL "
                    f"SELECT * FROM {edge_rows_sql()})")
+
+
+# An invented lexicon. Categories in dictionary order, then
+# (pattern, category) pairs; a trailing * marks a stem. "the" is shadowed by
+# "th*", "the*" and "thr*" by "th*", "ret*" by "re*"; "unused" never matches.
+LEXICON_CATEGORIES = ("function", "th_words", "re_words", "romance", "german",
+                      "quantity", "unused")
+LEXICON_PAIRS = (
+    ("th*", "th_words"), ("the", "function"), ("the*", "function"), ("thr*", "quantity"),
+    ("and", "function"), ("of", "function"), ("on", "function"), ("is", "function"),
+    ("by", "function"), ("with", "function"), ("re*", "re_words"), ("ret*", "re_words"),
+    ("le", "romance"), ("la", "romance"), ("des", "romance"), ("et", "romance"),
+    ("el", "romance"), ("los", "romance"), ("und", "german"), ("der", "german"),
+    ("die", "german"), ("ein*", "german"), ("one", "quantity"), ("many", "quantity"),
+    ("many", "function"), ("zzq*", "unused"),
+)
+
+
+def lexicon_sql() -> str:
+    vals = ", ".join(f"({sqltext.lit(p)}, {sqltext.lit(c)})" for p, c in LEXICON_PAIRS)
+    return f"(SELECT * FROM (VALUES {vals}) AS t(pattern, category))"
+
+
+def categories_sql() -> str:
+    vals = ", ".join(f"({sqltext.lit(c)}, {i})" for i, c in enumerate(LEXICON_CATEGORIES))
+    return f"(SELECT * FROM (VALUES {vals}) AS t(category, ord))"
+
+
+def token_category_ctes(texts_sql: str) -> str:
+    """CTEs toks(id, tok) and tc(tok, category) for texts_sql(id, c).
+
+    Resolution by a different route than Spark's: per distinct token, the
+    shortest stem that prefixes it, else the exact word.
+    """
+    return f"""
+lex AS {lexicon_sql()},
+pat AS (SELECT DISTINCT CASE WHEN suffix(pattern, '*') THEN left(pattern, length(pattern) - 1)
+               ELSE pattern END AS stem, suffix(pattern, '*') AS wild, category FROM lex),
+toks AS (SELECT id, unnest({sqltext.lexicon_tokens('c')}) AS tok FROM {texts_sql}),
+dt AS (SELECT DISTINCT tok FROM toks),
+wm AS (SELECT d.tok, min(length(p.stem)) AS l FROM dt d JOIN pat p
+       ON p.wild AND starts_with(d.tok, p.stem) GROUP BY d.tok),
+tc AS (SELECT wm.tok, p.category FROM wm JOIN pat p ON p.wild AND p.stem = left(wm.tok, wm.l)
+       UNION ALL
+       SELECT d.tok, p.category FROM dt d JOIN pat p ON NOT p.wild AND p.stem = d.tok
+       WHERE NOT EXISTS (SELECT 1 FROM wm WHERE wm.tok = d.tok))"""
+
+
+def cleaned_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, split, c): documents with the full cleaner applied."""
+    from ..functions import clean
+    d = documents(spark, sf)
+    return d.select("doc_id", split_of("doc_id").alias("split"), clean("text").alias("c"))
+
+
+CLEANED_DOCS_SQL = (f"(SELECT doc_id AS id, {split_sql('doc_id')} AS split, "
+                    f"{sqltext.clean('text')} AS c FROM documents)")
