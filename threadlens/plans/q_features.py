@@ -198,11 +198,12 @@ def scaler_fit_lexicon(spark, sf):
                     F.round("scale", 6).alias("scale"), "n")
 
 
-def _apply_sql(src: str, cols: list[str], prefix: str) -> str:
+def _apply_sql(src: str, cols: list[str], prefix: str, rnd: bool = True) -> str:
     fit = _fit_sql(src, cols, _FIT_WHERE)
+    r0, r1 = ("round(", ", 6)") if rnd else ("(", ")")
     sel = ", ".join(
-        f"round((CAST(s.{c} AS DOUBLE) - max(CASE WHEN f.feature = '{c}' THEN f.mean END)) / "
-        f"max(CASE WHEN f.feature = '{c}' THEN f.scale END), 6) AS {prefix}{c}" for c in cols)
+        f"{r0}(CAST(s.{c} AS DOUBLE) - max(CASE WHEN f.feature = '{c}' THEN f.mean END)) / "
+        f"max(CASE WHEN f.feature = '{c}' THEN f.scale END){r1} AS {prefix}{c}" for c in cols)
     return (f"SELECT s.doc_id, s.split, {sel} FROM {src} s CROSS JOIN {fit} f "
             "GROUP BY s.doc_id, s.split, " + ", ".join(f"s.{c}" for c in cols))
 
