@@ -10,6 +10,14 @@ is hot) runs in one task. Instead:
    buckets before it (its offset);
 4. a window inside each (group, bucket) adds the local running value.
 
+The bucket id must be the same in both uses of the bucketed rows (totals
+and the final window). Range bounds are sampled, and two separately
+planned range exchanges may sample differently, so the range-partitioned
+rows are persisted once and both branches read them. Callers whose order
+key is dense (epochs, positions) or uniform (hashes) can instead pass a
+deterministic ``bucket`` expression, monotone in the order keys, and skip
+the range exchange altogether.
+
 Supported kinds are associative: ``sum``, ``count`` and ``max`` (``max``
 also works on structs, e.g. ``struct(metric, -epoch)`` for "best so far,
 earliest on ties"). Frames are row-based: ties in the order keys are
@@ -34,7 +42,7 @@ def _combine(kind: str, off: Column, local: Column) -> Column:
 
 def running(df: DataFrame, partition_by: list[str], order_by: list[str],
             aggs: dict[str, tuple[str, Column | str]], inclusive: bool = True,
-            buckets: int | None = None) -> DataFrame:
+            buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add running aggregates ``aggs = {out: (kind, column)}`` to ``df``.
 
     ``inclusive`` frames end at the current row; otherwise at the row before.
@@ -46,8 +54,11 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*partition_by, *order_by]
     vals = {f"_v_{o}": as_col(c) for o, (_, c) in aggs.items()}
-    ranged = (df.withColumns(vals).repartitionByRange(n, *keys)
-              .withColumn("_b", F.spark_partition_id()))
+    if bucket is not None:
+        ranged = df.withColumns(vals).withColumn("_b", bucket)
+    else:
+        ranged = (df.withColumns(vals).repartitionByRange(n, *keys)
+                  .withColumn("_b", F.spark_partition_id())).persist()
 
     # (2) per-bucket totals and (3) offsets of the buckets before each one.
     per = ranged.groupBy(*partition_by, "_b").agg(
@@ -57,7 +68,7 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
     offsets = per.select(*partition_by, "_b", *[
         (F.max if k == "max" else F.sum)(f"_t_{o}").over(w_prev).alias(f"_o_{o}")
         for o, (k, _) in aggs.items()])
-    if not partition_by:  # at most ``n`` rows: a proven bound
+    if not partition_by and bucket is None:  # at most ``n`` rows: a proven bound
         offsets = F.broadcast(offsets)
     joined = ranged.join(offsets, [*partition_by, "_b"], "left")
 
@@ -72,7 +83,14 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
 
 
 def positions(df: DataFrame, partition_by: list[str], order_by: list[str],
-              out: str = "pos", buckets: int | None = None) -> DataFrame:
+              out: str = "pos", buckets: int | None = None,
+              bucket: Column | None = None) -> DataFrame:
     """1-based row position within each group by the order keys."""
     return running(df, partition_by, order_by, {out: ("count", F.lit(1))},
-                   buckets=buckets)
+                   buckets=buckets, bucket=bucket)
+
+
+def block_bucket(dense_key: Column | str, block: int = 4096) -> Column:
+    """Deterministic bucket for a dense integer key: blocks of ``block`` values,
+    so no bucket holds more than ``block`` rows per group."""
+    return F.floor(as_col(dense_key) / F.lit(block)).cast("long")
