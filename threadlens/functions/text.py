@@ -50,7 +50,8 @@ def word_tokens(text: Column | str) -> Column:
 
 
 def word_count(text: Column | str) -> Column:
-    return F.size(word_tokens(text)).cast("long")
+    """Number of word tokens, counted without materialising them."""
+    return F.regexp_count(fill_empty(text), F.lit(WORD_TOKEN)).cast("long")
 
 
 def char_count(text: Column | str) -> Column:

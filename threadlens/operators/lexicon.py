@@ -121,7 +121,14 @@ def token_matches(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexic
 
 def lexicon_counts(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexicon) -> DataFrame:
     """Long form: (id, category, n) for categories that occur."""
-    m = token_matches(df, id_col, text_col, lex)
+    toks = lexicon_tokens(as_col(text_col))
+    cands = F.flatten(F.transform(toks, lambda t: _candidates(t, lex.stem_lengths)))
+    ex = df.select(id_col, F.explode(cands).alias("_c")).select(
+        id_col, F.col("_c.key").alias("_key"), F.col("_c.wild").alias("_wild"))
+    pats = broadcast_if_bounded(
+        lex.patterns.select(F.col("key").alias("_key"), F.col("wild").alias("_wild"), "category"),
+        lex.n_patterns)
+    m = ex.join(pats, ["_key", "_wild"])
     return m.groupBy(id_col, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -129,10 +136,23 @@ def lexicon_vector(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexi
                    carry: tuple[str, ...] = (), out: str = "lex_vec") -> DataFrame:
     """Zero-filled ``array<long>`` of category counts in dictionary order.
 
-    One shuffle on the id, after a map-side partial aggregate collapses each
-    text's matches to one row; empty and null texts give all zeros.
+    All candidate keys of a text are generated in one array and exploded
+    once; the inner broadcast join drops non-matching candidates at once.
+    Each text also carries one sentinel key (the empty string, never a
+    token) that matches a sentinel row, so texts without any match - empty
+    and null ones included - still reach the aggregate and get all zeros.
+    One shuffle on the id, after a map-side partial aggregate.
     """
-    m = token_matches(df, id_col, text_col, lex, outer=True, carry=carry)
+    toks = lexicon_tokens(as_col(text_col))
+    sentinel = F.array(F.struct(F.lit("").alias("key"), F.lit(False).alias("wild")))
+    cands = F.concat(sentinel, F.flatten(F.transform(toks, lambda t: _candidates(t, lex.stem_lengths))))
+    ex = df.select(id_col, *carry, F.explode(cands).alias("_c")).select(
+        id_col, *carry, F.col("_c.key").alias("_key"), F.col("_c.wild").alias("_wild"))
+    spark = df.sparkSession
+    marker = spark.createDataFrame([("", False, None, -1)], "_key string, _wild boolean, category string, ord int")
+    pats = lex.patterns.select(F.col("key").alias("_key"), F.col("wild").alias("_wild"), "category", "ord")
+    pats = broadcast_if_bounded(pats.unionByName(marker), lex.n_patterns + 1)
+    m = ex.join(pats, ["_key", "_wild"])
     sums = [F.sum(F.when(F.col("ord") == i, 1).otherwise(0)).cast("long").alias(f"_c{i}")
             for i in range(lex.width)]
     g = m.groupBy(id_col, *carry).agg(*sums)

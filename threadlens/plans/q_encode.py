@@ -12,6 +12,7 @@ from ..operators import lexicon as LX
 from . import inputs as I
 from . import sqltext as S
 from .q_features import _lexicon, _vector_sql
+from ..sources.tables import read_table
 from .registry import register
 
 VOCAB_SIZE, MAX_LEN = 2000, 512
@@ -56,7 +57,7 @@ _CONV_SQL = f"(SELECT conv_id, turn, {S.clean('text')} AS c FROM conversations)"
 @register("encode_ids", f"SELECT conv_id, turn, n_tokens, input_ids FROM {_encode_sql(_CONV_SQL, ['conv_id', 'turn'])}")
 def encode_ids(spark, sf):
     """Replies encoded with the document vocabulary: CLS ids SEP, 512 max."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet").select(
+    c = read_table(spark, sf, "conversations").select(
         "conv_id", "turn", tf.clean("text").alias("c"))
     e = EN.encode(c, ["conv_id", "turn"], "c", _vocab(spark, sf), VOCAB_SIZE, MAX_LEN)
     return e.select("conv_id", "turn", "n_tokens", _ids_str("input_ids").alias("input_ids"))
@@ -112,7 +113,7 @@ _SAMPLES_SQL = (
           f"SELECT s.*, CAST(l.quality AS INTEGER) AS label FROM {_SAMPLES_SQL} s JOIN labels l ON l.doc_id = s.doc_id")
 def labelled_samples(spark, sf):
     """Sample rows (ids, statistics, lexicon counts) with their label."""
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select(
+    lab = read_table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     return _samples(spark, sf).join(lab, "doc_id")
 
@@ -121,5 +122,5 @@ def labelled_samples(spark, sf):
           f"SELECT s.* FROM {_SAMPLES_SQL} s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id)")
 def unlabelled_samples(spark, sf):
     """Sample rows of documents that carry no label."""
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id")
+    lab = read_table(spark, sf, "labels").select("doc_id")
     return _samples(spark, sf).join(lab, "doc_id", "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import evaluate as E
 from . import inputs as I
+from ..sources.tables import read_table
 from .registry import register
 
 # Display names of the two post classes.
@@ -21,7 +22,7 @@ BINARY_NAMES = ((0, "WIP"), (1, "Complete"))
 
 def binary_input(spark, sf):
     d = I.documents(spark, sf).select("doc_id", "n_chars")
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id")
     return j.select("doc_id", I.split_of("doc_id").alias("split"),
                     F.col("quality").cast("int").alias("label"),
@@ -35,7 +36,7 @@ BINARY_SQL = (f"(SELECT d.doc_id, {I.split_sql('d.doc_id')} AS split, CAST(l.qua
 
 
 def multi_input(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = read_table(spark, sf, "embeddings")
     head = F.slice("embedding", 1, 10)
     return e.select("vec_id", I.split_of("vec_id").alias("split"),
                     F.col("label").cast("int").alias("label"),

@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources.lexicon_file import read_dic, write_dic
 from . import inputs as I
 from . import sqltext as S
+from ..sources.tables import read_table
 from .registry import register
 
 FIT_SPLITS = ("train", "validate")
@@ -107,7 +108,7 @@ def null_text_policy(spark, sf):
 
 def _labelled(spark, sf):
     d = I.documents(spark, sf).select("doc_id", I.split_of("doc_id").alias("split"))
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select(
+    lab = read_table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     return d.join(lab, "doc_id")
 

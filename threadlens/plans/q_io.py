@@ -18,6 +18,7 @@ from .q_features import FIT_SPLITS, LEX_COLS
 from .q_score import FUSION, HEAD, _LOGITS_SQL, _fusion_sql, featurized
 from .q_text import _stats_sql
 from . import sqlmodel as M
+from ..sources.tables import read_table
 from .registry import register
 
 _NA_SQL = ", ".join(S.lit(w) for w in NA_WORDS)
@@ -29,7 +30,7 @@ _NA_SQL = ", ".join(S.lit(w) for w in NA_WORDS)
 def csv_roundtrip(spark, sf):
     """Cleaned, labelled documents written as split CSV folders and read back."""
     d = I.cleaned_docs(spark, sf)
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select(
+    lab = read_table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("label"))
     rows = d.join(lab, "doc_id", "left").select("doc_id", F.col("c").alias("content_cleaned"),
                                                 "label", "split")
@@ -76,7 +77,7 @@ def fit_fused_classifier(spark, sf):
     fit_rows = f.filter(F.col("split").isin(*FIT_SPLITS))
     ms = ScalerModel.from_df(fit_scaler(fit_rows, {n: n for n in STAT_NAMES}))
     ml = ScalerModel.from_df(fit_array_scaler(fit_rows, "lex_vec", LEX_COLS))
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select(
+    lab = read_table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("double").alias("label"))
     x = f.join(lab, "doc_id").select(
         "doc_id", "split", "label", array_to_vector("x").alias("vx"),

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..session import scratch_path
 from ..sources import runlog
+from ..sources.tables import read_table
 from .registry import register
 
 PATIENCE, MAX_EPOCHS, TOP_K = 3, 300, 10
 
 
 def history(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = read_table(spark, sf, "events")
     d = e.groupBy(F.col("user_id").alias("run_id"), F.to_date("ts").alias("day")).agg(
         (F.count_if(F.col("event_type") == "purchase") / F.count(F.lit(1))).alias("metric"),
         (F.count_if(F.col("event_type") == "click") / F.count(F.lit(1))).alias("test_metric"),
@@ -143,7 +144,7 @@ def metrics_from_log(spark, sf):
           f"SELECT run_id, epoch, 'validate' AS split, 'purchase_rate' AS metric, round(metric, 9) AS value FROM {HISTORY_SQL} "
           f"UNION ALL SELECT run_id, epoch, 'test', 'click_rate', round(test_metric, 9) FROM {HISTORY_SQL})")
 def metrics_append(spark, sf):
-    """Append validation then test metrics to a run-partitioned table; read back."""
+    """Append validation then test metrics to the metrics table; read back."""
     h = history(spark, sf)
     path = scratch_path(spark, "metrics")
     for split, name, col in (("validate", "purchase_rate", "metric"), ("test", "click_rate", "test_metric")):

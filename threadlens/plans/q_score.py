@@ -15,6 +15,7 @@ from ..operators.score import FusionModel, head_scores, mean_batch_loss, rule_li
 from . import inputs as I
 from . import sqlmodel as M
 from .q_features import FIT_SPLITS, LEX_COLS, _apply_sql, _lexicon, _LEX_WIDE_SQL, _STATS_SQL
+from ..sources.tables import read_table
 from .registry import register
 
 EMB_DIM = 64
@@ -27,7 +28,7 @@ _EMB_IN = [f"embedding[{i + 1}]" for i in range(EMB_DIM)]
 
 
 def _emb(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = read_table(spark, sf, "embeddings")
     return e.select("vec_id", I.split_of("vec_id").alias("split"),
                     F.col("label").cast("int").alias("label"),
                     F.col("embedding").cast("array<double>").alias("x"))
@@ -127,7 +128,7 @@ def featurized(spark, sf):
     aggregate (statistics ride along), one join to the content vectors."""
     d = I.cleaned_docs(spark, sf).select("doc_id", "split", "c", *tf.stat_columns("c"))
     v = LX.lexicon_vector(d, "doc_id", "c", _lexicon(spark), carry=("split", *STAT_NAMES))
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+    e = read_table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
     j = v.join(e, "doc_id", "left")
     return j.withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), EMB_DIM)))

@@ -8,6 +8,7 @@ from .. import functions as tf
 from ..functions.text import STAT_NAMES
 from . import inputs as I
 from . import sqltext as S
+from ..sources.tables import read_table
 from .registry import register
 
 
@@ -52,7 +53,7 @@ _FLAGS_OFF = {"quote": False, "link": False, "table": False}
           f"SELECT conv_id, turn, {S.clean('text', **_FLAGS_OFF)} AS cleaned FROM conversations")
 def clean_flags_off(spark, sf):
     """Replies cleaned with the quote, link and table stages switched off."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    c = read_table(spark, sf, "conversations")
     return c.select("conv_id", "turn", tf.clean("text", **_FLAGS_OFF).alias("cleaned"))
 
 
@@ -122,7 +123,7 @@ def quality_profile(spark, sf):
     partially on the map side.
     """
     d = I.documents(spark, sf).select("doc_id", *tf.stat_columns(tf.clean("text")))
-    lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id")
     return j.groupBy("quality").agg(
         F.count(F.lit(1)).alias("n_docs"),

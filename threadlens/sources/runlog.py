@@ -36,12 +36,17 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("message", MESSAGE, 2).alias("value_text"))
 
 
-def append_metrics(df: DataFrame, path: str, run: str = "run_id") -> None:
-    """Append (run, epoch, split, metric, value) rows, partitioned by run.
-
-    Rows are clustered by run first so each task writes few run folders.
+def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch",
+                   partition_by: tuple[str, ...] = ("split",)) -> None:
+    """Append (run, epoch, split, metric, value) rows.
+
+    Folders follow a low-cardinality column (the split); inside the files
+    rows are sorted by (run, epoch), so a filter on a run skips row groups by
+    their min/max statistics. One folder per run would turn thousands of
+    runs into thousands of tiny files per append.
     """
-    df.repartition(run).write.mode("append").partitionBy(run).parquet(path)
+    (df.repartition(*partition_by).sortWithinPartitions(*partition_by, run, epoch)
+     .write.mode("append").partitionBy(*partition_by).parquet(path))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

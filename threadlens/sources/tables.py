@@ -8,9 +8,36 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# Unique key of each table we read: spreading on it cannot skew.
+TABLE_KEYS = {
+    "documents": ("doc_id",), "labels": ("doc_id",), "pages": ("page_id",),
+    "conversations": ("conv_id", "turn"), "embeddings": ("vec_id",),
+    "events": ("event_id",), "benchmark": ("item_id",),
+}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Hash-partition a scan on its unique key when it has too few partitions.
+
+    A large input is read by as many tasks as it has splits, and this is a
+    no-op. A small input in one file/row group would run the whole fused
+    text stage in one task; then we spread it over ``shuffle.partitions``
+    buckets of its key (which later per-key aggregates and joins reuse).
+    Only the pruned columns cross this shuffle.
+    """
+    spark = df.sparkSession
+    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(target, parallelism):
+        return df
+    return df.repartition(target, *keys)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
     """Read one table; column pruning and filters reach the parquet scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_rows and name in TABLE_KEYS:
+        df = spread(df, TABLE_KEYS[name])
+    return df
