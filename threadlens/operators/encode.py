@@ -45,10 +45,10 @@ def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame,
     ex = toks.select(*keys, *carry, F.size("_t").cast("long").alias("n_tokens"),
                      F.posexplode_outer("_t").alias("pos", "token"))
     ex = ex.filter(F.col("pos").isNull() | (F.col("pos") < max_len - 2))
-    v = broadcast_if_bounded(vocab.select("token", "id"), vocab_size)
+    v = broadcast_if_bounded(vocab.select("token", F.col("id").alias("_tid")), vocab_size)
     j = ex.join(v, "token", "left")
     item = F.when(F.col("pos").isNotNull(),
-                  F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id")))
+                  F.struct(F.col("pos"), F.coalesce(F.col("_tid"), F.lit(UNK)).alias("id")))
     g = j.groupBy(*keys, *carry, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("_p"))
     ids = F.concat(F.array(F.lit(CLS)), F.transform("_p", lambda s: s["id"]), F.array(F.lit(SEP)))
     return g.select(*keys, *carry, ids.alias("input_ids"), "n_tokens")
