@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import running
-from .util import safe_div
+from .util import broadcast_if_bounded, safe_div
 
 
 def confusion(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,7 +71,7 @@ def class_report(df: DataFrame, label: str, pred: str, names: DataFrame | None =
     """
     pc = per_class(class_counts(df, label, pred, by))
     if names is not None:
-        pc = pc.join(F.broadcast(names), "cls", "left")
+        pc = pc.join(broadcast_if_bounded(names, names.count()), "cls", "left")
     else:
         pc = pc.withColumn("name", F.lit(None).cast("string"))
     rows = pc.select(*by, F.coalesce("name", F.col("cls").cast("string")).alias("row"),

@@ -44,13 +44,14 @@ def pattern_table(raw: DataFrame) -> DataFrame:
         wild.alias("wild"), F.col("category")).distinct()
 
 
-def effective_patterns(pats: DataFrame) -> DataFrame:
+def effective_patterns(pats: DataFrame, n_patterns: int) -> DataFrame:
     """Drop patterns shadowed by a shorter (or equal, for words) stem."""
-    stems = pats.filter("wild").select(F.col("key").alias("stem")).distinct()
+    stems = broadcast_if_bounded(
+        pats.filter("wild").select(F.col("key").alias("stem")).distinct(), n_patterns)
     pre = (pats.select("key", "wild").distinct()
            .select("key", "wild", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n"))
            .select("key", "wild", "n", F.expr("substring(key, 1, n)").alias("prefix")))
-    shadowed = (pre.join(F.broadcast(stems), pre.prefix == stems.stem)
+    shadowed = (pre.join(stems, pre.prefix == stems.stem)
                 .filter((~F.col("wild") & (F.col("n") <= F.length("key")))
                         | (F.col("wild") & (F.col("n") < F.length("key"))))
                 .select("key", "wild").distinct())
@@ -64,12 +65,14 @@ def build_lexicon(raw: DataFrame, categories: list[str] | None = None) -> Lexico
     sorted distinct categories. The dictionary is small and bounded, so its
     metadata is collected once here.
     """
-    eff = effective_patterns(pattern_table(raw))
+    n_raw = raw.count()
+    eff = effective_patterns(pattern_table(raw), n_raw)
     if categories is None:
         categories = sorted(r[0] for r in raw.select("category").distinct().collect())
     ords = raw.sparkSession.createDataFrame(
         [(c, i) for i, c in enumerate(categories)], "category string, ord int")
-    eff = eff.join(F.broadcast(ords), "category").select("key", "wild", "category", "ord")
+    eff = eff.join(broadcast_if_bounded(ords, len(categories)), "category") \
+        .select("key", "wild", "category", "ord")
     eff = eff.cache()
     meta = eff.agg(F.count(F.lit(1)).alias("n"),
                    F.array_sort(F.collect_set(F.when(F.col("wild"), F.length("key")))).alias("lens")

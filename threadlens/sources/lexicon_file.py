@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lexicon import Lexicon, build_lexicon
+from ..operators.util import broadcast_if_bounded
 
 
 def read_dic_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +35,7 @@ def read_dic_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.explode(F.slice("f", 2, 1_000_000)).alias("id_s"))
     terms = terms.filter(F.col("id_s").rlike("^[0-9]+$")).select(
         "pattern", F.col("id_s").cast("int").alias("id"))
-    pairs = terms.join(F.broadcast(cats), "id").select("pattern", "category")
+    pairs = terms.join(broadcast_if_bounded(cats, cats.count()), "id").select("pattern", "category")
     return cats, pairs
 
 
