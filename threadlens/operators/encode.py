@@ -37,6 +37,17 @@ def vocabulary(df: DataFrame, text: Column | str, size: int) -> DataFrame:
                       .cast("int").alias("id"), "n")
 
 
+def fit_vocabulary(df: DataFrame, text: Column | str, size: int) -> DataFrame:
+    """Compute the vocabulary once and keep it as a local table.
+
+    Like any fitted model it is bounded by its parameter (``size`` rows), so
+    it is collected; plans that encode several times then share a small
+    local relation instead of recomputing the corpus counts.
+    """
+    rows = vocabulary(df, text, size).collect()
+    return df.sparkSession.createDataFrame(rows, "token string, id int, n long")
+
+
 def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame, vocab_size: int,
            max_len: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., carry..., input_ids array<int>, n_tokens): CLS ids SEP, with

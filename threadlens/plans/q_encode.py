@@ -23,7 +23,7 @@ def _ids_str(c):
 
 
 def _vocab(spark, sf):
-    return EN.vocabulary(I.cleaned_docs(spark, sf), "c", VOCAB_SIZE)
+    return EN.fit_vocabulary(I.cleaned_docs(spark, sf), "c", VOCAB_SIZE)
 
 
 _TOKS = f"regexp_extract_all(lower(coalesce(c, '')), {S.lit(WORD_TOKEN)}, 0)"
@@ -35,7 +35,7 @@ VOCAB_SQL = (f"(SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) +
 @register("vocabulary", f"SELECT token, id, n FROM {VOCAB_SQL}")
 def vocabulary(spark, sf):
     """Top tokens of the cleaned documents, ids after the special ids."""
-    return _vocab(spark, sf)
+    return EN.vocabulary(I.cleaned_docs(spark, sf), "c", VOCAB_SIZE)
 
 
 def _encode_sql(src, keys):

@@ -70,7 +70,8 @@ def confusion_matrix(spark, sf):
           "SELECT split, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END, 9) AS precision, "
           "round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END, 9) AS recall, "
           "round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END, 9) AS f1, "
-          "tp, fp, fn FROM (SELECT split, count_if(label = 1 AND prediction = 1) AS tp, "
+          "CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn FROM (SELECT split, "
+          "count_if(label = 1 AND prediction = 1) AS tp, "
           "count_if(label <> 1 AND prediction = 1) AS fp, count_if(label = 1 AND prediction <> 1) AS fn "
           f"FROM {BINARY_SQL} GROUP BY split)")
 def binary_prf(spark, sf):

@@ -103,6 +103,7 @@ def stream_clean_stats(spark, sf):
     """Documents as a file stream -> cleaner + statistics -> parquet sink
     (availableNow, checkpointed), read back."""
     src = ST.file_stream(spark, sf, _DOC_SCHEMA, glob="documents.parquet")
+    src = ST.stream_spread(spark, src, ("doc_id",), sf, _DOC_SCHEMA, glob="documents.parquet")
     out = ST.stream_text_features(src, "doc_id", "text")
     base = scratch_path(spark, "stream-text")
     ST.run_available_now(out, f"{base}/sink", f"{base}/checkpoint")

@@ -28,7 +28,7 @@ def history(spark, sf):
         (F.count_if(F.col("event_type") == "click") / F.count(F.lit(1))).alias("test_metric"),
         F.avg("value").alias("loss"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     # per-run window over days (bounded by the number of days, not events)
-    return d.withColumn("epoch", F.row_number().over(Window.partitionBy("run_id").orderBy("day")))
+    return d.withColumn("epoch", F.row_number().over(Window.partitionBy("run_id").orderBy("day")).cast("long"))
 
 
 HISTORY_SQL = (
