@@ -114,7 +114,8 @@ def run_leaderboard(spark, sf):
 def epoch_elapsed(spark, sf):
     """Seconds between the first and last logged time of each epoch."""
     h = history(spark, sf)
-    us = F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
+    # timestampdiff works on the stored wall-clock values: no session time zone
+    us = F.expr("timestampdiff(MICROSECOND, t0, t1)")
     return h.select("run_id", "epoch", F.round(us / F.lit(1e6), 6).alias("elapsed_sec"))
 
 
