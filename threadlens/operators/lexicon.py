@@ -97,29 +97,15 @@ def _candidates(tok: Column, stem_lengths: list[int]) -> Column:
     return F.concat(pref, exact)
 
 
-def match_tokens(df: DataFrame, tok_col: str, lex: Lexicon, outer: bool = False) -> DataFrame:
+def match_tokens(df: DataFrame, tok_col: str, lex: Lexicon) -> DataFrame:
     """Add ``category``/``ord`` to rows holding a token (one row per category)."""
-    explode = F.explode_outer if outer else F.explode
-    cols = [c for c in df.columns]
-    cands = df.select(*cols, explode(_candidates(F.col(tok_col), lex.stem_lengths)).alias("_c"))
+    cols = list(df.columns)
+    cands = df.select(*cols, F.explode(_candidates(F.col(tok_col), lex.stem_lengths)).alias("_c"))
     cands = cands.select(*cols, F.col("_c.key").alias("_key"), F.col("_c.wild").alias("_wild"))
     pats = broadcast_if_bounded(
         lex.patterns.select(F.col("key").alias("_key"), F.col("wild").alias("_wild"),
                             "category", "ord"), lex.n_patterns)
-    how = "left" if outer else "inner"
-    return cands.join(pats, ["_key", "_wild"], how).select(*cols, "category", "ord")
-
-
-def token_matches(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexicon,
-                  outer: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (token occurrence, category) it falls in.
-
-    With ``outer`` every input row survives at least once (category null),
-    so that texts without a match still reach a following aggregate.
-    """
-    explode = F.explode_outer if outer else F.explode
-    toks = df.select(id_col, *carry, explode(lexicon_tokens(as_col(text_col))).alias("tok"))
-    return match_tokens(toks, "tok", lex, outer).select(id_col, *carry, "category", "ord")
+    return cands.join(pats, ["_key", "_wild"]).select(*cols, "category", "ord")
 
 
 def lexicon_counts(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexicon) -> DataFrame:
