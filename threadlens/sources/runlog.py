@@ -43,9 +43,10 @@ def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "
     Folders follow a low-cardinality column (the split); inside the files
     rows are sorted by (run, epoch), so a filter on a run skips row groups by
     their min/max statistics. One folder per run would turn thousands of
-    runs into thousands of tiny files per append.
+    runs into thousands of tiny files per append; repartitioning by the
+    split would leave one task per split value writing everything.
     """
-    (df.repartition(*partition_by).sortWithinPartitions(*partition_by, run, epoch)
+    (df.sortWithinPartitions(*partition_by, run, epoch)
      .write.mode("append").partitionBy(*partition_by).parquet(path))
 
 
