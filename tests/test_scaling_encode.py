@@ -27,7 +27,7 @@ def test_encode_truncate_pad_mask(spark):
     assert e[1].input_ids == [CLS, 4, 5, 4, UNK, SEP]
     assert e[3].input_ids == [CLS, SEP]
     assert len(e[4].input_ids) == 8 and e[4].n_tokens == 600   # whole text counted
-    p = pad(encode(docs, ["id"], "t", voc, 2, max_len=8).withColumn("g", F.lit(1)), ["g"]).collect()
+    p = pad(encode(docs, ["id"], "t", voc, 2, max_len=8).withColumn("g", F.lit(1)), ["g"], max_groups=1).collect()
     for r in p:
         assert len(r.input_ids) == 8 and len(r.attention_mask) == 8
         n = sum(r.attention_mask)

@@ -65,14 +65,16 @@ def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame,
     return g.select(*keys, *carry, ids.alias("input_ids"), "n_tokens")
 
 
-def pad(encoded: DataFrame, by: list[str], ids: str = "input_ids") -> DataFrame:
+def pad(encoded: DataFrame, by: list[str], max_groups: int, ids: str = "input_ids") -> DataFrame:
     """Pad to the longest sequence of each group (e.g. split) and add the mask.
 
-    The per-group maxima form a table with one row per group; it is joined
-    back (broadcast when the group count is small, by AQE's measured size).
+    The per-group maxima form a table with one row per group, at most
+    ``max_groups`` (the caller's domain, e.g. three splits); it is
+    broadcast back. A shuffle join on a key with so few values would put
+    all rows into a handful of tasks.
     """
     longest = encoded.groupBy(*by).agg(F.max(F.size(ids)).alias("_max"))
-    j = encoded.join(longest, by)
+    j = encoded.join(broadcast_if_bounded(longest, max_groups), by)
     n = F.size(ids)
     fill = F.col("_max") - n
     return j.withColumns({

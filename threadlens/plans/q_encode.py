@@ -77,7 +77,7 @@ def encode_padded_mask(spark, sf):
     """Documents encoded, padded to the longest of their split, with masks."""
     d = I.cleaned_docs(spark, sf)
     e = EN.encode(d, ["doc_id"], "c", _vocab(spark, sf), VOCAB_SIZE, MAX_LEN, carry=("split",))
-    p = EN.pad(e, ["split"])
+    p = EN.pad(e, ["split"], max_groups=len(I.SPLITS))
     return p.select("doc_id", "split", F.size("input_ids").alias("padded_len"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
                     _ids_str("input_ids").alias("input_ids"),
