@@ -73,11 +73,13 @@ def build_lexicon(raw: DataFrame, categories: list[str] | None = None) -> Lexico
         [(c, i) for i, c in enumerate(categories)], "category string, ord int")
     eff = eff.join(broadcast_if_bounded(ords, len(categories)), "category") \
         .select("key", "wild", "category", "ord")
-    eff = eff.cache()
-    meta = eff.agg(F.count(F.lit(1)).alias("n"),
-                   F.array_sort(F.collect_set(F.when(F.col("wild"), F.length("key")))).alias("lens")
-                   ).first()
-    return Lexicon(eff, list(categories), [int(x) for x in meta["lens"]], int(meta["n"]))
+    # The surviving patterns are bounded by the dictionary: keep them as a
+    # small local table so data plans carry no dictionary sub-plan.
+    rows = eff.collect()
+    table = raw.sparkSession.createDataFrame(
+        rows, "key string, wild boolean, category string, ord int")
+    lens = sorted({len(r["key"]) for r in rows if r["wild"]})
+    return Lexicon(table, list(categories), lens, len(rows))
 
 
 def lexicon_from_pairs(spark: SparkSession, pairs, categories=None) -> Lexicon:

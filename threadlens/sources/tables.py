@@ -26,6 +26,8 @@ def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Only the pruned columns cross this shuffle.
     """
     spark = df.sparkSession
+    if spark.conf.get("threadlens.spreadSmallScans", "true") == "false":
+        return df
     target = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parallelism = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= min(target, parallelism):

@@ -23,6 +23,8 @@ def stream_spread(spark: SparkSession, src: DataFrame, keys: tuple[str, ...], pa
     files already yields many tasks per micro-batch and is left alone; one
     unsplittable file would otherwise put a whole batch in one task.
     """
+    if spark.conf.get("threadlens.spreadSmallScans", "true") == "false":
+        return src
     r = spark.read.schema(schema).format(fmt)
     if glob:
         r = r.option("pathGlobFilter", glob)
