@@ -216,7 +216,9 @@ def scaler_apply(spark, sf):
     The fit is one global aggregate (six rows collected, like any fitted
     model); applying it is plain arithmetic in the same Project.
     """
-    s = _stats_frame(spark, sf)
+    # seven longs per document: far smaller than the text, so keep them
+    # rather than run the cleaner again for the apply pass
+    s = _stats_frame(spark, sf).persist()
     model = ScalerModel.from_df(fit_scaler(s.filter(F.col("split").isin(*FIT_SPLITS)),
                                            {n: n for n in STAT_NAMES}))
     return s.select("doc_id", "split", *[F.round(model.column(n, n), 6).alias(f"z_{n}")
