@@ -24,7 +24,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="threadlens-bench")
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="threadlens-bench",
+                        driver_memory=os.environ.get("BENCH_DRIVER_MEM", "4g"))
     from threadlens.plans import QUERIES
 
     names = only or sorted(QUERIES)

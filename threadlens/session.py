@@ -10,11 +10,17 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "threadlens") -> SparkSession:
-    """A session tuned for these plans; reuses an active one if present."""
+                app_name: str = "threadlens", driver_memory: str | None = None) -> SparkSession:
+    """A session tuned for these plans; reuses an active one if present.
+
+    ``driver_memory`` only takes effect when this call starts the JVM
+    (local mode: the driver heap is the executors' heap).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     conf = {
         "spark.ui.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
