@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import functions as tf
 from ..functions.patterns import WORD_TOKEN
-from ..functions.text import STAT_NAMES
 from ..operators import encode as EN
-from ..operators import lexicon as LX
+from ..operators.samples import assemble_samples
+from ..sources.tables import read_table
 from . import inputs as I
 from . import sqltext as S
 from .q_features import _lexicon, _vector_sql
-from ..sources.tables import read_table
 from .registry import register
 
 VOCAB_SIZE, MAX_LEN = 2000, 512
@@ -84,20 +83,15 @@ def encode_padded_mask(spark, sf):
                     _ids_str("attention_mask").alias("attention_mask"))
 
 
-def _samples(spark, sf):
-    """(doc_id, split, input_ids, stat_vec, lex_vec) for every document.
-
-    Statistics ride through the lexicon aggregate; ids come from a second
-    aggregate on the same key, so the two sides are co-partitioned by
-    doc_id and their join adds no exchange.
-    """
-    d = I.cleaned_docs(spark, sf).select("doc_id", "split", "c", *tf.stat_columns("c"))
-    v = LX.lexicon_vector(d, "doc_id", "c", _lexicon(spark), carry=("split", *STAT_NAMES))
-    e = EN.encode(d, ["doc_id"], "c", _vocab(spark, sf), VOCAB_SIZE, MAX_LEN)
-    j = v.join(e, "doc_id")
-    return j.select("doc_id", "split", _ids_str("input_ids").alias("input_ids"),
-                    F.concat_ws(",", *[F.col(n).cast("string") for n in STAT_NAMES]).alias("stat_vec"),
-                    F.array_join(F.transform("lex_vec", lambda x: x.cast("string")), ",").alias("lex_vec"))
+def _samples(spark, sf, labelled):
+    """Sample records, shown with ids and vectors as strings for the oracle."""
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    s = assemble_samples(I.cleaned_docs(spark, sf), "doc_id", "c", _lexicon(spark), _vocab(spark, sf),
+                         VOCAB_SIZE, MAX_LEN, labels=lab, labelled=labelled)
+    cols = ["doc_id", "split", _ids_str("content.input_ids").alias("input_ids"),
+            F.array_join(F.transform("stat_vec", lambda x: x.cast("long").cast("string")), ",").alias("stat_vec"),
+            F.array_join(F.transform("lex_vec", lambda x: x.cast("long").cast("string")), ",").alias("lex_vec")]
+    return s.select(*cols, "label") if labelled else s.select(*cols)
 
 
 _SAMPLES_SQL = (
@@ -113,14 +107,11 @@ _SAMPLES_SQL = (
           f"SELECT s.*, CAST(l.quality AS INTEGER) AS label FROM {_SAMPLES_SQL} s JOIN labels l ON l.doc_id = s.doc_id")
 def labelled_samples(spark, sf):
     """Sample rows (ids, statistics, lexicon counts) with their label."""
-    lab = read_table(spark, sf, "labels").select(
-        "doc_id", F.col("quality").cast("int").alias("label"))
-    return _samples(spark, sf).join(lab, "doc_id")
+    return _samples(spark, sf, labelled=True)
 
 
 @register("unlabelled_samples",
           f"SELECT s.* FROM {_SAMPLES_SQL} s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id)")
 def unlabelled_samples(spark, sf):
     """Sample rows of documents that carry no label."""
-    lab = read_table(spark, sf, "labels").select("doc_id")
-    return _samples(spark, sf).join(lab, "doc_id", "left_anti")
+    return _samples(spark, sf, labelled=False)
