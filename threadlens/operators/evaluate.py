@@ -111,3 +111,33 @@ def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (),
     pn = F.col("n_pos") * F.col("n_neg")
     return a.select(*by, F.when(pn == 0, F.lit(None).cast("double"))
                     .otherwise(F.col("_u") / pn.cast("double")).alias("auc"), "n_pos", "n_neg")
+
+
+def epoch_metrics(scored: DataFrame, label: str = "label", pred: str = "prediction",
+                  score: str | None = "score", loss: str | None = "loss",
+                  batch: str | None = None, by: tuple[str, ...] = ("split",)) -> DataFrame:
+    """One epoch's evaluation as long rows (by..., metric, value).
+
+    Binary precision / recall / F1, AUC (when ``score`` is given) and the
+    loss (mean of batch means when ``batch`` is given, else the row mean),
+    per group - the record appended to the metrics table each epoch.
+    """
+    parts = []
+    prf = binary_prf(scored, label, pred, by)
+    parts.append(prf.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+        for m in ("precision", "recall", "f1")])).alias("r")).select(*by, "r.*"))
+    if score is not None:
+        a = roc_auc(scored, label, score, by)
+        parts.append(a.select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+    if loss is not None:
+        if batch is not None:
+            b = scored.groupBy(*by, batch).agg(F.avg(loss).alias("_m"))
+            l_ = b.groupBy(*by).agg(F.avg("_m").alias("value"))
+        else:
+            l_ = scored.groupBy(*by).agg(F.avg(loss).alias("value"))
+        parts.append(l_.select(*by, F.lit("loss").alias("metric"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -144,7 +144,7 @@ def scaled_features(spark, sf):
                     ml.array("lex_vec").alias("zl"))
 
 
-def _fusion_sql():
+def _fusion_sql(with_logits: bool = False):
     zs = [f"zs.z_{n}" for n in STAT_NAMES]
     zl = [f"zl.z_{c}" for c in LEX_COLS]
     emb = [f"coalesce(e.embedding[{i + 1}], 0.0)" for i in range(EMB_DIM)]
@@ -163,8 +163,10 @@ def _fusion_sql():
         f"{e} AS {n}" for e, n in zip(M.linear(fu, FUSION.out), z)) + f" FROM ({l2})"
     return (f"WITH zs AS ({_apply_sql(_STATS_SQL, list(STAT_NAMES), 'z_', rnd=False)}), "
             f"zl AS (WITH lw AS ({_LEX_WIDE_SQL}) {_apply_sql('lw', LEX_COLS, 'z_', rnd=False)}) "
-            f"SELECT doc_id, split, round({p[0]}, 6) AS p0, round({p[1]}, 6) AS p1, "
-            f"{M.argmax(p)} AS prediction, round({p[1]}, 6) AS score FROM ({l3})")
+            + (f"SELECT doc_id, split, o0, o1, {p[1]} AS p1, {M.argmax(p)} AS prediction FROM ({l3})"
+               if with_logits else
+               f"SELECT doc_id, split, round({p[0]}, 6) AS p0, round({p[1]}, 6) AS p1, "
+               f"{M.argmax(p)} AS prediction, round({p[1]}, 6) AS score FROM ({l3})"))
 
 
 @register("fusion_forward", _fusion_sql())
@@ -176,3 +178,45 @@ def fusion_forward(spark, sf):
     return s.select("doc_id", "split", F.round(F.element_at("probs", 1), 6).alias("p0"),
                     F.round(F.element_at("probs", 2), 6).alias("p1"), "prediction",
                     F.round("score", 6).alias("score"))
+
+
+def _epoch_sql():
+    lse = "(greatest(o0, o1) + ln(0.0::DOUBLE + exp(o0 - greatest(o0, o1)) + exp(o1 - greatest(o0, o1))))"
+    return (
+        f"WITH f AS ({_fusion_sql(with_logits=True)}), "
+        f"s AS (SELECT f.doc_id, f.split, f.p1 AS score, f.prediction, CAST(l.quality AS INTEGER) AS label, "
+        f"{lse} - CASE WHEN l.quality = 0 THEN o0 ELSE o1 END AS loss "
+        "FROM f JOIN labels l ON l.doc_id = f.doc_id), "
+        f"b AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY {_order_sql('doc_id')}) - 1) "
+        f"// {BATCH_SIZE} AS batch_id FROM s), "
+        "prf AS (SELECT split, count_if(label = 1 AND prediction = 1) AS tp, "
+        "count_if(label <> 1 AND prediction = 1) AS fp, count_if(label = 1 AND prediction <> 1) AS fn "
+        "FROM s GROUP BY split), "
+        "g AS (SELECT split, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, "
+        "sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS n FROM s GROUP BY split, score), "
+        "r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN "
+        "UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g), "
+        "auc AS (SELECT split, CASE WHEN sum(p) * sum(n) = 0 THEN NULL ELSE "
+        "sum(p * (nb + 0.5::DOUBLE * n)) / (sum(p) * sum(n))::DOUBLE END AS v FROM r GROUP BY split), "
+        "bl AS (SELECT split, avg(m) AS v FROM (SELECT split, batch_id, avg(loss) AS m FROM b "
+        "GROUP BY split, batch_id) GROUP BY split) "
+        "SELECT split, metric, round(value, 9) AS value FROM ("
+        "SELECT split, 'precision' AS metric, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS value FROM prf "
+        "UNION ALL SELECT split, 'recall', CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END FROM prf "
+        "UNION ALL SELECT split, 'f1', CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END FROM prf "
+        "UNION ALL SELECT split, 'auc', v FROM auc UNION ALL SELECT split, 'loss', v FROM bl)")
+
+
+@register("fusion_epoch_metrics", _epoch_sql())
+def fusion_epoch_metrics(spark, sf):
+    """One epoch's record: score every split with the fusion model, then
+    precision / recall / F1 / AUC and the mean of batch-mean losses per split
+    as long (split, metric, value) rows."""
+    from ..operators.evaluate import epoch_metrics
+    from ..operators.score import fusion_scores
+    s = fusion_scores(scaled_features(spark, sf), FUSION, "x", "zs", "zl", keep=("doc_id", "split"))
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    j = s.join(lab, "doc_id").withColumn("loss", A.cross_entropy("logits", "label"))
+    b = assign_batches(j, "doc_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
+    m = epoch_metrics(b, score="score", loss="loss", batch="batch_id")
+    return m.select("split", "metric", F.round("value", 9).alias("value"))
