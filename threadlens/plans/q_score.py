@@ -216,7 +216,10 @@ def fusion_epoch_metrics(spark, sf):
     from ..operators.score import fusion_scores
     s = fusion_scores(scaled_features(spark, sf), FUSION, "x", "zs", "zl", keep=("doc_id", "split"))
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    j = s.join(lab, "doc_id").withColumn("loss", A.cross_entropy("logits", "label"))
+    # a few numbers per document, read by every metric pass: keep them
+    j = s.join(lab, "doc_id").select(
+        "doc_id", "split", "label", "prediction", "score",
+        A.cross_entropy("logits", "label").alias("loss")).persist()
     b = assign_batches(j, "doc_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
     m = epoch_metrics(b, score="score", loss="loss", batch="batch_id")
     return m.select("split", "metric", F.round("value", 9).alias("value"))
