@@ -53,6 +53,19 @@ def main():
     for name, p in rows:
         out.append(f"| {name} | {p['shuffle']} | {p['single']} | {p['broadcast']} | {p['bhj']} | {p['smj']} | "
                    f"{p['window']} | {p['topk']} | {p['python']} | {' '.join(p['scan_cols'])} |")
+    out += ["", "## Notes", "",
+            "* `single` = 1 in the scaler fits: a global aggregate gathers one partial row per",
+            "  partition (bounded); `topk` in vocabulary / leaderboard: at most K / k rows.",
+            "* Two scans of the same table (class reports, AUC, batch positions): a",
+            "  DataFrame consumed by two branches that prune different columns gets two",
+            "  exchanges, so the (few) pruned input columns are read twice. Persisting is",
+            "  used only where the shared rows are small per document (statistics, scored",
+            "  rows, features before two scaler fits).",
+            "* Running aggregates (AUC, positions, best epoch) add one small shuffle for the",
+            "  per-bucket totals and one for the in-bucket window; no window runs without a",
+            "  partition key over unbounded data.",
+            "* Lexicon queries: one shuffle (the per-text aggregate) and one broadcast hash",
+            "  join against the pruned pattern table, whose size is known."]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
         f.write("\n".join(out) + "\n")
     print("\n".join(out))
