@@ -63,3 +63,19 @@ def test_auc_symmetry(spark):
     neg = [s for y, s in rows if y == 0]
     u = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg)
     assert a == pytest.approx(u / (len(pos) * len(neg)))
+
+
+def test_epoch_metrics_record(spark):
+    rows = [("validate", 1, 1, 0.9, 0.2, 0), ("validate", 0, 1, 0.6, 1.0, 0),
+            ("validate", 1, 0, 0.3, 2.0, 1), ("validate", 0, 0, 0.1, 0.4, 1),
+            ("test", 1, 1, 0.8, 0.5, 0), ("test", 1, 1, 0.7, 0.5, 0)]
+    df = spark.createDataFrame(rows, "split string, label int, prediction int, score double, "
+                                     "loss double, batch_id long")
+    got = {(r.split, r.metric): r.value for r in E.epoch_metrics(df, batch="batch_id").collect()}
+    assert got[("validate", "precision")] == pytest.approx(0.5)
+    assert got[("validate", "recall")] == pytest.approx(0.5)
+    assert got[("validate", "f1")] == pytest.approx(0.5)
+    assert got[("validate", "auc")] == pytest.approx(0.75)       # pos {.9,.3} vs neg {.6,.1}: 3 of 4 pairs
+    assert got[("validate", "loss")] == pytest.approx((0.6 + 1.2) / 2)   # mean of batch means
+    assert got[("test", "auc")] is None                          # one class only
+    assert got[("test", "loss")] == pytest.approx(0.5)
