@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, covering, langid, mixing, quality, secrets
 from .common import crc_bucket, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,8 +28,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    mixed = mixing.mix(docs.select(F.col("doc_id").alias("id"), "source", mixing.size_of().alias("size")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double"),
+                        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, public_tokenizers.path(VOCABULARY), keep=("doc_id",), with_text=False)
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("written").alias("spans"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return quality.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_bpe": op4_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
