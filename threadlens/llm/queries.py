@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covering, langid, mixing, quality, secrets
+from . import bpe, covering, langid, mixing, pivots, quality, secrets, toxicity
 from .common import crc_bucket, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred", "score", "bits_per_byte")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").filter(crc_bucket("doc_id", 5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels), keep=("doc_id",))
+    return found.select("row.doc_id", F.coalesce(crc_bucket("row.doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return pivots.top_k(vectors.select("vec_id", pivots.whole("embedding").alias("v")), every=50, k=5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -53,10 +66,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_pivots": op3_pivots,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_pivots": """
+        WITH whole AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+            FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
