@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covering, langid, mixing, pivots, quality, secrets, toxicity
+from . import bpe, covering, langid, mixing, pivots, quality, rlindex, secrets, suffixtree, toxicity
 from .common import crc_bucket, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.dedup(read(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlindex.dedup(read(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_suffix_tree": op7_suffix_tree,
+    "op8_run_length_index": op8_run_length_index,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
