@@ -221,12 +221,25 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                                  pa.array([s for _, s in found], pa.string())])
 
 
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+            T.StructField("decoded_sha256", T.StringType())]
+
+
+def _digests(found: list[tuple[bytes, str]]) -> list[pa.Array]:
+    return [pa.array([len(x) // 4 for x, _ in found], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x, _ in found], pa.string()),
+            pa.array([hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest() for _, s in found], pa.string())]
+
+
 def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """As ``encode``, with the number of ids and the SHA-256 of ids and decoded text in their place."""
-    return _apply(docs, path, text, keep,
-                  [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                   T.StructField("decoded_sha256", T.StringType())],
-                  lambda found: [pa.array([len(x) // 4 for x, _ in found], pa.int64()),
-                                 pa.array([hashlib.sha256(x).hexdigest() for x, _ in found], pa.string()),
-                                 pa.array([hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                                           for _, s in found], pa.string())])
+    return _apply(docs, path, text, keep, _DIGESTS, _digests)
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with n_tokens, the digests and the ids themselves."""
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
+    found = _apply(docs, path, text, keep, [*_DIGESTS, ids],
+                   lambda found: [*_digests(found),
+                                  pa.array([np.frombuffer(x, "<i4") for x, _ in found], pa.list_(pa.int32()))])
+    return found.select("row.*", *(f.name for f in _DIGESTS), "ids")

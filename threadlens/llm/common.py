@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.session import shared_dir
+
 #: The six separators of a word; a word is a run of anything else.
 SEPARATORS = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,28 +15,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of a table, so that extra columns cannot clash with derived ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").select(*columns)
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    may lack it (tests); on a cluster its absence is an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-            path = tempfile.mkdtemp(prefix="threadlens-ckpt-")
-        context.setCheckpointDir(path)
+    """Cut the lineage through a checkpoint in the cluster's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

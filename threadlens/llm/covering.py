@@ -205,13 +205,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """fp and component_id, the least ``doc_id`` of its component, from rows (doc_id, fp)."""
+    """fp, first (its least ``doc_id``), root and component_id (the component's least ``doc_id``) from (doc_id, fp)."""
     nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), radius, block))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return nodes.join(least, "root").select("fp", "root", "component_id")
+    return nodes.join(least, "root").select("fp", "first", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -219,3 +219,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     fps = save(fingerprints(docs, keep=("doc_id",), shingle=shingle).select("row.doc_id", "fp"))
     return fps.join(groups(fps, radius).select("fp", "component_id"), "fp") \
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group, the one with the least doc_id (of rows that repeat it, any one)."""
+    fps = save(fingerprints(docs, keep=("doc_id",), shingle=shingle).select("row.doc_id", "fp"))
+    # a null id is chosen only where a group has no other
+    chosen = groups(fps, radius).groupBy("root") \
+        .agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("kept")) \
+        .select(F.col("kept.first").alias("id"), F.col("kept.fp").alias("of"))
+    rows = fingerprints(docs, shingle=shingle)
+    rows = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("of")), "left_semi")
+    return rows.groupBy("row.doc_id", "fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")

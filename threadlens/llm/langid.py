@@ -276,3 +276,16 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: tupl
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return rows.mapInArrow(score, schema)
+
+
+def identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that their labels teach.
+
+    Rejected are texts without a letter, and texts that every language codes
+    in more than ``REJECT_BITS`` bits a byte. Without labels only the former are.
+    """
+    trees = fit(docs, lang, text)
+    if not trees.languages:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
+    return predict(docs, trees, text).filter((F.col("lang_pred") != UND) & (F.col("bits_per_byte") <= REJECT_BITS)) \
+        .select("row.*")

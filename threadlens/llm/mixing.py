@@ -151,3 +151,16 @@ def mix(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: f
 
 def size_of(text: str = "text") -> Column:
     return F.size(words_of(F.coalesce(F.col(text), F.lit("")))).cast("long")
+
+
+def remix(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (doc_id, source and ``text`` among them), each as often as the mix takes it."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "source", size_of(text).alias("size"))
+    copies = mix(rows).filter("copies > 0").select(
+        F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"),
+        F.col("nth").alias("of_nth"), "copies")
+    repeats = Window.partitionBy("id", "source", "size").orderBy(F.xxhash64(F.col(f"row.{text}")))
+    rows = rows.withColumn("nth", F.row_number().over(repeats))
+    taken = rows.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
+                      & (F.col("size") == F.col("of_size")) & (F.col("nth") == F.col("of_nth")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

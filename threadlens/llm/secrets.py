@@ -241,3 +241,10 @@ def scan(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 ["row", *(f.name for f in FIELDS)])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *FIELDS]))
+
+
+def redact(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with its text redacted, and n_chars, where there is one, counted anew."""
+    found = scan(docs, path)
+    fresh = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
