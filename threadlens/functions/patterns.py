@@ -9,6 +9,8 @@ Python's. Character classes are spelled out as code-point ranges instead.
 # --- Fixed values: Python's whitespace class (str.isspace), as ranges. -------
 WS = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# The same class as a string of its characters.
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 # --- Fixed values: the comment-markup cleaning stages, in the order they run.
 # (switch, pattern, replacement); "$1" is the first captured group.
@@ -30,6 +32,10 @@ CLEAN_STAGES = (
     ("table", r":-", ""),
     ("heading", r"#", ""),
 )
+# Stages whose pattern is one literal, and the trim: run without the regex engine.
+CLEAN_LITERALS = {r"\*": "*", "&amp;#x200B;": "&amp;#x200B;", "&amp;": "&amp;", "~": "~", "&lt;": "&lt;",
+                  "`": "`", r"\|": "|", ":-": ":-", "#": "#"}
+CLEAN_TRIM = rf"^[{WS}]+|[{WS}]+\z"
 CLEAN_SWITCHES = ("newline", "quote", "bullet_point", "link", "strikethrough",
                   "spoiler", "code", "superscript", "table", "heading")
 
@@ -55,6 +61,15 @@ WORD_TOKEN = (rf"[\p{{L}}\p{{N}}_]+(?:[-'][\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_
 LEXICON_TOKEN = r"[\p{L}\p{N}_]+"
 URL_PLACEHOLDER = r"\[URL\]"
 
+# The same three for Spark's regex engine, which recurses for each repeat of a
+# group unless the repeat is possessive; what may follow a repeat never overlaps
+# with it, so giving nothing back changes no result. A sentence break starts at
+# the first mark of a run, so that long runs are tried once.
+WORD_TOKEN_SPARK = (rf"[\p{{L}}\p{{N}}_]++(?:[-'][\p{{L}}\p{{N}}_]++)*+|[^\p{{L}}\p{{N}}_{WS}]")
+EMOJI_SPARK = (r"[\x{1f1e6}-\x{1f1ff}]{2}|[0-9#*]\x{fe0f}?\x{20e3}|"
+               rf"{EMOJI_BASE}{EMOJI_MOD}+(?:\x{{200d}}{EMOJI_BASE}{EMOJI_MOD}+)*+")
+SENTENCE_BREAK_SPARK = rf"""(?<![.!?])[.!?]++["')\]]*+[{WS}]++"""
+
 # --- Fixed values: strings pandas reads as missing in a CSV field. -----------
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
             "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import (DIGIT, EMOJI, LEXICON_TOKEN, NA_WORDS, NON_BLANK,
-                       SENTENCE_BREAK, URL_PLACEHOLDER, WORD_TOKEN)
+from .patterns import (DIGIT, EMOJI_SPARK, LEXICON_TOKEN, NA_WORDS, NON_BLANK,
+                       SENTENCE_BREAK_SPARK, WORD_TOKEN_SPARK)
+
+URL = "[URL]"
 
 # Order of the statistics vector (kept as the reference orders it).
 STAT_NAMES = ("n_sentences", "n_words", "n_chars", "n_urls", "n_emoji", "n_digits")
@@ -40,18 +42,18 @@ def na_to_null(text: Column | str, na_words=NA_WORDS) -> Column:
 
 def sentence_count(text: Column | str) -> Column:
     """Sentences: pieces between terminal punctuation followed by space."""
-    pieces = F.split(fill_empty(text), SENTENCE_BREAK, -1)
+    pieces = F.split(fill_empty(text), SENTENCE_BREAK_SPARK, -1)
     return F.size(F.filter(pieces, lambda p: p.rlike(NON_BLANK))).cast("long")
 
 
 def word_tokens(text: Column | str) -> Column:
     """Word tokens incl. single punctuation marks; hyphen/apostrophe joins."""
-    return F.regexp_extract_all(fill_empty(text), F.lit(WORD_TOKEN), 0)
+    return F.regexp_extract_all(fill_empty(text), F.lit(WORD_TOKEN_SPARK), 0)
 
 
 def word_count(text: Column | str) -> Column:
     """Number of word tokens, counted without materialising them."""
-    return F.regexp_count(fill_empty(text), F.lit(WORD_TOKEN)).cast("long")
+    return F.regexp_count(fill_empty(text), F.lit(WORD_TOKEN_SPARK)).cast("long")
 
 
 def char_count(text: Column | str) -> Column:
@@ -61,12 +63,15 @@ def char_count(text: Column | str) -> Column:
 
 def url_count(text: Column | str) -> Column:
     """Non-overlapping ``[URL]`` placeholders (made by the cleaner)."""
-    return F.regexp_count(fill_empty(text), F.lit(URL_PLACEHOLDER)).cast("long")
+    t = fill_empty(text)
+    return ((F.length(t) - F.length(F.replace(t, F.lit(URL), F.lit("")))) / len(URL)).cast("long")
 
 
 def emoji_count(text: Column | str) -> Column:
     """Emoji, with flags, keycaps and joined sequences counted once."""
-    return F.regexp_count(fill_empty(text), F.lit(EMOJI)).cast("long")
+    t = fill_empty(text)
+    plain = F.octet_length(t) == F.length(t)  # every emoji has a character beyond ASCII
+    return F.when(plain, F.lit(0)).otherwise(F.regexp_count(t, F.lit(EMOJI_SPARK))).cast("long")
 
 
 def digit_count(text: Column | str) -> Column:
