@@ -26,6 +26,8 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="threadlens-bench",
                         driver_memory=os.environ.get("BENCH_DRIVER_MEM", "4g"))
+    # the bench tables hold one row group each; PLANS.md is made with the same setting
+    spark.conf.set("threadlens.scanPartitions", str(2 * cpus))
     from threadlens.plans import QUERIES
 
     names = only or sorted(QUERIES)

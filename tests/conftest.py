@@ -14,5 +14,6 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from threadlens.session import get_session
     s = get_session("local[8]", 8)
+    s.conf.set("threadlens.scanPartitions", "8")  # the test tables hold one row group each
     yield s
     s.stop()

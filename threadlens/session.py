@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -42,12 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared file system path set by the operator; we
-    read it from the session. Only when it is unset (local tests) do we pick a
-    local folder and register it, so that ``checkpoint()`` works too.
+    read it from the session and refuse to run without it, since executors
+    cannot see each other's local folders. Only a local session (one process,
+    as in tests) may lack it; a temporary folder is registered there, so that
+    ``checkpoint()`` works too.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="threadlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -62,6 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/threadlens/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, through a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so plain Python can open local paths."""
     if path.startswith("file:"):

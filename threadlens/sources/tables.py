@@ -16,30 +16,21 @@ TABLE_KEYS = {
 }
 
 
-def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Hash-partition a scan on its unique key when it has too few partitions.
-
-    A large input is read by as many tasks as it has splits, and this is a
-    no-op. A small input in one file/row group would run the whole fused
-    text stage in one task; then we spread it over ``shuffle.partitions``
-    buckets of its key (which later per-key aggregates and joins reuse).
-    Only the pruned columns cross this shuffle.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("threadlens.spreadSmallScans", "true") == "false":
-        return df
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(target, parallelism):
-        return df
-    return df.repartition(target, *keys)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+#: Session option: deal every scan out to so many partitions of its key. Unset
+#: (the default), a scan has the partitions of its files. It is for tables kept in
+#: one row group, as in the tests and the bench; no plan depends on an input's size.
+SCAN_PARTITIONS = "threadlens.scanPartitions"
+
+
+def deal(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Hash-partition a scan on its unique key if the session asks for it."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; column pruning and filters reach the parquet scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_rows and name in TABLE_KEYS:
-        df = spread(df, TABLE_KEYS[name])
-    return df
+    return deal(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df

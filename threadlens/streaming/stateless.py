@@ -15,25 +15,6 @@ from ..functions import clean, stat_columns
 from ..operators.score import Linear, head_scores
 
 
-def stream_spread(spark: SparkSession, src: DataFrame, keys: tuple[str, ...], path: str,
-                  schema: str, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
-    """Hash-spread a file stream on its key when its files give few splits.
-
-    Decided from a static listing of the same source: a folder of many
-    files already yields many tasks per micro-batch and is left alone; one
-    unsplittable file would otherwise put a whole batch in one task.
-    """
-    if spark.conf.get("threadlens.spreadSmallScans", "true") == "false":
-        return src
-    r = spark.read.schema(schema).format(fmt)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if r.load(path).rdd.getNumPartitions() >= min(target, spark.sparkContext.defaultParallelism):
-        return src
-    return src.repartition(target, *keys)
-
-
 def stream_text_features(src: DataFrame, id_col: str, text_col: str, **switches: bool) -> DataFrame:
     """(id, cleaned, six statistics) for a streaming (or batch) frame."""
     c = src.select(id_col, clean(text_col, **switches).alias("cleaned"))
