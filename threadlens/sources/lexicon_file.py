@@ -32,9 +32,10 @@ def read_dic_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.element_at("f", 1).cast("int").alias("id"), F.element_at("f", 2).alias("category"))
     terms = fields.filter(~is_head & (F.size("f") >= 2)).select(
         F.element_at("f", 1).alias("pattern"),
-        F.explode(F.slice("f", 2, 1_000_000)).alias("id_s"))
-    terms = terms.filter(F.col("id_s").rlike("^[0-9]+$")).select(
-        "pattern", F.col("id_s").cast("int").alias("id"))
+        F.explode(F.slice("f", 2, F.size("f"))).alias("id_s"))
+    number = F.when(F.col("id_s").rlike("^[0-9]+$"), F.col("id_s").cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("lexicon term with a category that is no number: "), "pattern")).cast("int"))
+    terms = terms.select("pattern", number.alias("id"))
     pairs = terms.join(broadcast_if_bounded(cats, cats.count()), "id").select("pattern", "category")
     return cats, pairs
 

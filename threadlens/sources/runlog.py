@@ -1,39 +1,76 @@
-"""Run logs in ``asctime - process - level - message`` lines, and the
-per-epoch metrics table (append, partitioned by run)."""
+"""Run logs in ``asctime - process - level - message`` records, and the
+per-epoch metrics table (append, partitioned by run).
+
+A record starts with its time stamp and may go on over several lines (class
+reports do). A log is one file a run, named after the run:
+``<model>-seed-<seed>-lr<lr>-wd<weight decay>.log``. The records of an epoch have
+times of their own; what ties them together is the ``Epoch`` record before them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (\d+) - ([A-Z]+) - (.*)$"
-MESSAGE = r"^([^:]+): (.*)$"
+# The record format, and the log's name.
+STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}"
+RECORD = rf"(?s)^({STAMP}) - (\d+) - ([A-Z]+) - (.*)$"
+NEXT_RECORD = rf"\n(?={STAMP} - \d+ - [A-Z]+ - )"
+MESSAGE = r"(?s)^([^:\n(]+):(?:\n | |\n)?(.*)$"
+RUN_NAME = r"([^/=]+)-seed-(\d+)-lr([^/]+?)-wd([^/]+?)\.log(?:/[^/]*)?$"
+ARGUMENTS = r"(?s)^Namespace\((.*)\)$"
+
+
+def run_name(model: Column, seed: Column, lr: str, weight_decay: str) -> Column:
+    return F.concat(model, F.lit("-seed-"), seed.cast("string"), F.lit(f"-lr{lr}-wd{weight_decay}.log"))
 
 
-def format_lines(df: DataFrame, ts: str, process: str, messages: list) -> DataFrame:
-    """One log line per message column expression, stamped with ``ts``."""
-    stamp = F.date_format(F.col(ts), "yyyy-MM-dd HH:mm:ss,SSS")
-    lines = [F.concat_ws(" - ", stamp, F.col(process).cast("string"), F.lit("INFO"), m)
-             for m in messages]
-    return df.select(F.explode(F.array(*lines)).alias("value"))
+def format_records(df: DataFrame, keys: list[str], ts: str, process: str, messages: list[Column]) -> DataFrame:
+    """(keys..., nth, value): one record a message, in order, a millisecond apart from ``ts`` on."""
+    at = F.date_format(F.expr(f"timestampadd(MILLISECOND, nth, `{ts}`)"), "yyyy-MM-dd HH:mm:ss,SSS")
+    e = df.select(*keys, ts, process, F.posexplode(F.array(*messages)).alias("nth", "message"))
+    return e.select(*keys, "nth", F.concat_ws(" - ", at, F.col(process).cast("string"), F.lit("INFO"),
+                                              F.col("message")).alias("value"))
 
 
-def write_log(lines: DataFrame, path: str) -> str:
-    lines.write.mode("overwrite").text(path)
+def write_logs(records: DataFrame, name: str, order: list[str], path: str) -> str:
+    """One file for each run's ``name``, its records in order."""
+    (records.repartition(name).sortWithinPartitions(name, *order).select(name, "value")
+     .write.mode("overwrite").partitionBy(name).text(path))
     return path
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Parse log lines: (logged_at, process, level, key, value_text)."""
-    t = spark.read.text(path)
-    p = t.select(*[F.regexp_extract("value", LOG_LINE, i).alias(n) for i, n in
-                   enumerate(("asctime", "process", "level", "message"), start=1)])
-    p = p.filter(F.col("asctime") != "")
-    return p.select(
-        F.to_timestamp("asctime", "yyyy-MM-dd HH:mm:ss,SSS").alias("logged_at"),
-        F.col("process").cast("long").alias("process"), "level",
-        F.regexp_extract("message", MESSAGE, 1).alias("key"),
-        F.regexp_extract("message", MESSAGE, 2).alias("value_text"))
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Records: model, seed, lr, weight_decay, nth, logged_at, process, level, epoch, key, value_text.
+
+    A run's log is read whole, so that records keep their lines and their order;
+    ``epoch`` is the latest ``Epoch`` up to the record (null before the first).
+    A record without a key has the whole message as its value; the arguments'
+    record has the key ``arguments``.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True) \
+        .select(F.col("_metadata.file_path").alias("file"), "value")
+    records = files.select("file", F.posexplode(F.split(F.rtrim(F.regexp_replace("value", r"\n+\z", "")),
+                                                        NEXT_RECORD)).alias("nth", "record"))
+    p = records.select("file", "nth", *[F.regexp_extract("record", RECORD, i).alias(n) for i, n in
+                                        enumerate(("asctime", "process", "level", "message"), start=1)])
+    is_args = F.col("message").rlike(ARGUMENTS)
+    has_key = F.col("message").rlike(MESSAGE)
+    p = p.select(
+        "file", "nth", F.try_to_timestamp("asctime", F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("logged_at"),
+        F.col("process").try_cast("long").alias("process"), "level",
+        F.when(is_args, "arguments").when(has_key, F.regexp_extract("message", MESSAGE, 1)).alias("key"),
+        F.when(is_args, F.regexp_extract("message", ARGUMENTS, 1))
+        .when(has_key, F.regexp_replace(F.regexp_extract("message", MESSAGE, 2), r"\n+\z", ""))
+        .otherwise(F.col("message")).alias("value_text"))
+    # one window a log file
+    so_far = Window.partitionBy("file").orderBy("nth")
+    epoch = F.last(F.when(F.col("key") == "Epoch", F.col("value_text").try_cast("long")), ignorenulls=True)
+    return p.withColumn("epoch", epoch.over(so_far)).select(
+        *[F.regexp_extract("file", RUN_NAME, i).alias(n) for i, n in
+          enumerate(("model", "seed", "lr", "weight_decay"), start=1)],
+        "nth", "logged_at", "process", "level", "epoch", "key", "value_text") \
+        .withColumns({"seed": F.col("seed").try_cast("long"), "weight_decay": F.col("weight_decay").try_cast("double")})
 
 
 def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch",
