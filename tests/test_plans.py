@@ -6,12 +6,12 @@ import pytest
 from conftest import SF001
 from threadlens.plans import QUERIES
 
-# top-k outputs: the single partition holds at most k rows by construction
+# positions over all rows: the single partition holds one row a range, with its count
 BOUNDED_SINGLE = {"vocabulary", "encode_ids", "encode_padded_mask", "labelled_samples",
-                  "unlabelled_samples", "run_leaderboard"}
+                  "unlabelled_samples", "run_leaderboard", "recorded_leaderboard"}
 ACTION_QUERIES = {"csv_roundtrip", "params_roundtrip", "metrics_append", "metrics_from_log",
                   "lexicon_from_file", "stream_clean_stats", "stream_head_scores",
-                  "fit_fused_classifier"}
+                  "fit_fused_classifier", "csv_flat_files", "saved_vocabulary_lexicon"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ACTION_QUERIES))

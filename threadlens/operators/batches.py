@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import positions
+from .ordered import block_bucket, hash_bucket, positions
 from .util import as_col
 
 
@@ -31,6 +31,8 @@ def assign_batches(df: DataFrame, id_col: str, split_col: str = "split", batch_s
     keyed = df.withColumns({
         "_k1": F.when(shuffled, shuffle_key(id_col, seed, epoch)).otherwise(F.lit("")),
         "_k2": F.col(id_col)})
-    p = positions(keyed, [split_col], ["_k1", "_k2"], out="pos")
+    # shuffled splits by leading digits of the key, the others by blocks of ids: neither needs a sample
+    bucket = F.when(shuffled, hash_bucket("_k1")).otherwise(block_bucket(id_col))
+    p = positions(keyed, [split_col], ["_k1", "_k2"], out="pos", bucket=bucket)
     return p.withColumn("batch_id", F.floor((F.col("pos") - 1) / batch_size).cast("long")) \
         .drop("_k1", "_k2")

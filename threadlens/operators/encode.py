@@ -1,19 +1,22 @@
 """Text -> token ids against a corpus vocabulary; truncation, padding, masks.
 
-Vocabulary: the ``size`` most frequent tokens (ties: token order), ids after
-the four special ids. Its size is a parameter, so broadcasting it is safe.
-Encoding explodes tokens with their positions, drops positions past the
-limit *before* the shuffle (each text's group is at most ``max_len`` ids),
-joins the vocabulary and regroups by text.
+Vocabulary: every token of the corpus by falling count (ties: token order), ids
+after the four special ids; optionally only the ``size`` most frequent. Numbers
+are distributed positions and the vocabulary is a table like any other: nothing
+of it passes the driver. Encoding cuts a text's tokens at the limit, explodes
+them with their positions (each text's group is at most ``max_len`` ids), joins
+the vocabulary and regroups by text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import WORD_TOKEN
+from ..functions.patterns import WORD_TOKEN_SPARK
 from ..functions.text import fill_empty
+from ..session import materialize
+from .ordered import positions
 from .util import as_col, broadcast_if_bounded
 
 # Special token ids.
@@ -23,41 +26,41 @@ N_SPECIAL = 4
 
 def encoder_tokens(text: Column | str) -> Column:
     """Lower-cased words and single punctuation marks."""
-    return F.regexp_extract_all(F.lower(fill_empty(as_col(text))), F.lit(WORD_TOKEN), 0)
+    return F.regexp_extract_all(F.lower(fill_empty(as_col(text))), F.lit(WORD_TOKEN_SPARK), 0)
 
 
-def vocabulary(df: DataFrame, text: Column | str, size: int) -> DataFrame:
-    """(token, id, n): top-``size`` tokens by count; map-side partial counts."""
+def vocabulary(df: DataFrame, text: Column | str, size: int | None = None) -> DataFrame:
+    """(token, id, n) of all tokens, or of the ``size`` most frequent; map-side partial counts."""
     counts = df.select(F.explode(encoder_tokens(text)).alias("token")) \
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    order = [F.col("n").desc(), F.col("token").asc()]
-    top = counts.orderBy(*order).limit(size)
-    # numbering runs over the ``size`` rows kept: bounded by the parameter
-    return top.select("token", (F.row_number().over(Window.orderBy(*order)) + N_SPECIAL - 1)
-                      .cast("int").alias("id"), "n")
+    if size is not None:
+        counts = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
+    ranked = positions(counts.withColumn("_less", -F.col("n")), [], ["_less", "token"], out="_pos")
+    return ranked.select("token", (F.col("_pos") + N_SPECIAL - 1).cast("int").alias("id"), "n")
 
 
-def fit_vocabulary(df: DataFrame, text: Column | str, size: int) -> DataFrame:
-    """Compute the vocabulary once and keep it as a local table.
+def fit_vocabulary(df: DataFrame, text: Column | str, size: int | None = None) -> DataFrame:
+    """Compute the vocabulary once, for plans that encode several times."""
+    return materialize(vocabulary(df, text, size))
 
-    Like any fitted model it is bounded by its parameter (``size`` rows), so
-    it is collected; plans that encode several times then share a small
-    local relation instead of recomputing the corpus counts.
-    """
-    rows = vocabulary(df, text, size).collect()
-    return df.sparkSession.createDataFrame(rows, "token string, id int, n long")
+
+def save_vocabulary(vocab: DataFrame, path: str) -> str:
+    vocab.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("token", "id", "n")
 
 
-def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame, vocab_size: int,
+def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame,
            max_len: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., carry..., input_ids array<int>, n_tokens): CLS ids SEP, with
     at most ``max_len`` ids in all; ``n_tokens`` counts the whole text."""
     toks = df.select(*keys, *carry, encoder_tokens(text).alias("_t"))
     ex = toks.select(*keys, *carry, F.size("_t").cast("long").alias("n_tokens"),
-                     F.posexplode_outer("_t").alias("pos", "token"))
-    ex = ex.filter(F.col("pos").isNull() | (F.col("pos") < max_len - 2))
-    v = broadcast_if_bounded(vocab.select("token", F.col("id").alias("_tid")), vocab_size)
-    j = ex.join(v, "token", "left")
+                     F.posexplode_outer(F.slice("_t", 1, max_len - 2)).alias("pos", "token"))
+    j = ex.join(vocab.select("token", F.col("id").alias("_tid")), "token", "left")
     item = F.when(F.col("pos").isNotNull(),
                   F.struct(F.col("pos"), F.coalesce(F.col("_tid"), F.lit(UNK)).alias("id")))
     g = j.groupBy(*keys, *carry, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("_p"))

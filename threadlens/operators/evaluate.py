@@ -8,7 +8,7 @@ a zero denominator gives 0 (or null for AUC with one class present).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import running
@@ -22,13 +22,18 @@ def confusion(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) ->
 
 
 def class_counts(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., cls, support, predicted, tp) for every class seen in either column."""
-    rows = F.array(
-        F.struct(F.col(label).alias("cls"), F.lit(1).alias("s"), F.lit(0).alias("p"),
-                 (F.col(label) == F.col(pred)).cast("int").alias("t")),
-        F.struct(F.col(pred).alias("cls"), F.lit(0).alias("s"), F.lit(1).alias("p"),
-                 F.lit(0).alias("t")))
-    e = df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    """(by..., cls, support, predicted, tp) for every class seen in either column.
+
+    Derived from the confusion counts, at most C x C rows a group, which are then
+    brought together by group; what follows by group needs no further exchange.
+    """
+    conf = confusion(df, label, pred, by)
+    conf = conf.repartition(*by) if by else conf.coalesce(1)
+    n, hit = F.col("n"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    rows = F.array(F.struct(F.col("label").alias("cls"), n.alias("s"), F.lit(0).cast("long").alias("p"), hit.alias("t")),
+                   F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("s"), n.alias("p"),
+                            F.lit(0).cast("long").alias("t")))
+    e = conf.select(*by, F.inline(rows))
     return e.groupBy(*by, "cls").agg(F.sum("s").cast("long").alias("support"),
                                      F.sum("p").cast("long").alias("predicted"),
                                      F.sum("t").cast("long").alias("tp"))
@@ -74,24 +79,29 @@ def class_report(df: DataFrame, label: str, pred: str, names: DataFrame | None =
         pc = pc.join(broadcast_if_bounded(names, names.count()), "cls", "left")
     else:
         pc = pc.withColumn("name", F.lit(None).cast("string"))
-    rows = pc.select(*by, F.coalesce("name", F.col("cls").cast("string")).alias("row"),
-                     "precision", "recall", "f1", "support")
-    tot = pc.groupBy(*by).agg(
-        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    n = F.col("n")
-    acc = tot.select(*by, F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), safe_div(F.col("tp"), n).alias("f1"),
-                     n.alias("support"))
-    mac = tot.select(*by, F.lit("macro avg").alias("row"), F.col("mp").alias("precision"),
-                     F.col("mr").alias("recall"), F.col("mf").alias("f1"), n.alias("support"))
-    wei = tot.select(*by, F.lit("weighted avg").alias("row"), safe_div(F.col("wp"), n).alias("precision"),
-                     safe_div(F.col("wr"), n).alias("recall"), safe_div(F.col("wf"), n).alias("f1"),
-                     n.alias("support"))
-    return rows.unionByName(acc).unionByName(mac).unionByName(wei)
+    of_group = Window.partitionBy(*by)
+    support, n = F.col("support"), F.sum("support").over(of_group)
+
+    def weighted(c: str) -> Column:
+        return safe_div(F.sum(F.col(c) * support).over(of_group), n)
+
+    def row(name, precision, recall, f1, size) -> Column:
+        return F.struct(name.alias("row"), precision.cast("double").alias("precision"),
+                        recall.cast("double").alias("recall"), f1.cast("double").alias("f1"),
+                        size.cast("long").alias("support"))
+
+    null = F.lit(None)
+    footers = (
+        row(F.lit("accuracy"), null, null, safe_div(F.sum("tp").over(of_group), n), n),
+        row(F.lit("macro avg"), *[F.avg(c).over(of_group) for c in ("precision", "recall", "f1")], n),
+        row(F.lit("weighted avg"), *[weighted(c) for c in ("precision", "recall", "f1")], n))
+    named = F.coalesce("name", F.col("cls").cast("string"))
+    # the windows run over one group's classes; its first class row also carries the footers
+    rows = pc.select(*by, row(named, F.col("precision"), F.col("recall"), F.col("f1"), support).alias("own"),
+                     F.array(*footers).alias("foot"),
+                     F.row_number().over(of_group.orderBy("cls")).alias("nth"))
+    every = F.when(F.col("nth") == 1, F.concat(F.array("own"), "foot")).otherwise(F.array("own"))
+    return rows.select(*by, F.inline(every))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (),
@@ -115,29 +125,30 @@ def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (),
 
 def epoch_metrics(scored: DataFrame, label: str = "label", pred: str = "prediction",
                   score: str | None = "score", loss: str | None = "loss",
-                  batch: str | None = None, by: tuple[str, ...] = ("split",)) -> DataFrame:
+                  batched: DataFrame | None = None, batch: str = "batch_id",
+                  by: tuple[str, ...] = ("split",), multiclass: bool = False) -> DataFrame:
     """One epoch's evaluation as long rows (by..., metric, value).
 
-    Binary precision / recall / F1, AUC (when ``score`` is given) and the
-    loss (mean of batch means when ``batch`` is given, else the row mean),
-    per group - the record appended to the metrics table each epoch.
+    Binary precision / recall / F1 and AUC (when ``score`` is given), or with
+    ``multiclass`` micro precision and macro precision / recall / F1; and the
+    loss: the mean of batch means when ``batched`` (the same rows with their
+    ``batch``) is given, else the row mean. The record appended to the metrics
+    table each epoch.
     """
-    parts = []
-    prf = binary_prf(scored, label, pred, by)
-    parts.append(prf.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-        for m in ("precision", "recall", "f1")])).alias("r")).select(*by, "r.*"))
-    if score is not None:
+    if multiclass:
+        m, names = micro_macro(scored, label, pred, by), ("micro_precision", "macro_precision", "macro_recall", "macro_f1")
+    else:
+        m, names = binary_prf(scored, label, pred, by), ("precision", "recall", "f1")
+    out = m.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+    if score is not None and not multiclass:
         a = roc_auc(scored, label, score, by)
-        parts.append(a.select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+        out = out.unionByName(a.select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")))
     if loss is not None:
-        if batch is not None:
-            b = scored.groupBy(*by, batch).agg(F.avg(loss).alias("_m"))
+        if batched is not None:
+            b = batched.groupBy(*by, batch).agg(F.avg(loss).alias("_m"))
             l_ = b.groupBy(*by).agg(F.avg("_m").alias("value"))
         else:
             l_ = scored.groupBy(*by).agg(F.avg(loss).alias("value"))
-        parts.append(l_.select(*by, F.lit("loss").alias("metric"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(l_.select(*by, F.lit("loss").alias("metric"), "value"))
     return out

@@ -148,3 +148,20 @@ def lexicon_vector(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexi
             for i in range(lex.width)]
     g = m.groupBy(id_col, *carry).agg(*sums)
     return g.select(id_col, *carry, F.array(*[F.col(f"_c{i}") for i in range(lex.width)]).alias(out))
+
+
+def save_lexicon(lex: Lexicon, path: str) -> str:
+    """The categories in order and the effective patterns, as two tables."""
+    spark = lex.patterns.sparkSession
+    spark.createDataFrame([(c, i) for i, c in enumerate(lex.categories)], "category string, ord int") \
+        .write.mode("overwrite").parquet(f"{path}/categories")
+    lex.patterns.write.mode("overwrite").parquet(f"{path}/patterns")
+    return path
+
+
+def load_lexicon(spark: SparkSession, path: str) -> Lexicon:
+    """A saved lexicon; a dictionary is small, so its tables are read to the driver."""
+    categories = [r.category for r in spark.read.parquet(f"{path}/categories").orderBy("ord").collect()]
+    rows = spark.read.parquet(f"{path}/patterns").select("key", "wild", "category", "ord").collect()
+    table = spark.createDataFrame(rows, "key string, wild boolean, category string, ord int")
+    return Lexicon(table, categories, sorted({len(r["key"]) for r in rows if r["wild"]}), len(rows))

@@ -12,11 +12,10 @@ is hot) runs in one task. Instead:
 
 The bucket id must be the same in both uses of the bucketed rows (totals
 and the final window), and the same again if a lost task is recomputed.
-So buckets are a pure function of the keys: bounds are taken once from a
-bounded sample of the keys (at most ~20 per bucket reach the driver) and
-each row finds its bucket through a balanced tree of comparisons. Callers
-whose order key is dense (epochs, positions) can pass a ``bucket``
-expression instead (``block_bucket``) and skip the sample.
+Callers whose order key is dense (ids, epochs) or uniform (a hash) pass a
+``bucket`` expression, a pure function of the row. Otherwise the rows are
+range-partitioned once (Spark samples the bounds), tagged with their range and
+materialized in the shared folder, and both uses read that.
 
 Supported kinds are associative: ``sum``, ``count`` and ``max`` (``max``
 also works on structs, e.g. ``struct(metric, -epoch)`` for "best so far,
@@ -29,9 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import as_col, broadcast_if_bounded
-
-SAMPLE_PER_BUCKET = 20
+from ..session import materialize
+from .util import as_col
 
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max}
 
@@ -44,8 +42,7 @@ def _combine(kind: str, off: Column, local: Column) -> Column:
 
 def running(df: DataFrame, partition_by: list[str], order_by: list[str],
             aggs: dict[str, tuple[str, Column | str]], inclusive: bool = True,
-            buckets: int | None = None, bucket: Column | None = None,
-            bucket_bound: int | None = None) -> DataFrame:
+            buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add running aggregates ``aggs = {out: (kind, column)}`` to ``df``.
 
     ``inclusive`` frames end at the current row; otherwise at the row before.
@@ -53,13 +50,14 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
     for kind, _ in aggs.values():
         if kind not in _AGG:
             raise ValueError(f"unsupported running aggregate {kind!r}")
-    spark = df.sparkSession
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*partition_by, *order_by]
     vals = {f"_v_{o}": as_col(c) for o, (_, c) in aggs.items()}
-    if bucket is None:
-        bucket, bucket_bound = sampled_bucket(df, keys, n), n
-    ranged = df.withColumns(vals).withColumn("_b", bucket)
+    rows = df.withColumns(vals)
+    if bucket is not None:
+        ranged = rows.withColumn("_b", bucket)
+    else:
+        by = rows.repartitionByRange(buckets, *keys) if buckets else rows.repartitionByRange(*keys)
+        ranged = materialize(by.withColumn("_b", F.spark_partition_id()))
 
     # (2) per-bucket totals and (3) offsets of the buckets before each one.
     per = ranged.groupBy(*partition_by, "_b").agg(
@@ -69,8 +67,6 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
     offsets = per.select(*partition_by, "_b", *[
         (F.max if k == "max" else F.sum)(f"_t_{o}").over(w_prev).alias(f"_o_{o}")
         for o, (k, _) in aggs.items()])
-    if not partition_by and bucket_bound is not None:  # one row per bucket: a proven bound
-        offsets = broadcast_if_bounded(offsets, bucket_bound)
     joined = ranged.join(offsets, [*partition_by, "_b"], "left")
 
     # (4) running value inside the bucket, plus the offset.
@@ -83,40 +79,6 @@ def running(df: DataFrame, partition_by: list[str], order_by: list[str],
     return out.drop("_b", *vals, *[f"_o_{o}" for o in aggs])
 
 
-def sampled_bucket(df: DataFrame, keys: list[str], n: int, seed: int = 17) -> Column:
-    """A bucket id in [0, n) that is monotone in ``keys`` and balanced.
-
-    One count and one seeded sample of the key columns (about
-    ``SAMPLE_PER_BUCKET * n`` rows, a bound independent of the data size)
-    give n - 1 bounds; rows compare against them in a binary tree of
-    ``CASE`` expressions (log2 n comparisons per row, all in codegen).
-    """
-    total = df.count()
-    if total == 0 or n <= 1:
-        return F.lit(0)
-    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
-    rows = [tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect()]
-    rows.sort(key=lambda t: tuple((v is not None, v) for v in t))
-    if not rows:
-        return F.lit(0)
-    step = len(rows) / n
-    bounds = sorted({rows[int(i * step)] for i in range(1, n) if int(i * step) < len(rows)},
-                    key=lambda t: tuple((v is not None, v) for v in t))
-    key = F.struct(*[F.col(k) for k in keys])
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def lit_struct(t):
-        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for v, k in zip(t, keys)])
-
-    def tree(lo: int, hi: int) -> Column:  # bucket among bounds[lo:hi]
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lit_struct(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds)).cast("int")
-
-
 def positions(df: DataFrame, partition_by: list[str], order_by: list[str],
               out: str = "pos", buckets: int | None = None,
               bucket: Column | None = None) -> DataFrame:
@@ -129,3 +91,8 @@ def block_bucket(dense_key: Column | str, block: int = 4096) -> Column:
     """Deterministic bucket for a dense integer key: blocks of ``block`` values,
     so no bucket holds more than ``block`` rows per group."""
     return F.floor(as_col(dense_key) / F.lit(block)).cast("long")
+
+
+def hash_bucket(hex_key: Column | str, digits: int = 4) -> Column:
+    """Bucket for a uniform hexadecimal key: its leading digits, so 16^digits even buckets in key order."""
+    return F.conv(F.substring(as_col(hex_key), 1, digits), 16, 10).cast("long")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import block_bucket, running
+from .ordered import block_bucket, positions, running
 
 START = -1.0
 
@@ -46,20 +46,24 @@ def early_stop(best: DataFrame, run: str = "run_id", epoch: str = "epoch",
 def summarize(best: DataFrame, stops: DataFrame, cols: list[str], run: str = "run_id",
               epoch: str = "epoch", max_epochs: int = 300) -> DataFrame:
     """Values of ``cols`` at the best epoch, read at the stop epoch (a later
-    improvement after patience fired does not count)."""
+    improvement after patience fired does not count). Runs that never improve
+    stay, with nulls."""
     j = best.join(stops, run).filter(
         (F.col(epoch) <= max_epochs)
         & (F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch"))))
-    at_best = j.filter("improved")
-    last = F.max_by(F.struct(F.col(epoch).alias("best_epoch"), *[F.col(c) for c in cols]),
-                    F.col(epoch))
-    return at_best.groupBy(run, "stop_epoch").agg(last.alias("_b")).select(
-        run, "stop_epoch", "_b.*")
+    at = F.struct(F.col(epoch).alias("best_epoch"), *[F.col(c) for c in cols])
+    last = F.max_by(F.when(F.col("improved"), at), F.when(F.col("improved"), F.col(epoch)))
+    return j.groupBy(run, "stop_epoch").agg(last.alias("_b")).select(
+        run, "stop_epoch", F.col("_b.best_epoch").alias("best_epoch"),
+        *[F.col("_b").getField(c).alias(c) for c in cols])
 
 
-def leaderboard(summary: DataFrame, metric: str, run: str = "run_id", k: int = 10) -> DataFrame:
-    """Top ``k`` runs by best metric (ties: smaller run id); k is the feature."""
-    order = [F.col(metric).desc_nulls_last(), F.col(run).asc()]
-    top = summary.orderBy(*order).limit(k)
-    # ranks over the k rows kept, so this window is bounded by k
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def leaderboard(summary: DataFrame, metric: str, run: str = "run_id", k: int | None = None) -> DataFrame:
+    """Every run with its ``rank`` by best metric (ties: smaller run id; runs without one last).
+
+    With ``k`` only the top ones. Ranks are distributed positions, not one task's.
+    """
+    keyed = summary.withColumn("_order", F.coalesce(-F.col(metric), F.lit(float("inf"))))
+    if k is not None:
+        keyed = keyed.orderBy("_order", run).limit(k)
+    return positions(keyed, [], ["_order", run], out="rank").drop("_order")

@@ -20,7 +20,7 @@ from .scaling import ScalerModel
 
 
 def assemble_samples(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon,
-                     vocab: DataFrame, vocab_size: int, max_len: int = 512,
+                     vocab: DataFrame, max_len: int = 512,
                      split_col: str = "split", labels: DataFrame | None = None,
                      label_col: str = "label", labelled: bool = True,
                      stat_scaler: ScalerModel | None = None,
@@ -34,6 +34,10 @@ def assemble_samples(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon,
     (at most that many splits) and adds the attention mask; without it the
     mask is all ones.
     """
+    lab = None
+    if labels is not None:  # first: no work for texts that the result leaves out
+        lab = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
+        texts = texts.join(lab.select(id_col), id_col, "left_semi" if labelled else "left_anti")
     d = texts.select(id_col, split_col, text_col, *stat_columns(text_col))
     v = lexicon_vector(d, id_col, text_col, lex, carry=(split_col, *STAT_NAMES))
     stats = F.array(*[F.col(n).cast("double") for n in STAT_NAMES])
@@ -43,16 +47,11 @@ def assemble_samples(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon,
     if lex_scaler is not None:
         lexv = lex_scaler.array(lexv)
     v = v.select(id_col, split_col, stats.alias("stat_vec"), lexv.alias("lex_vec"))
-    e = encode(d, [id_col], text_col, vocab, vocab_size, max_len, carry=(split_col,))
+    e = encode(d, [id_col], text_col, vocab, max_len, carry=(split_col,))
     if pad_groups is not None:
         e = pad(e, [split_col], pad_groups)
     else:
         e = e.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     e = e.select(id_col, F.struct("input_ids", "attention_mask").alias("content"))
     s = v.join(e, id_col)
-    if labels is None:
-        return s
-    lab = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
-    if labelled:
-        return s.join(lab, id_col)
-    return s.join(lab.select(id_col), id_col, "left_anti")
+    return s.join(lab, id_col) if labels is not None and labelled else s

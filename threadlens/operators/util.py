@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Row bound under which a side table is broadcast. The bound is checked
 # against a known row count (a dictionary, a class list, a parameter K),
-# never assumed; larger sides fall back to a shuffle join.
-BROADCAST_MAX_ROWS = 2_000_000
+# never assumed; for larger sides Spark chooses the join from their sizes.
+BROADCAST_MAX_ROWS = 10_000
 
 
 def broadcast_if_bounded(df: DataFrame, n_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

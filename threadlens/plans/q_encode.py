@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as tf
-from ..functions.patterns import WORD_TOKEN
+from ..functions.patterns import LEXICON_TOKEN, WORD_TOKEN
+from ..functions.text import STAT_NAMES
 from ..operators import encode as EN
+from ..operators import lexicon as LX
 from ..operators.samples import assemble_samples
+from ..session import scratch_path
 from ..sources.tables import read_table
 from . import inputs as I
 from . import sqltext as S
-from .q_features import _lexicon, _vector_sql
+from .q_features import _LEX_WIDE_SQL, _STATS_SQL, FIT_SPLITS, LEX_COLS, _apply_sql, _lexicon, fit_both
 from .registry import register
 
-VOCAB_SIZE, MAX_LEN = 2000, 512
+MAX_LEN = 512
 
 
 def _ids_str(c):
@@ -22,19 +25,19 @@ def _ids_str(c):
 
 
 def _vocab(spark, sf):
-    return EN.fit_vocabulary(I.cleaned_docs(spark, sf), "c", VOCAB_SIZE)
+    return EN.fit_vocabulary(I.cleaned_docs(spark, sf), "c")
 
 
 _TOKS = f"regexp_extract_all(lower(coalesce(c, '')), {S.lit(WORD_TOKEN)}, 0)"
 VOCAB_SQL = (f"(SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, n FROM "
              f"(SELECT token, count(*) AS n FROM (SELECT unnest({_TOKS}) AS token FROM {I.CLEANED_DOCS_SQL}) "
-             f"GROUP BY token) ORDER BY n DESC, token LIMIT {VOCAB_SIZE})")
+             f"GROUP BY token))")
 
 
 @register("vocabulary", f"SELECT token, id, n FROM {VOCAB_SQL}")
 def vocabulary(spark, sf):
-    """Top tokens of the cleaned documents, ids after the special ids."""
-    return EN.vocabulary(I.cleaned_docs(spark, sf), "c", VOCAB_SIZE)
+    """All tokens of the cleaned documents by count, ids after the special ids."""
+    return EN.vocabulary(I.cleaned_docs(spark, sf), "c")
 
 
 def _encode_sql(src, keys):
@@ -58,7 +61,7 @@ def encode_ids(spark, sf):
     """Replies encoded with the document vocabulary: CLS ids SEP, 512 max."""
     c = read_table(spark, sf, "conversations").select(
         "conv_id", "turn", tf.clean("text").alias("c"))
-    e = EN.encode(c, ["conv_id", "turn"], "c", _vocab(spark, sf), VOCAB_SIZE, MAX_LEN)
+    e = EN.encode(c, ["conv_id", "turn"], "c", _vocab(spark, sf), MAX_LEN)
     return e.select("conv_id", "turn", "n_tokens", _ids_str("input_ids").alias("input_ids"))
 
 
@@ -75,7 +78,7 @@ _DOC_KEYS_SQL = f"(SELECT id AS doc_id, split, c FROM {I.CLEANED_DOCS_SQL})"
 def encode_padded_mask(spark, sf):
     """Documents encoded, padded to the longest of their split, with masks."""
     d = I.cleaned_docs(spark, sf)
-    e = EN.encode(d, ["doc_id"], "c", _vocab(spark, sf), VOCAB_SIZE, MAX_LEN, carry=("split",))
+    e = EN.encode(d, ["doc_id"], "c", _vocab(spark, sf), MAX_LEN, carry=("split",))
     p = EN.pad(e, ["split"], max_groups=len(I.SPLITS))
     return p.select("doc_id", "split", F.size("input_ids").alias("padded_len"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
@@ -83,35 +86,66 @@ def encode_padded_mask(spark, sf):
                     _ids_str("attention_mask").alias("attention_mask"))
 
 
+def _scalers(spark, sf):
+    """Fitted on train and validate, statistics and lexicon counts in one aggregate."""
+    d = I.cleaned_docs(spark, sf).filter(F.col("split").isin(*FIT_SPLITS)).select("doc_id", "split", "c", *tf.stat_columns("c"))
+    v = LX.lexicon_vector(d, "doc_id", "c", _lexicon(spark), carry=("split", *STAT_NAMES))
+    return fit_both(v)
+
+
 def _samples(spark, sf, labelled):
-    """Sample records, shown with ids and vectors as strings for the oracle."""
+    """Sample records: ids padded within their split, mask, scaled vectors; as strings for the oracle."""
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    stats, lexicon = _scalers(spark, sf)
     s = assemble_samples(I.cleaned_docs(spark, sf), "doc_id", "c", _lexicon(spark), _vocab(spark, sf),
-                         VOCAB_SIZE, MAX_LEN, labels=lab, labelled=labelled)
+                         MAX_LEN, labels=lab, labelled=labelled, stat_scaler=stats, lex_scaler=lexicon,
+                         pad_groups=len(I.SPLITS))
+    z = [F.round(F.element_at("stat_vec", i + 1), 6).alias(f"z_{n}") for i, n in enumerate(STAT_NAMES)]
+    z += [F.round(F.element_at("lex_vec", i + 1), 6).alias(f"z_{c}") for i, c in enumerate(LEX_COLS)]
     cols = ["doc_id", "split", _ids_str("content.input_ids").alias("input_ids"),
-            F.array_join(F.transform("stat_vec", lambda x: x.cast("long").cast("string")), ",").alias("stat_vec"),
-            F.array_join(F.transform("lex_vec", lambda x: x.cast("long").cast("string")), ",").alias("lex_vec")]
+            _ids_str("content.attention_mask").alias("attention_mask"), *z]
     return s.select(*cols, "label") if labelled else s.select(*cols)
 
 
-_SAMPLES_SQL = (
-    f"(WITH lv AS ({_vector_sql('SELECT id AS doc_id, split, string_agg(CAST(n AS VARCHAR), chr(44) ORDER BY ord) AS lex_vec FROM grid GROUP BY id, split')}), "
-    f"st AS (SELECT id AS doc_id, concat_ws(',', " + ", ".join(f"CAST({e} AS VARCHAR)" for e in S.stat_exprs("c"))
-    + f") AS stat_vec FROM {I.CLEANED_DOCS_SQL}), "
-    f"en AS {_encode_sql(_DOC_KEYS_SQL, ['doc_id'])} "
-    "SELECT lv.doc_id, lv.split, en.input_ids, st.stat_vec, lv.lex_vec FROM lv JOIN st ON lv.doc_id = st.doc_id "
-    "JOIN en ON en.doc_id = lv.doc_id)")
+def _samples_sql(chosen):
+    """Samples of the documents in ``chosen``; ids are padded to the longest of these in their split."""
+    zs = ", ".join(f"zs.z_{n}" for n in STAT_NAMES)
+    zl = ", ".join(f"zl.z_{c}" for c in LEX_COLS)
+    return (
+        f"(WITH zs AS ({_apply_sql(_STATS_SQL, list(STAT_NAMES), 'z_')}), "
+        f"zl AS (WITH lw AS ({_LEX_WIDE_SQL}) {_apply_sql('lw', LEX_COLS, 'z_')}), "
+        f"en AS (SELECT e.*, d.split FROM {_encode_sql(_DOC_KEYS_SQL, ['doc_id'])} e JOIN {_DOC_KEYS_SQL} d "
+        f"ON d.doc_id = e.doc_id WHERE {chosen}), "
+        "mx AS (SELECT split, max(n_ids) AS m FROM en GROUP BY split) "
+        "SELECT en.doc_id, en.split, en.input_ids || repeat(' 0', mx.m - en.n_ids) AS input_ids, "
+        "trim(repeat('1 ', en.n_ids) || repeat('0 ', mx.m - en.n_ids)) AS attention_mask, "
+        f"{zs}, {zl} FROM en JOIN mx ON mx.split = en.split JOIN zs ON zs.doc_id = en.doc_id JOIN zl ON zl.doc_id = en.doc_id)")
 
 
 @register("labelled_samples",
-          f"SELECT s.*, CAST(l.quality AS INTEGER) AS label FROM {_SAMPLES_SQL} s JOIN labels l ON l.doc_id = s.doc_id")
+          f"SELECT s.*, CAST(l.quality AS INTEGER) AS label FROM {_samples_sql('e.doc_id IN (SELECT doc_id FROM labels)')} s "
+          "JOIN labels l ON l.doc_id = s.doc_id")
 def labelled_samples(spark, sf):
-    """Sample rows (ids, statistics, lexicon counts) with their label."""
+    """Labelled samples: padded ids, mask, scaled statistics and lexicon counts."""
     return _samples(spark, sf, labelled=True)
 
 
 @register("unlabelled_samples",
-          f"SELECT s.* FROM {_SAMPLES_SQL} s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id)")
+          f"SELECT s.* FROM {_samples_sql('e.doc_id NOT IN (SELECT doc_id FROM labels)')} s")
 def unlabelled_samples(spark, sf):
-    """Sample rows of documents that carry no label."""
+    """The same for documents that carry no label."""
     return _samples(spark, sf, labelled=False)
+
+
+@register("saved_vocabulary_lexicon",
+          f"WITH {I.token_category_ctes(I.CLEANED_DOCS_SQL)}, voc AS {VOCAB_SQL} "
+          "SELECT tc.tok AS token, voc.id, voc.n, tc.category FROM tc JOIN voc ON voc.token = tc.tok")
+def saved_vocabulary_lexicon(spark, sf):
+    """Vocabulary and lexicon saved as tables and reloaded: categories of each vocabulary token."""
+    base = scratch_path(spark, "saved")
+    EN.save_vocabulary(EN.vocabulary(I.cleaned_docs(spark, sf), "c"), f"{base}/vocabulary")
+    LX.save_lexicon(_lexicon(spark), f"{base}/lexicon")
+    voc = EN.load_vocabulary(spark, f"{base}/vocabulary")
+    lex = LX.load_lexicon(spark, f"{base}/lexicon")
+    words = voc.filter(F.col("token").rlike(f"^{LEXICON_TOKEN}$"))
+    return LX.match_tokens(words, "token", lex).select("token", "id", "n", "category")

@@ -2,7 +2,7 @@
 
 Binary task: a document's ``quality`` label against a length rule
 (``n_chars >= 500``), score = ``n_chars``. Ten-class task: an embedding's
-label against the arg-max of its first ten components. Every split is
+label against the ten-class head over all its components. Every split is
 evaluated in the same pass (the split is part of each group key).
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
 from ..operators import evaluate as E
+from ..operators.score import head_scores
 from . import inputs as I
+from . import sqlmodel as M
+from .q_score import _LOGITS_SQL, _Z, HEAD, _emb
 from ..sources.tables import read_table
 from .registry import register
 
@@ -36,16 +38,12 @@ BINARY_SQL = (f"(SELECT d.doc_id, {I.split_sql('d.doc_id')} AS split, CAST(l.qua
 
 
 def multi_input(spark, sf):
-    e = read_table(spark, sf, "embeddings")
-    head = F.slice("embedding", 1, 10)
-    return e.select("vec_id", I.split_of("vec_id").alias("split"),
-                    F.col("label").cast("int").alias("label"),
-                    A.argmax(head).alias("prediction"))
+    """The ten-class head over the whole vector: its arg-max as the prediction."""
+    return head_scores(_emb(spark, sf), HEAD, "x", keep=("vec_id", "split", "label")) \
+        .select("vec_id", "split", "label", "prediction")
 
 
-MULTI_SQL = (f"(SELECT vec_id, {I.split_sql('vec_id')} AS split, CAST(label AS INTEGER) AS label, "
-             "CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) "
-             "AS prediction FROM embeddings)")
+MULTI_SQL = f"(SELECT vec_id, split, label, {M.argmax(_Z)} AS prediction FROM {_LOGITS_SQL})"
 
 
 def _class_counts_sql(src):

@@ -8,7 +8,7 @@ from .. import functions as tf
 from ..functions.text import STAT_NAMES
 from ..operators import lexicon as LX
 from ..operators.scaling import ScalerModel, fit_array_scaler, fit_scaler
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.lexicon_file import read_dic, write_dic
 from . import inputs as I
 from . import sqltext as S
@@ -19,6 +19,15 @@ FIT_SPLITS = ("train", "validate")
 LEX_COLS = [f"lex_{c}" for c in I.LEXICON_CATEGORIES]
 
 
+def fit_both(f):
+    """Scalers of the statistics and of the lexicon vector, fitted in one aggregate."""
+    features = {n: n for n in STAT_NAMES} | {c: F.element_at("lex_vec", i + 1) for i, c in enumerate(LEX_COLS)}
+    m = ScalerModel.from_df(fit_scaler(f, features))
+    n = len(STAT_NAMES)
+    return (ScalerModel(m.features[:n], m.mean[:n], m.scale[:n]),
+            ScalerModel(m.features[n:], m.mean[n:], m.scale[n:]))
+
+
 def _lexicon(spark):
     return LX.lexicon_from_pairs(spark, I.LEXICON_PAIRS, list(I.LEXICON_CATEGORIES))
 
@@ -218,7 +227,7 @@ def scaler_apply(spark, sf):
     """
     # seven longs per document: far smaller than the text, so keep them
     # rather than run the cleaner again for the apply pass
-    s = _stats_frame(spark, sf).persist()
+    s = materialize(_stats_frame(spark, sf))
     model = ScalerModel.from_df(fit_scaler(s.filter(F.col("split").isin(*FIT_SPLITS)),
                                            {n: n for n in STAT_NAMES}))
     return s.select("doc_id", "split", *[F.round(model.column(n, n), 6).alias(f"z_{n}")
@@ -231,7 +240,7 @@ def scaler_apply_lexicon(spark, sf):
     """Category counts of every split, standardised element-wise as an array."""
     lf = _lex_frame(spark, sf)
     v = lf.select("doc_id", "split", F.array(*LEX_COLS).alias("lex_vec"))
-    v = v.persist()
+    v = materialize(v)
     model = ScalerModel.from_df(fit_array_scaler(
         v.filter(F.col("split").isin(*FIT_SPLITS)), "lex_vec", LEX_COLS))
     z = model.array("lex_vec")

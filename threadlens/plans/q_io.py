@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import NA_WORDS
 from ..functions.text import STAT_NAMES
-from ..operators.scaling import ScalerModel, fit_array_scaler, fit_scaler
+from ..operators.scaling import ScalerModel
 from ..operators.score import FusionModel, fusion_scores
-from ..session import scratch_path
-from ..sources.splits import read_splits, write_splits
+from ..session import materialize, scratch_path
+from ..sources.splits import CSV_OPTIONS, read_flat_splits, read_splits, write_splits
 from ..streaming import stateless as ST
 from . import inputs as I
 from . import sqltext as S
-from .q_features import FIT_SPLITS, LEX_COLS
+from .q_features import FIT_SPLITS, fit_both
 from .q_score import FUSION, HEAD, _LOGITS_SQL, _fusion_sql, featurized
 from .q_text import _stats_sql
 from . import sqlmodel as M
-from ..sources.tables import read_table
+from ..sources.tables import deal, read_table
 from .registry import register
 
 _NA_SQL = ", ".join(S.lit(w) for w in NA_WORDS)
@@ -44,11 +44,10 @@ def csv_roundtrip(spark, sf):
 def params_roundtrip(spark, sf):
     """Fitted scalers and model weights saved as parquet tables, reloaded,
     then used to score: same output as ``fusion_forward``."""
-    f = featurized(spark, sf).persist()
-    fit_rows = f.filter(F.col("split").isin(*FIT_SPLITS))
+    f = materialize(featurized(spark, sf))
     base = scratch_path(spark, "params")
-    fit_scaler(fit_rows, {n: n for n in STAT_NAMES}).write.parquet(f"{base}/scaler_stats")
-    fit_array_scaler(fit_rows, "lex_vec", LEX_COLS).write.parquet(f"{base}/scaler_lexicon")
+    for model, name in zip(fit_both(f.filter(F.col("split").isin(*FIT_SPLITS))), ("stats", "lexicon")):
+        model.to_df(spark).write.parquet(f"{base}/scaler_{name}")
     FUSION.to_table(spark).write.parquet(f"{base}/weights")
     ms = ScalerModel.from_df(spark.read.parquet(f"{base}/scaler_stats"))
     ml = ScalerModel.from_df(spark.read.parquet(f"{base}/scaler_lexicon"))
@@ -61,33 +60,57 @@ def params_roundtrip(spark, sf):
                     F.round("score", 6).alias("score"))
 
 
-@register("fit_fused_classifier")
+@register("csv_flat_files",
+          f"SELECT d.id AS doc_id, d.split, CASE WHEN d.c IN ({_NA_SQL}) THEN NULL ELSE d.c END AS content_cleaned, "
+          f"CAST(l.quality AS INTEGER) AS label FROM {I.CLEANED_DOCS_SQL} d JOIN labels l ON l.doc_id = d.id")
+def csv_flat_files(spark, sf):
+    """Three flat files, each with its columns in another order and one column more, read by header name."""
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    rows = I.cleaned_docs(spark, sf).join(lab, "doc_id").select(
+        "doc_id", "split", F.col("c").alias("content_cleaned"), "label", F.lit("x").alias("extra"))
+    base = scratch_path(spark, "flat")
+    for split, order in (("train", ("label", "extra", "content_cleaned", "doc_id")),
+                         ("validate", ("content_cleaned", "doc_id", "label", "extra")),
+                         ("test", ("extra", "doc_id", "content_cleaned", "label"))):
+        rows.filter(F.col("split") == split).select(*order).write.options(**CSV_OPTIONS).csv(f"{base}/{split}.csv")
+    back = read_flat_splits(spark, base, "doc_id long, content_cleaned string, label int", ("content_cleaned",))
+    return back.select("doc_id", "split", "content_cleaned", "label")
+
+
+@register("fit_fused_classifier",
+          f"SELECT d.doc_id, {I.split_sql('d.doc_id')} AS split, CAST(l.quality AS INTEGER) AS label, "
+          "true AS score_in_range, true AS prediction_agrees FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
 def fit_fused_classifier(spark, sf):
-    """Fit an L2-regularised logistic regression on content ‖ scaled
+    """Fit an L2-regularised logistic regression on hashed terms ‖ scaled
     statistics ‖ scaled lexicon counts (train split), score every split.
 
-    Different optimiser than the reference's network, same task: checked on
-    rows only.
+    Another optimiser than the reference's network for the same task, so scores
+    differ; checked are the rows, that scores are probabilities and that
+    predictions follow from them.
     """
+    s = fused_classifier_scores(spark, sf)
+    return s.select("doc_id", "split", "label", F.col("score").between(0.0, 1.0).alias("score_in_range"),
+                    ((F.col("score") >= 0.5) == (F.col("prediction") == 1)).alias("prediction_agrees"))
+
+
+def fused_classifier_scores(spark, sf):
+    """(doc_id, split, label, prediction, score) of the fitted classifier."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    f = featurized(spark, sf).persist()
-    fit_rows = f.filter(F.col("split").isin(*FIT_SPLITS))
-    ms = ScalerModel.from_df(fit_scaler(fit_rows, {n: n for n in STAT_NAMES}))
-    ml = ScalerModel.from_df(fit_array_scaler(fit_rows, "lex_vec", LEX_COLS))
-    lab = read_table(spark, sf, "labels").select(
-        "doc_id", F.col("quality").cast("double").alias("label"))
-    x = f.join(lab, "doc_id").select(
+    f = featurized(spark, sf)
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    f = materialize(f.join(lab, "doc_id", "left"))
+    ms, ml = fit_both(f.filter(F.col("split").isin(*FIT_SPLITS)))
+    x = f.filter("label is not null").select(
         "doc_id", "split", "label", array_to_vector("x").alias("vx"),
         array_to_vector(F.array(*[ms.column(n, n) for n in STAT_NAMES])).alias("vs"),
         array_to_vector(ml.array("lex_vec")).alias("vl"))
     x = VectorAssembler(inputCols=["vx", "vs", "vl"], outputCol="features").transform(x)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4,
                             elasticNetParam=0.0, maxIter=50)
-    model = lr.fit(x.filter(F.col("split") == "train"))
-    p = model.transform(x)
+    p = lr.fit(x.filter(F.col("split") == "train")).transform(x)
     return p.select("doc_id", "split", F.col("label").cast("int").alias("label"),
                     F.col("prediction").cast("int").alias("prediction"),
                     F.element_at(vector_to_array("probability"), -1).alias("score"))
@@ -103,7 +126,7 @@ def stream_clean_stats(spark, sf):
     """Documents as a file stream -> cleaner + statistics -> parquet sink
     (availableNow, checkpointed), read back."""
     src = ST.file_stream(spark, sf, _DOC_SCHEMA, glob="documents.parquet")
-    src = ST.stream_spread(spark, src, ("doc_id",), sf, _DOC_SCHEMA, glob="documents.parquet")
+    src = deal(src, ("doc_id",))
     out = ST.stream_text_features(src, "doc_id", "text")
     base = scratch_path(spark, "stream-text")
     ST.run_available_now(out, f"{base}/sink", f"{base}/checkpoint")

@@ -16,9 +16,10 @@ from ..operators import runs as R
 from ..session import scratch_path
 from ..sources import runlog
 from ..sources.tables import read_table
+from .q_score import REPLY_EPOCHS, REPLY_RUNS, reply_head, reply_metrics_sql, reply_record
 from .registry import register
 
-PATIENCE, MAX_EPOCHS, TOP_K = 3, 300, 10
+PATIENCE, MAX_EPOCHS = 3, 300
 
 
 def history(spark, sf):
@@ -73,10 +74,11 @@ def early_stop(spark, sf):
 
 
 SUMMARY_SQL = (
-    f"(SELECT b.run_id, s.stop_epoch, b.epoch AS best_epoch, b.metric AS best_metric, b.test_metric, b.loss "
+    f"(SELECT s.run_id, s.stop_epoch, t.best_epoch, t.best_metric, t.test_metric, t.loss FROM {STOP_SQL} s LEFT JOIN ("
+    f"SELECT b.run_id, b.epoch AS best_epoch, b.metric AS best_metric, b.test_metric, b.loss "
     f"FROM {BEST_SQL} b JOIN {STOP_SQL} s ON b.run_id = s.run_id "
     "WHERE b.improved AND b.epoch <= coalesce(s.stop_epoch, s.last_epoch) "
-    "QUALIFY row_number() OVER (PARTITION BY b.run_id ORDER BY b.epoch DESC) = 1)")
+    "QUALIFY row_number() OVER (PARTITION BY b.run_id ORDER BY b.epoch DESC) = 1) t ON t.run_id = s.run_id)")
 
 
 def _summary(spark, sf):
@@ -98,12 +100,11 @@ def best_test_at_best_val(spark, sf):
 
 
 @register("run_leaderboard",
-          "SELECT row_number() OVER (ORDER BY best_metric DESC, run_id) AS rank, run_id, "
-          f"round(best_metric, 9) AS best_metric, best_epoch FROM {SUMMARY_SQL} "
-          f"ORDER BY best_metric DESC, run_id LIMIT {TOP_K}")
+          "SELECT row_number() OVER (ORDER BY best_metric DESC NULLS LAST, run_id) AS rank, run_id, "
+          f"round(best_metric, 9) AS best_metric, best_epoch FROM {SUMMARY_SQL}")
 def run_leaderboard(spark, sf):
-    """Top runs by best validation metric."""
-    lb = R.leaderboard(_summary(spark, sf), "best_metric", k=TOP_K)
+    """Every run by best validation metric."""
+    lb = R.leaderboard(_summary(spark, sf), "best_metric")
     return lb.select(F.col("rank").cast("long").alias("rank"), "run_id",
                      F.round("best_metric", 9).alias("best_metric"), "best_epoch")
 
@@ -119,25 +120,95 @@ def epoch_elapsed(spark, sf):
     return h.select("run_id", "epoch", F.round(us / F.lit(1e6), 6).alias("elapsed_sec"))
 
 
+# --- run logs: a log a run, the runs being twenty groups of users ----------------
+
+_LOG_RUNS = 20
+
+
+def logged_history(spark, sf):
+    """One row per (run, epoch): run = group of users, epoch = the group's n-th active day."""
+    e = read_table(spark, sf, "events")
+    d = e.groupBy((F.col("user_id") % _LOG_RUNS).alias("run"), F.to_date("ts").alias("day")).agg(
+        (F.count_if(F.col("event_type") == "purchase") / F.count(F.lit(1))).alias("recall"),
+        F.avg("value").alias("loss"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("at"))
+    return d.withColumn("epoch", F.row_number().over(Window.partitionBy("run").orderBy("day")).cast("long"))
+
+
+_LOGGED_SQL = (
+    "(SELECT *, row_number() OVER (PARTITION BY run ORDER BY day) AS epoch FROM ("
+    f"SELECT user_id % {_LOG_RUNS} AS run, CAST(ts AS DATE) AS day, "
+    "count_if(event_type = 'purchase') / count(*)::DOUBLE AS recall, avg(value) AS loss, count(*) AS n "
+    "FROM events GROUP BY ALL))")
+
+
+def _report(n):
+    """A class report as the log has it: a title line and indented lines."""
+    return F.concat(F.lit("\n                precision    recall\n\n           1       0.50      0.25\n    accuracy  "), n)
+
+
 @register("metrics_from_log",
-          "SELECT run_id, epoch, key, value FROM ("
-          "SELECT run_id, epoch, 'Epoch' AS key, CAST(epoch AS DOUBLE) AS value FROM " + HISTORY_SQL +
-          " UNION ALL SELECT run_id, epoch, 'Train loss', round(loss, 6) FROM " + HISTORY_SQL +
-          " UNION ALL SELECT run_id, epoch, 'Best val f1', round(metric, 6) FROM " + HISTORY_SQL + ")")
+          "WITH h AS " + _LOGGED_SQL + ", r AS (SELECT 'model' || (run % 5) AS model, run % 4 AS seed, '1e-05' AS lr, "
+          "0.001::DOUBLE AS weight_decay, * FROM h) "
+          "SELECT model, seed, lr, weight_decay, epoch, key, value_text FROM ("
+          "SELECT model, seed, lr, weight_decay, epoch, 'Epoch' AS key, CAST(epoch AS VARCHAR) AS value_text FROM r "
+          "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'Train loss', printf('%.6f', loss) FROM r "
+          "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'Best val macro_recall', printf('%.6f', recall) FROM r "
+          "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'Best val clf_report', '               precision    recall' "
+          "|| chr(10) || chr(10) || '           1       0.50      0.25' || chr(10) || '    accuracy  ' || n FROM r "
+          "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'time', n || '.2500s' FROM r "
+          "UNION ALL SELECT DISTINCT model, seed, lr, weight_decay, NULL, 'arguments', 'seed=' || seed || ', lr=1e-05' FROM r)")
 def metrics_from_log(spark, sf):
-    """Write per-epoch log lines, read them back as text, parse the metrics."""
-    h = history(spark, sf)
-    msgs = [F.concat(F.lit("Epoch: "), F.col("epoch").cast("string")),
+    """Write a log a run, with arguments, epochs and class reports; parse the files back."""
+    h = logged_history(spark, sf)
+    model, seed = F.concat(F.lit("model"), (F.col("run") % 5).cast("string")), F.col("run") % 4
+    h = h.withColumn("log", runlog.run_name(model, seed, "1e-05", "0.001"))
+    args = F.concat(F.lit("Namespace(seed="), seed.cast("string"), F.lit(", lr=1e-05)"))
+    first = h.filter("epoch = 1").withColumn("epoch", F.lit(0).cast("long"))
+    records = runlog.format_records(first, ["log", "epoch"], "at", "run", [args]).unionByName(
+        runlog.format_records(h, ["log", "epoch"], "at", "run", [
+            F.concat(F.lit("Epoch: "), F.col("epoch").cast("string")),
             F.concat(F.lit("Train loss: "), F.format_string("%.6f", "loss")),
-            F.concat(F.lit("Best val f1: "), F.format_string("%.6f", "metric"))]
-    path = runlog.write_log(runlog.format_lines(h, "t1", "run_id", msgs), scratch_path(spark, "log"))
-    p = runlog.read_log(spark, path)
-    # the epoch of a line = the "Epoch" value logged by the same process at the same time
-    ep = p.filter(F.col("key") == "Epoch").select(
-        "process", "logged_at", F.col("value_text").cast("long").alias("epoch"))
-    return p.join(ep, ["process", "logged_at"]).select(
-        F.col("process").alias("run_id"), "epoch", "key",
-        F.col("value_text").cast("double").alias("value"))
+            F.concat(F.lit("Best val macro_recall: "), F.format_string("%.6f", "recall")),
+            F.concat(F.lit("Best val clf_report:"), _report(F.col("n").cast("string"))),
+            F.concat(F.lit("time: "), F.col("n").cast("string"), F.lit(".2500s\n"))]))
+    path = runlog.write_logs(records, "log", ["epoch", "nth"], scratch_path(spark, "logs"))
+    return runlog.read_logs(spark, path).select("model", "seed", "lr", "weight_decay", "epoch", "key", "value_text")
+
+
+def _recorded_sql():
+    runs = " UNION ALL ".join(
+        f"SELECT {seed} AS seed, {wd}::DOUBLE AS weight_decay, {epoch} AS epoch, split, metric, value "
+        f"FROM {reply_metrics_sql(reply_head(seed, wd, epoch))}"
+        for seed, wd in REPLY_RUNS for epoch in range(1, REPLY_EPOCHS + 1))
+    return (f"WITH r AS ({runs}), v AS (SELECT * FROM r WHERE split = 'validate' AND metric = 'macro_recall'), "
+            "best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY seed, weight_decay "
+            "ORDER BY value DESC, epoch) = 1) "
+            "SELECT row_number() OVER (ORDER BY best.value DESC, 'head-seed-' || best.seed || '-lr1e-05-wd' || best.weight_decay) AS rank, "
+            "best.seed::BIGINT AS seed, best.weight_decay, best.epoch::BIGINT AS best_epoch, round(best.value, 9) AS val_macro_recall, "
+            "round(t.value, 9) AS test_macro_recall FROM best JOIN r t ON t.seed = best.seed "
+            "AND t.weight_decay = best.weight_decay AND t.epoch = best.epoch AND t.split = 'test' AND t.metric = 'macro_recall'")
+
+
+@register("recorded_leaderboard", _recorded_sql())
+def recorded_leaderboard(spark, sf):
+    """Score -> epoch record -> append to the metrics table -> best epoch by validation
+    macro recall -> test metric there, for runs that differ in seed and weight decay."""
+    path = scratch_path(spark, "records")
+    for seed, wd in REPLY_RUNS:
+        for epoch in range(1, REPLY_EPOCHS + 1):
+            m = reply_record(spark, sf, reply_head(seed, wd, epoch))
+            runlog.append_metrics(m.select(
+                F.lit(f"head-seed-{seed}-lr1e-05-wd{wd}").alias("run_id"), F.lit(seed).cast("long").alias("seed"),
+                F.lit(wd).alias("weight_decay"), F.lit(epoch).cast("long").alias("epoch"), "split", "metric", "value"), path)
+    m = runlog.read_metrics(spark, path).filter(F.col("metric") == "macro_recall")
+    run = ["run_id", "seed", "weight_decay", "epoch"]
+    hist = m.groupBy(*run).agg(F.max(F.when(F.col("split") == "validate", F.col("value"))).alias("metric"),
+                               F.max(F.when(F.col("split") == "test", F.col("value"))).alias("test"))
+    b = R.best_so_far(hist)
+    s = R.summarize(b, R.early_stop(b).select("run_id", "stop_epoch"), ["metric", "test", "seed", "weight_decay"])
+    lb = R.leaderboard(s, "metric")
+    return lb.select(F.col("rank").cast("long").alias("rank"), "seed", "weight_decay", "best_epoch",
+                     F.round("metric", 9).alias("val_macro_recall"), F.round("test", 9).alias("test_macro_recall"))
 
 
 @register("metrics_append",

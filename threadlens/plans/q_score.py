@@ -10,11 +10,14 @@ from ..functions import arrays as A
 from ..functions.text import STAT_NAMES
 from ..operators import lexicon as LX
 from ..operators.batches import assign_batches
-from ..operators.scaling import ScalerModel, fit_array_scaler, fit_scaler
-from ..operators.score import FusionModel, head_scores, mean_batch_loss, rule_linear, row_losses
+from ..operators.hashing import hashed_tf
+from ..operators.evaluate import epoch_metrics
+from ..operators.score import FusionModel, Linear, fusion_scores, head_scores, mean_batch_loss, rule_linear, row_losses
 from . import inputs as I
 from . import sqlmodel as M
-from .q_features import FIT_SPLITS, LEX_COLS, _apply_sql, _lexicon, _LEX_WIDE_SQL, _STATS_SQL
+from . import sqltext as S
+from ..session import materialize
+from .q_features import FIT_SPLITS, LEX_COLS, _apply_sql, _lexicon, fit_both, _LEX_WIDE_SQL, _STATS_SQL
 from ..sources.tables import read_table
 from .registry import register
 
@@ -124,30 +127,35 @@ FUSION = FusionModel.from_rule(EMB_DIM, len(I.LEXICON_CATEGORIES), 2, seed=3)
 
 
 def featurized(spark, sf):
-    """(doc_id, split, stats..., lex_vec, x): one shuffle for the lexicon
-    aggregate (statistics ride along), one join to the content vectors."""
-    d = I.cleaned_docs(spark, sf).select("doc_id", "split", "c", *tf.stat_columns("c"))
+    """(doc_id, split, stats..., lex_vec, x): the lexicon aggregate (statistics ride
+    along) and the hashed term frequencies that stand for the content."""
+    c = I.cleaned_docs(spark, sf)
+    d = c.select("doc_id", "split", "c", *tf.stat_columns("c"))
     v = LX.lexicon_vector(d, "doc_id", "c", _lexicon(spark), carry=("split", *STAT_NAMES))
-    e = read_table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("x"))
-    j = v.join(e, "doc_id", "left")
-    return j.withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), EMB_DIM)))
+    return v.join(hashed_tf(c, "doc_id", "c", EMB_DIM), "doc_id")
 
 
 def scaled_features(spark, sf):
-    f = featurized(spark, sf).persist()
-    fit_rows = f.filter(F.col("split").isin(*FIT_SPLITS))
-    ms = ScalerModel.from_df(fit_scaler(fit_rows, {n: n for n in STAT_NAMES}))
-    ml = ScalerModel.from_df(fit_array_scaler(fit_rows, "lex_vec", LEX_COLS))
+    f = materialize(featurized(spark, sf))
+    ms, ml = fit_both(f.filter(F.col("split").isin(*FIT_SPLITS)))
     return f.select("doc_id", "split", "x",
                     F.array(*[ms.column(n, n) for n in STAT_NAMES]).alias("zs"),
                     ml.array("lex_vec").alias("zl"))
 
 
+_TF_SQL = (
+    "(SELECT id AS doc_id, " + ", ".join(
+        f"CASE WHEN count(b) = 0 THEN 0.0::DOUBLE ELSE count_if(b = {i}) / count(b)::DOUBLE END AS c{i}"
+        for i in range(EMB_DIM))
+    + f" FROM (SELECT id, CASE WHEN tok IS NOT NULL THEN ('0x' || substr(md5(tok), 1, 4))::INTEGER % {EMB_DIM} END AS b "
+    f"FROM (SELECT id, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS tok FROM "
+    f"(SELECT id, {S.lexicon_tokens('c')} AS t FROM {I.CLEANED_DOCS_SQL}))) GROUP BY id)")
+
+
 def _fusion_sql(with_logits: bool = False):
     zs = [f"zs.z_{n}" for n in STAT_NAMES]
     zl = [f"zl.z_{c}" for c in LEX_COLS]
-    emb = [f"coalesce(e.embedding[{i + 1}], 0.0)" for i in range(EMB_DIM)]
+    emb = [f"tf.c{i}" for i in range(EMB_DIM)]
     hc = M.relu(M.linear(emb, FUSION.content))
     hs = M.relu(M.linear(zs, FUSION.stats))
     hl = M.relu(M.linear(zl, FUSION.lexicon))
@@ -156,13 +164,14 @@ def _fusion_sql(with_logits: bool = False):
     z = ["o0", "o1"]
     p = M.softmax(z)
     l1 = ("SELECT zs.doc_id, zs.split, " + ", ".join(f"{e} AS {n}" for e, n in zip(hc + hs + hl, h))
-          + " FROM zs JOIN zl ON zs.doc_id = zl.doc_id LEFT JOIN embeddings e ON e.vec_id = zs.doc_id")
+          + " FROM zs JOIN zl ON zs.doc_id = zl.doc_id JOIN tf ON tf.doc_id = zs.doc_id")
     l2 = "SELECT doc_id, split, " + ", ".join(
         f"{e} AS {n}" for e, n in zip(M.relu(M.linear(h, FUSION.fusion)), fu)) + f" FROM ({l1})"
     l3 = "SELECT doc_id, split, " + ", ".join(
         f"{e} AS {n}" for e, n in zip(M.linear(fu, FUSION.out), z)) + f" FROM ({l2})"
     return (f"WITH zs AS ({_apply_sql(_STATS_SQL, list(STAT_NAMES), 'z_', rnd=False)}), "
-            f"zl AS (WITH lw AS ({_LEX_WIDE_SQL}) {_apply_sql('lw', LEX_COLS, 'z_', rnd=False)}) "
+            f"zl AS (WITH lw AS ({_LEX_WIDE_SQL}) {_apply_sql('lw', LEX_COLS, 'z_', rnd=False)}), "
+            f"tf AS {_TF_SQL} "
             + (f"SELECT doc_id, split, o0, o1, {p[1]} AS p1, {M.argmax(p)} AS prediction FROM ({l3})"
                if with_logits else
                f"SELECT doc_id, split, round({p[0]}, 6) AS p0, round({p[1]}, 6) AS p1, "
@@ -173,7 +182,6 @@ def _fusion_sql(with_logits: bool = False):
 def fusion_forward(spark, sf):
     """Late-fusion scores: content 64->10, statistics 6->3, lexicon L->20,
     fusion 33->10, output 2, softmax; features standardised on train+val."""
-    from ..operators.score import fusion_scores
     s = fusion_scores(scaled_features(spark, sf), FUSION, "x", "zs", "zl", keep=("doc_id", "split"))
     return s.select("doc_id", "split", F.round(F.element_at("probs", 1), 6).alias("p0"),
                     F.round(F.element_at("probs", 2), 6).alias("p1"), "prediction",
@@ -212,14 +220,68 @@ def fusion_epoch_metrics(spark, sf):
     """One epoch's record: score every split with the fusion model, then
     precision / recall / F1 / AUC and the mean of batch-mean losses per split
     as long (split, metric, value) rows."""
-    from ..operators.evaluate import epoch_metrics
-    from ..operators.score import fusion_scores
     s = fusion_scores(scaled_features(spark, sf), FUSION, "x", "zs", "zl", keep=("doc_id", "split"))
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     # a few numbers per document, read by every metric pass: keep them
     j = s.join(lab, "doc_id").select(
         "doc_id", "split", "label", "prediction", "score",
-        A.cross_entropy("logits", "label").alias("loss")).persist()
+        A.cross_entropy("logits", "label").alias("loss"))
+    j = materialize(j)
+    # only the loss needs the batches
     b = assign_batches(j, "doc_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
-    m = epoch_metrics(b, score="score", loss="loss", batch="batch_id")
+    m = epoch_metrics(j, batched=b)
+    return m.select("split", "metric", F.round("value", 9).alias("value"))
+
+
+# --- the reply classifier's epochs: ten-class heads of several runs ------------
+
+#: Runs: seed and weight decay; an epoch's head follows from both.
+REPLY_RUNS, REPLY_EPOCHS = ((7, 0.001), (8, 0.1)), 2
+
+
+def reply_head(seed: int, weight_decay: float, epoch: int) -> Linear:
+    lin = rule_linear(N_CLASSES, EMB_DIM, seed + 10 * (epoch - 1))
+    keep = (1 - weight_decay) ** epoch
+    return Linear([[round(w * keep, 6) for w in row] for row in lin.weight], lin.bias)
+
+
+def _reply_logits_sql(head: Linear) -> str:
+    return ("(SELECT vec_id, " + I.split_sql("vec_id") + " AS split, CAST(label AS INTEGER) AS label, "
+            + ", ".join(f"{e} AS z{i}" for i, e in enumerate(M.linear(_EMB_IN, head))) + " FROM embeddings)")
+
+
+def reply_metrics_sql(head: Linear) -> str:
+    """Long (split, metric, value) rows of one head's epoch record."""
+    return (
+        f"(WITH s AS (SELECT vec_id, split, label, {M.argmax(_Z)} AS prediction, {_LSE} - {_ZL} AS loss "
+        f"FROM {_reply_logits_sql(head)}), "
+        "cc AS (SELECT split, cls, sum(su) AS support, sum(p) AS predicted, sum(t) AS tp FROM ("
+        "SELECT split, label AS cls, 1 AS su, 0 AS p, CASE WHEN label = prediction THEN 1 ELSE 0 END AS t FROM s "
+        "UNION ALL SELECT split, prediction, 0, 1, 0 FROM s) GROUP BY split, cls), "
+        "pc AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted::DOUBLE END AS pr, "
+        "CASE WHEN support = 0 THEN 0.0 ELSE tp / support::DOUBLE END AS re, "
+        "CASE WHEN predicted + support = 0 THEN 0.0 ELSE 2 * tp / (predicted + support)::DOUBLE END AS f FROM cc), "
+        "m AS (SELECT split, sum(tp) / sum(predicted)::DOUBLE AS mp, avg(pr) AS ap, avg(re) AS ar, avg(f) AS af "
+        "FROM pc GROUP BY split), "
+        f"b AS (SELECT split, loss, (row_number() OVER (PARTITION BY split ORDER BY {_order_sql('vec_id')}) - 1) "
+        f"// {BATCH_SIZE} AS batch_id FROM s), "
+        "l AS (SELECT split, avg(x) AS v FROM (SELECT split, batch_id, avg(loss) AS x FROM b GROUP BY ALL) GROUP BY split) "
+        "SELECT split, 'micro_precision' AS metric, mp AS value FROM m UNION ALL "
+        "SELECT split, 'macro_precision', ap FROM m UNION ALL SELECT split, 'macro_recall', ar FROM m UNION ALL "
+        "SELECT split, 'macro_f1', af FROM m UNION ALL SELECT split, 'loss', v FROM l)")
+
+
+def reply_record(spark, sf, head: Linear):
+    """Score every embedding with the head, and the epoch's record per split."""
+    s = row_losses(head_scores(_emb(spark, sf), head, "x", keep=("vec_id", "split", "label")), "label") \
+        .select("vec_id", "split", "label", "prediction", "loss")
+    b = assign_batches(s, "vec_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
+    return epoch_metrics(s, batched=b, multiclass=True)
+
+
+@register("reply_epoch_metrics",
+          f"SELECT split, metric, round(value, 9) AS value FROM {reply_metrics_sql(reply_head(7, 0.001, 1))}")
+def reply_epoch_metrics(spark, sf):
+    """The multi-class epoch record: micro precision, macro P / R / F1 and the loss, per split."""
+    m = reply_record(spark, sf, reply_head(7, 0.001, 1))
     return m.select("split", "metric", F.round("value", 9).alias("value"))

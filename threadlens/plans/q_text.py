@@ -122,7 +122,8 @@ def quality_profile(spark, sf):
     document cross the join shuffle; the per-quality averages aggregate
     partially on the map side.
     """
-    d = I.documents(spark, sf).select("doc_id", *tf.stat_columns(tf.clean("text")))
+    # two steps, so that the cleaned text is computed once and not in each statistic
+    d = I.documents(spark, sf).select("doc_id", tf.clean("text").alias("c")).select("doc_id", *tf.stat_columns("c"))
     lab = read_table(spark, sf, "labels").select("doc_id", "quality")
     j = d.join(lab, "doc_id")
     return j.groupBy("quality").agg(
