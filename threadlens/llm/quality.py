@@ -129,8 +129,9 @@ def cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> D
         above = F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda cutoff: value > cutoff)
         return F.struct(F.lit(rule).alias("rule"), F.size(above).alias("level"))
 
-    levels = holdout.select("stratum", "good", F.inline(F.array(*map(reached, RULES)))) \
-        .groupBy("stratum", "good", "rule", "level").count()
+    levels = save(holdout.select("stratum", "good", F.inline(F.array(*map(reached, RULES))))
+                  .groupBy("stratum", "good", "rule", "level").count())
+    n_strata = max(1, levels.select("stratum").distinct().count())
     # a document that reaches a level exceeds that level's cutoff and all cutoffs below it
     tests = levels.select("stratum", "rule", F.explode(F.sequence(F.lit(0), "level")).alias("level"),
                           F.when(F.col("good"), F.col("count")).otherwise(0).alias("k"),
@@ -141,14 +142,12 @@ def cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> D
     sizes = F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*map(F.lit, RULES[r][2])))])
     grid = grid.select("*", F.posexplode(sizes[F.col("rule")]).alias("level", "cutoff")) \
         .withColumn("level", F.col("level") + 1)
-    strata = grid.select(F.count_distinct(F.struct("stratum")).alias("n_strata"))
     tests = grid.join(tests, (grid["stratum"].eqNullSafe(tests["stratum"])) & (grid["rule"] == tests["rule"])
                       & (grid["level"] == tests["level"]), "left") \
         .select(grid["stratum"], grid["rule"], grid["level"], "cutoff", "n", "n_bad",
-                F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("bad", F.lit(0)).alias("bad")) \
-        .join(F.broadcast(strata))  # one row
+                F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("bad", F.lit(0)).alias("bad"))
     passes = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) \
-        <= F.lit(delta / len(RULES)) / F.col("n_strata")
+        <= F.lit(delta / len(RULES) / n_strata)
     loosest_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("level"))
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - F.col("k") / F.greatest("n", F.lit(1))
     valid = tests.withColumn("passes", passes) \

@@ -97,4 +97,26 @@ ORACLE: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op7_suffix_tree": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k
+            FROM split, unnest(range(1, len(ws) - 48)) AS t(i) WHERE doc_id IS NOT NULL),
+        late AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM windows)
+            WHERE least < doc_id),
+        placed AS (
+            SELECT s.doc_id, j, s.ws[j] AS word FROM split s, unnest(range(1, len(s.ws) + 1)) AS t(j)),
+        marked AS (
+            SELECT p.doc_id, p.j, p.word,
+                   coalesce(max(l.i) OVER (PARTITION BY p.doc_id ORDER BY p.j) > p.j - 50, false) AS gone
+            FROM placed p LEFT JOIN late l ON l.doc_id = p.doc_id AND l.i = p.j),
+        kept AS (
+            SELECT doc_id, count_if(gone)::BIGINT AS n_removed,
+                   sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS h
+            FROM marked GROUP BY doc_id)
+        SELECT s.doc_id, len(s.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+               coalesce(k.h, sha256('')) AS kept_sha256
+        FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id""",
 }
