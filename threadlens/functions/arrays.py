@@ -1,7 +1,8 @@
 """Array maths for scoring: linear layers, ReLU, softmax, arg-max, losses.
 
 Weights are literal arrays; each output unit is one ``aggregate(zip_with)``
-expression, so a whole layer stays inside one codegen'd Project.
+expression. Higher-order functions are interpreted, so a layer's Project stands
+outside whole-stage code generation; it still runs in the JVM, without Python.
 
 Measured alternative, rejected: unrolling each unit into per-element
 arithmetic (``get(x, i) * w_i``) lets the optimizer see through the layer

@@ -50,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
-    if not path and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not path and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="threadlens-ckpt-")
