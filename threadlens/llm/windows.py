@@ -79,6 +79,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
 
 
+def within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted values."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def segments(symbols: np.ndarray, gram: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(gram hash, first window, number of windows) of the segments, in chunks."""
     windows = len(symbols) - length + 1
@@ -145,7 +152,7 @@ class Words:
 GROUP_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 #: A gram that more documents share is hot: each of its windows is then a key of its own.
-HOT = 5000
+HOT = 20_000
 #: Distinct segments that are indexed together, in bytes, and the rows that refer to them.
 INDEX_BYTES, INDEX_ROWS = 1 << 20, 200_000
 _SEGMENTS = "key long, payload binary, n int, doc long, dkey long, lo long"
@@ -227,18 +234,21 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                 units = u.units(text.as_py())
                 for h, lo, n in segments(u.symbols(units), u.gram, length):
                     g = gram_of(h)
-                    in_hot = np.isin(g, often)
-                    take = np.isin(g, wanted) & ~in_hot
+                    in_hot = within(g, often)
+                    take = within(g, wanted) & ~in_hot
                     for k, i, m in zip(h[take].view(np.int64).tolist(), lo[take].tolist(), n[take].tolist()):
                         out.append((k, u.cut(units, i, i + m + length - 1), m, doc, dkey, i))
                     for first, m in zip(lo[in_hot].tolist(), n[in_hot].tolist()):
+                        settled = 0
                         for i in range(first, first + m):
                             window = u.cut(units, i, i + length)
                             if least.setdefault(window, doc) == doc:
                                 k = xxhash.xxh64_intdigest(window, 11)
                                 out.append((k - (1 << 63), window, 1, doc, dkey, i))
                             else:  # known to start in a smaller document of this group
-                                out.append((dkey, None, 1, doc, dkey, i))
+                                settled |= 1 << i - first
+                        if settled:  # a mark already: it passes the index by
+                            out.append((dkey, None, 0, settled, dkey, first))
         columns = list(zip(*out)) or [[]] * 6
         types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
@@ -248,12 +258,20 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
         ids: dict[bytes, int] = {}
         windows_of: list[int] = []
         first: list[int] = []
+        keys: list[int] = []
         refer: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
             n = np.array(windows_of, np.int64)
-            masks = mark(list(ids), n, np.array(first, np.int64)) if ids else np.zeros(0, np.int64)
+            masks = np.zeros(len(ids), np.int64)
+            # a gram with one segment only has copies of it, which need no index
+            _, where, many = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
+            several = np.flatnonzero(many[where] > 1)
+            if len(several):
+                payloads = list(ids)
+                masks[several] = mark([payloads[i] for i in several.tolist()], n[several],
+                                      np.array(first, np.int64)[several])
             of, doc, dkey, lo = (np.array(c, np.int64) for c in (zip(*refer) if refer else [[]] * 4))
             every = (np.int64(1) << n) - 1
             # a later copy of a segment loses all its windows
@@ -266,23 +284,23 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
             for key, payload, n, doc, dkey, lo in zip(*(batch[c].to_pylist() for c in
                                                        ("key", "payload", "n", "doc", "dkey", "lo"))):
                 if payload is None:
-                    settled.append((dkey, lo))
+                    settled.append((dkey, lo, doc))
                     continue
                 if key != last and (size > INDEX_BYTES or len(refer) > INDEX_ROWS):
                     yield flush()
-                    ids, windows_of, first, refer, size = {}, [], [], [], 0
+                    ids, windows_of, first, keys, refer, size = {}, [], [], [], [], 0
                 last = key
                 i = ids.setdefault(payload, len(ids))
                 if i == len(first):
                     windows_of.append(n)
                     first.append(doc)
+                    keys.append(key)
                     size += len(payload)
                 elif doc < first[i]:
                     first[i] = doc
                 refer.append((i, doc, dkey, lo))
             if settled:
-                dkey, lo = (np.array(c, np.int64) for c in zip(*settled))
-                yield pa.RecordBatch.from_arrays([pa.array(dkey), pa.array(lo), pa.array(np.ones_like(lo))],
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*settled)],
                                                  ["dkey", "lo", "mask"])
         yield flush()
 
