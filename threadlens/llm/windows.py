@@ -176,7 +176,8 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     Documents are dealt into groups by a hash, with one shuffle of the texts that
     all steps share. 1) A group's distinct grams, as packed numbers, go to the
     part of their hash, which tells each group those that other documents have,
-    too. 2) Groups send the segments of such grams to the gram's hash, whole.
+    too. 2) Groups send the segments of such grams to the gram's hash, whole;
+    of copies within a group only the first goes, the others are marked at once.
     3) There segments are indexed and marked. 4) The marks go back to the groups.
     Grams are compared by hash, which may only let needless segments through;
     windows are compared by content.
@@ -237,7 +238,11 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                     in_hot = within(g, often)
                     take = within(g, wanted) & ~in_hot
                     for k, i, m in zip(h[take].view(np.int64).tolist(), lo[take].tolist(), n[take].tolist()):
-                        out.append((k, u.cut(units, i, i + m + length - 1), m, doc, dkey, i))
+                        segment = u.cut(units, i, i + m + length - 1)
+                        if least.setdefault(segment, doc) == doc:
+                            out.append((k, segment, m, doc, dkey, i))
+                        else:  # a copy of one in a smaller document of this group: a mark already
+                            out.append((dkey, None, 0, (1 << m) - 1, dkey, i))
                     for first, m in zip(lo[in_hot].tolist(), n[in_hot].tolist()):
                         settled = 0
                         for i in range(first, first + m):
@@ -245,9 +250,9 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                             if least.setdefault(window, doc) == doc:
                                 k = xxhash.xxh64_intdigest(window, 11)
                                 out.append((k - (1 << 63), window, 1, doc, dkey, i))
-                            else:  # known to start in a smaller document of this group
+                            else:
                                 settled |= 1 << i - first
-                        if settled:  # a mark already: it passes the index by
+                        if settled:
                             out.append((dkey, None, 0, settled, dkey, first))
         columns = list(zip(*out)) or [[]] * 6
         types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
