@@ -155,6 +155,8 @@ PART_BYTES = 16 << 20
 HOT = 20_000
 #: Distinct segments that are indexed together, in bytes, and the rows that refer to them.
 INDEX_BYTES, INDEX_ROWS = 1 << 20, 200_000
+#: The mask of a text that loses all its windows.
+EVERY = -1
 _SEGMENTS = "key long, payload binary, n int, doc long, dkey long, lo long"
 _SPANS = "dkey long, lo long, mask long"
 
@@ -174,7 +176,9 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     each the array of its removed units (None: none), into the result.
 
     Documents are dealt into groups by a hash, with one shuffle of the texts that
-    all steps share. 1) A group's distinct grams, as packed numbers, go to the
+    all steps share. Texts that are whole copies of one in a smaller document are
+    told apart first, by two hashes and their length: all their windows go, and
+    they take no part in what follows. 1) A group's distinct grams, as packed numbers, go to the
     part of their hash, which tells each group those that other documents have,
     too. 2) Groups send the segments of such grams to the gram's hash, whole;
     of copies within a group only the first goes, the others are marked at once.
@@ -191,10 +195,11 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     def gram_of(h: np.ndarray) -> np.ndarray:
         return h % np.uint64(space)
 
-    def grams(key: tuple, table: pa.Table) -> pa.Table:
+    def grams(key: tuple, table: pa.Table, copies: pa.Table) -> pa.Table:
         u, found = unit(), []
-        for doc, text in zip(table["doc_id"].to_pylist(), table["text"]):
-            if doc is not None and text.is_valid:
+        copied = set(copies["copy"].to_pylist()) if "copy" in copies.column_names else ()
+        for doc, dkey, text in zip(*(table[c] for c in ("doc_id", "dkey", "text"))) if len(table) else ():
+            if doc.is_valid and text.is_valid and dkey.as_py() not in copied:
                 own = [h for h, _, _ in segments(u.symbols(u.units(text.as_py())), u.gram, length)]
                 if own:
                     found.append(np.unique(gram_of(np.concatenate(own))))
@@ -225,13 +230,16 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     def cut(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if "doc_id" in table.column_names and "shared" in told.column_names:
-            wanted = np.sort(_unpack([x.as_py() for x in told["shared"]], "<u8"))
-            often = np.sort(_unpack([x.as_py() for x in told["hot"]], "<u8"))
+            wanted, often = (np.sort(_unpack([x.as_py() for x in told[c].drop_null()], "<u8")) for c in ("shared", "hot"))
+            copied = set(told["copy"].drop_null().to_pylist())
             u, least = unit(), {}
             for doc, dkey, text in sorted(zip(table["doc_id"].to_pylist(), table["dkey"].to_pylist(), table["text"]),
                                           key=lambda r: (r[0] is None, r[0] or 0)):
                 if doc is None or not text.is_valid:
                     continue
+                if dkey in copied:
+                    out.append((dkey, None, 0, EVERY, dkey, 0))
+                    continue
                 units = u.units(text.as_py())
                 for h, lo, n in segments(u.symbols(units), u.gram, length):
                     g = gram_of(h)
@@ -322,7 +330,11 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
             units, covered = u.units(text.as_py() or ""), None
             if dkey in bad:
                 step = np.zeros(len(units) + 1, np.int64)
+                if (0, EVERY) in bad[dkey] and len(units) >= length:
+                    step[0], step[-1] = 1, -1
                 for lo, mask in bad[dkey]:
+                    if mask == EVERY:
+                        continue
                     at = lo + np.flatnonzero(np.unpackbits(np.array([mask], "<i8").view(np.uint8), bitorder="little"))
                     np.add.at(step, at, 1)
                     np.add.at(step, at + length, -1)
@@ -330,8 +342,16 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
             texts.append((units, covered))
         return finish(table, u, texts)
 
-    asked = rows.groupBy("b").applyInArrow(grams, "part long, b long, rest binary, count binary")
-    told = asked.groupBy("part").applyInArrow(shared, "b long, shared binary, hot binary")
+    whole = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text")).alias("whole")
+    texts = rows.filter("doc_id is not null and text is not null").select("doc_id", "dkey", whole)
+    least = texts.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    copies = texts.join(least, "whole").filter("doc_id > least").select(F.col("dkey").alias("copy"))
+    copies = copies.select(F.pmod("copy", F.lit(n_groups)).alias("b"), "copy")
+
+    asked = rows.groupBy("b").cogroup(copies.groupBy("b")) \
+        .applyInArrow(grams, "part long, b long, rest binary, count binary")
+    told = asked.groupBy("part").applyInArrow(shared, "b long, shared binary, hot binary") \
+        .unionByName(copies, allowMissingColumns=True)
     found = rows.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(cut, _SEGMENTS)
     spans = found.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(index, _SPANS) \
         .withColumn("b", F.pmod("dkey", F.lit(n_groups)))
