@@ -11,7 +11,8 @@ generated password is not. The dictionary is the list of whole words of a public
 vocabulary, whose order is that of their frequency.
 
 Spans are code points, end exclusive, ordered by start and then by kind as in
-``KINDS``. A ``guess`` span never overlaps a base span.
+``KINDS``. A value is priced whole, also where base spans hold a part of it; its
+``guess`` span is added if it reaches beyond all other spans, which stay.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and
 null ids are scanned like any others.
@@ -23,6 +24,7 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +48,8 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII)
 USERINFO = re.compile(r"://[^\s/:@]{1,256}:([^\s/@]+)@", re.ASCII)
 MIN_VALUE = 6
+#: What is left of a value beyond other spans does not count if it is these alone.
+CLOSERS = "\"'.,;:!?)]}>"
 #: Values that cost at least so much to guess (log10) are reported.
 MIN_GUESSES = 9.0
 #: Texts without any of these hold no span of any kind.
@@ -160,6 +164,23 @@ def words_of(definition: str) -> dict[str, int]:
     return {w: i for i, w in enumerate(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())}
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of start as (start, end), those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for _, start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _end_of(held: list[tuple[int, int]], at: int) -> int:
+    """Where the span that holds ``at`` ends; ``at`` itself if none does."""
+    i = bisect_right(held, (at, math.inf)) - 1
+    return max(at, held[i][1]) if i >= 0 else at
+
+
 class Scanner:
     def __init__(self, words: dict[str, int]):
         self.cost = GuessCost(words)
@@ -171,16 +192,18 @@ class Scanner:
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        found, taken = [], sorted((s, e) for _, s, e in base)
+        found, reach = [], 0
+        held = _merged(base)
         matches = [m for p in (CONTEXT, USERINFO) for m in p.finditer(text)]
         for m in sorted(matches, key=lambda m: m.start(1)):
             start, value = m.start(1), m[1].rstrip("\"'.,;:!?)")
             end = start + len(value)
-            if len(value) < MIN_VALUE or any(s < end and start < e for s, e in taken):
+            # guesses before this one start before it, so they hold it up to ``reach``; closers alone are no value
+            if len(value) < MIN_VALUE or _end_of(held, max(start, reach)) >= start + len(value.rstrip(CLOSERS)):
                 continue
             if self.cost(value) >= MIN_GUESSES:
                 found.append(("guess", start, end))
-                taken.append((start, end))
+                reach = max(reach, end)
         return found
 
     def scan(self, text: str) -> tuple[list, list]:
