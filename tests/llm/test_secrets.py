@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -83,6 +84,26 @@ def test_base_spans_that_hold_a_value_are_enough(text):
     assert base and spans == base
 
 
+@pytest.mark.parametrize("text,values", [
+    ('{"token":"abcdefgh12","pwd":"xK9#mQ2$vL7p"}', ["xK9#mQ2$vL7p"]), ("token=abcdefgh12;pwd=xK9#mQ2$vL7p", ["xK9#mQ2$vL7p"]),
+    ('{"pwd":"summer","name":"q8#kLz","id":"a8f3k2"}', []), ("?pwd=summer&session=98asdh12kjh3", []),
+    ("pwd=summer&auth=xK9#mQ2$vL7p&q=1", ["xK9#mQ2$vL7p"]), ("{'a':{'pwd':'xK9#\\'Q2$vL7p!'},'b':1}", ["xK9#\\'Q2$vL7p!"]),
+    ("Server=db1;User=sa;Pwd=xK9#mQ2,vL7;p;Database=x", ["xK9#mQ2,vL7;p"]), ('{"msg":"pwd=xK9#mQ2$vL7p","name":"x"}', ["xK9#mQ2$vL7p"]),
+    ("token:summer,pwd=xK9#mQ2$vL7p", ["xK9#mQ2$vL7p"]), ('pwd="summer;auth=xK9#mQ2$vL7p', ["xK9#mQ2$vL7p"]),
+    ("password: aB3&x=9kLm2#", ["aB3&x=9kLm2#"]), ('pwd: xK9";mQ2$vL7p', ['xK9";mQ2$vL7p']), ("pwd=pwd=pwd=xK9#mQ2$vL7p", ["pwd=xK9#mQ2$vL7p"])])
+def test_each_context_has_its_own_value(text, values):
+    base, spans = SCANNER.scan(text)
+    assert base == brute_base(text) and set(base) <= set(spans)
+    assert [text[s:e] for k, s, e in spans if k == "guess"] == values
+
+
+@pytest.mark.parametrize("unit", ["token=", "pwd=", "pwd=x|", "token='", '"pwd":"x",', "auth=a&", "token=abcdefgh#", 'pwd="', "pwd=x',", "is pwd is "])
+def test_many_contexts_take_linear_time(unit):
+    text, start = unit * (100_000 // len(unit)), time.perf_counter()
+    base, spans = SCANNER.scan(text)
+    assert base == brute_base(text) and time.perf_counter() - start < 60
+
+
 def test_the_hint_loses_nothing():
     hint = re.compile(secrets.HINT)
     for text in ["PASSWORD=abcdefgh", "pwd: xK9#mQ2$vL7p", "a://u:xK9#mQ2$vL7p@h", "f" * 32, "AKIA" + "A" * 16]:

@@ -11,7 +11,10 @@ generated password is not. The dictionary is the list of whole words of a public
 vocabulary, whose order is that of their frequency.
 
 Spans are code points, end exclusive, ordered by start and then by kind as in
-``KINDS``. A value is priced whole, also where base spans hold a part of it; its
+``KINDS``. A value ends at its closing quote; without quotes at the next blank, at
+the quote of a string around it, or at a ``;``, ``&`` or comma before a further field
+(a name with the sign that stands before the value, or a credential word with
+either); other punctuation may be part of it. A value is priced whole, also where base spans hold a part of it; its
 ``guess`` span is added if it reaches beyond all other spans, which stay.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and
@@ -42,10 +45,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|api_?key|credentials?|auth|bearer"
-    r"|private_?key|access_?key|client_?secret)(?:[\"']?\x20{0,8}[:=]|\x20{1,8}is(?=\x20))\x20{0,8}[\"']?([!-~]+)",
-    re.IGNORECASE | re.ASCII)
+_CREDENTIAL = r"(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|api_?key|credentials?|auth|bearer" \
+    r"|private_?key|access_?key|client_?secret)"
+#: Up to the value. Groups: the sign before it (none for "is"), and the quote that opens it.
+CONTEXT = re.compile(rf"""(?<![A-Za-z0-9]){_CREDENTIAL}(?:["']?\x20{{0,8}}([:=])|\x20{{1,8}}is(?=\x20))"""
+                     r"""\x20{0,8}(["']?)(?=[!-~])""", re.IGNORECASE | re.ASCII)
+#: A value and its closing quote; a backslash keeps the character after it from closing.
+QUOTED = {'"': re.compile(r'(?:[!#-\[\]-~]|\\[!-~])*+"'), "'": re.compile(r"(?:[!-&(-\[\]-~]|\\[!-~])*+'")}
+
+
+def _ends(name: str) -> re.Pattern:
+    """Ends of values without quotes: a blank, a further field, the quote (group 1) of a string around them."""
+    return re.compile(rf"""[^!-~]|[}}\])"']{{0,4}}[;&,][{{\["']{{0,4}}(?:{_CREDENTIAL}["']?[:=]{name})"""
+                      r"""|(["'])(?=[}\]),;:>]|[^!-~]|\Z)""", re.IGNORECASE | re.ASCII)
+
+
+#: By the sign before the value, as fields of one record have the same.
+ENDS = {sign: _ends(rf"""|[A-Z_][A-Z0-9_.-]{{0,63}}["']?{sign}""" if sign else "") for sign in (":", "=", None)}
+#: The string around a value opens at most so many characters before the credential word.
+AROUND = 256
 USERINFO = re.compile(r"://[^\s/:@]{1,256}:([^\s/@]+)@", re.ASCII)
 MIN_VALUE = 6
 #: What is left of a value beyond other spans does not count if it is these alone.
@@ -181,6 +199,16 @@ def _end_of(held: list[tuple[int, int]], at: int) -> int:
     return max(at, held[i][1]) if i >= 0 else at
 
 
+def _value_end(text: str, m: re.Match) -> tuple[int, bool]:
+    """Where the value of a context ends, and whether a quote closes it."""
+    if m[2] and (quoted := QUOTED[m[2]].match(text, m.end())):
+        return quoted.end() - 1, True
+    for end in ENDS[m[1]].finditer(text, m.end()):
+        if not end[1] or end[1] in text[max(0, m.start() - AROUND):m.start()]:
+            return end.start(), False
+    return len(text), False
+
+
 class Scanner:
     def __init__(self, words: dict[str, int]):
         self.cost = GuessCost(words)
@@ -194,12 +222,23 @@ class Scanner:
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         found, reach = [], 0
         held = _merged(base)
-        matches = [m for p in (CONTEXT, USERINFO) for m in p.finditer(text)]
-        for m in sorted(matches, key=lambda m: m.start(1)):
-            start, value = m.start(1), m[1].rstrip("\"'.,;:!?)")
+        contexts = list(CONTEXT.finditer(text))
+        # within a run of one repeated context only the last two have a value of their own
+        values = [(m.end(), m) for m, *more in zip(contexts, contexts[1:] + [None], contexts[2:] + [None, None])
+                  if None in more or not (m[0] == more[0][0] == more[1][0] and m.end() == more[0].start()
+                                          and more[0].end() == more[1].start())]
+        values += [(m.start(1), m) for m in USERINFO.finditer(text)]
+        for start, m in sorted(values, key=lambda v: v[0]):
+            if m.re is CONTEXT and start < reach:
+                continue
+            end, closed = _value_end(text, m) if m.re is CONTEXT else (m.end(1), False)
+            value = text[start:end] if closed else text[start:end].rstrip("\"'.,;:!?)")
             end = start + len(value)
-            # guesses before this one start before it, so they hold it up to ``reach``; closers alone are no value
-            if len(value) < MIN_VALUE or _end_of(held, max(start, reach)) >= start + len(value.rstrip(CLOSERS)):
+            if len(value) < MIN_VALUE:
+                continue
+            # all up to ``reach`` is held by other spans; closers alone are no value
+            if _end_of(held, max(start, reach)) >= (end if closed else start + len(value.rstrip(CLOSERS))):
+                reach = max(reach, end)
                 continue
             if self.cost(value) >= MIN_GUESSES:
                 found.append(("guess", start, end))
