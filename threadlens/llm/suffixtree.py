@@ -1,13 +1,15 @@
-"""Substring dedup over words by prefix-partitioned suffix trees.
+"""Substring dedup over words by suffix trees partitioned by gram.
 
 A word is removed if a window of ``LENGTH`` words that covers it also starts in a
 document with a smaller id. All suffixes of all documents would make one
 generalised suffix tree; its deep internal nodes (those at a depth of LENGTH
 words or more) are the repeats sought. The tree is built in parts: suffixes are
-dealt out by a gram of their first words, suffixes whose gram no other document
-has are leaves and go nowhere, and a gram that too many documents share is split
-further, by the longest prefix that matters, the whole window. So every part
-fits in memory, and each repeat lies in one part (``windows.removed``).
+dealt out by a gram, the one with the least hash among those of their first LENGTH
+words (not a prefix); suffixes whose gram no other document has are leaves and go
+nowhere, and a gram that too many documents share is split further, by the longest
+prefix that matters, the whole window. So every part fits in memory, and each
+repeat lies in one part. Whole copies of a text (by hash), copies of a segment and
+windows of hot grams are settled without a tree (``windows.removed``).
 
 A part's tree is held as its sorted leaves and the longest common prefixes of
 neighbours: the internal nodes are the intervals of neighbours that share a

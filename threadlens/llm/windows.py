@@ -184,7 +184,8 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     of copies within a group only the first goes, the others are marked at once.
     3) There segments are indexed and marked. 4) The marks go back to the groups.
     Grams are compared by hash, which may only let needless segments through;
-    windows are compared by content.
+    windows are compared by content, but for those of whole copies, which are equal
+    by hash. ``mark`` sees distinct segments of grams that are not hot, nothing else.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dkey"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
