@@ -13,6 +13,10 @@ than ALPHA of its good documents. Of the valid cutoffs the one that parts bad
 from good documents best is taken (the loosest among equals); a rule without a
 valid cutoff that helps rejects nothing in that stratum.
 
+So a stratum needs log(DELTA / (strata x rules)) / log(1 - ALPHA / rules) good
+holdout documents that no rule would reject before any cutoff is valid: 459 with
+one stratum, 597 with four, 688 with ten.
+
 Holdout documents are the labelled ones that pass the base rules. A document
 with several labels counts as good only if all its labels say so. Strata are the
 values of a column (null is one of them), at most ``MAX_STRATA``.
