@@ -80,3 +80,11 @@ def test_held_out_accuracy(spark):
     rows = got.join(truth, "doc_id").filter("held_out").collect()
     assert len(rows) > 150 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
     assert got.count() == 1000
+
+
+def test_copies_of_a_text_are_drawn_one_by_one(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "'en' AS lang", "if(id < 2000, 'the same text', concat('text ', id)) AS text")
+    drawn = langid.sample(rows, bound=600)
+    copies = drawn.filter("text = 'the same text'").count()
+    assert 120 < copies < 280 and 480 < drawn.count() < 720
+    assert langid.sample(rows.drop("doc_id"), bound=600).count() < 6000  # without an id, by the text

@@ -223,8 +223,13 @@ class Scorer:
                 for t, b, s, r in zip(full, best, score, rate)]
 
 
-def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: int = SAMPLE_DOCS) -> DataFrame:
-    """At most about ``bound`` rows, the same number of each language, picked by a hash of the row."""
+def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: int = SAMPLE_DOCS,
+           key: str = "doc_id") -> DataFrame:
+    """At most about ``bound`` rows, the same number of each language, picked by a hash of the row.
+
+    The hash is of ``key`` (if there is such a column) and ``text``, so copies of a
+    text under several ids are drawn one by one.
+    """
     counts = labelled.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang!r}")
@@ -234,13 +239,16 @@ def sample(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: i
     cut = F.lit(0.0)
     for r in counts:
         cut = F.when(F.col(lang) == r[lang], F.lit(min(1.0, share / r["count"]))).otherwise(cut)
-    draw = F.pmod(F.xxhash64(F.col(text), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    of = [F.col(c) for c in (key, text) if c in labelled.columns]
+    draw = F.pmod(F.xxhash64(*of, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return labelled.filter(draw < cut)
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: int = SAMPLE_DOCS) -> ContextTrees:
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: int = SAMPLE_DOCS,
+        key: str = "doc_id") -> ContextTrees:
     """Learn the context trees of the languages of the labelled rows with a letter."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")) \
+    keys = [F.col(key).alias("key")] if key in labelled.columns else []
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), *keys) \
         .filter("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +262,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", bound: int
                                                   "n": list(counter.values())})
 
     # one worker's words of a language are counted before the shuffle
-    words = sample(rows, bound=bound).mapInArrow(count, "lang string, word string, n long") \
+    words = sample(rows, bound=bound, key="key").mapInArrow(count, "lang string, word string, n long") \
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return ContextTrees.fit((r.lang, r.word, r.n) for r in words.collect())
 
