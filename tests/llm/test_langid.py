@@ -88,3 +88,12 @@ def test_copies_of_a_text_are_drawn_one_by_one(spark):
     copies = drawn.filter("text = 'the same text'").count()
     assert 120 < copies < 280 and 480 < drawn.count() < 720
     assert langid.sample(rows.drop("doc_id"), bound=600).count() < 6000  # without an id, by the text
+
+
+@pytest.mark.parametrize("text", ["abra bar", "über bar é", "日本 语言 über", "рус " * 9])
+def test_the_rate_is_by_encoded_byte(text):
+    scorer = langid.Scorer(langid.ContextTrees.fit(COUNTS))
+    for texts in ([text], ["bar", text, "rab" * 40], [text]):
+        bits, size = scorer.totals(texts)
+        assert size.tolist() == [sum(len(w.encode()) + 1 for w in t.split()) for t in texts]
+    assert scorer.predict([text])[0][2] == pytest.approx(bits.min() / size[0])

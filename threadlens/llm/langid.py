@@ -185,16 +185,16 @@ class Scorer:
         self.trees = trees
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(trees.languages)))
+        self.coded = np.zeros(0)  # bytes of each known word: its own, and the space behind it
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(code length in bits a language, bytes coded) of each text."""
         if len(self.known) > _CACHE_WORDS:
-            self.known, self.table = {}, self.table[:0]
-        known, fresh, spans, ids = self.known, [], [], []
+            self.known, self.table, self.coded = {}, self.table[:0], self.coded[:0]
+        known, fresh, ids = self.known, [], []
         n_known = len(known)
         for text in texts:
             words = words_of(text)
-            spans.append((len(words), sum(map(len, words))))
             # repeats within one call share an entry, long words too
             for w in set(words).difference(known):
                 known[w] = n_known + len(fresh)
@@ -202,10 +202,11 @@ class Scorer:
             ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if fresh:
             self.table = np.concatenate([self.table, self.trees.code_lengths(fresh)])
+            self.coded = np.concatenate([self.coded, [len(w.encode("utf-8", "surrogatepass")) + 1.0 for w in fresh]])
         bits = np.array([self.table[i].sum(axis=0) for i in ids]).reshape(len(texts), -1)
-        size = np.array([a + b for a, b in spans], float)
+        size = np.array([self.coded[i].sum() for i in ids], float)
         if any(len(w) > _CACHE_LENGTH for w in fresh):  # long words are not kept
-            self.known, self.table = {}, self.table[:0]
+            self.known, self.table, self.coded = {}, self.table[:0], self.coded[:0]
         return bits, size
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
