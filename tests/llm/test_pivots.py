@@ -64,3 +64,11 @@ def test_columns(spark):
     df = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("e"), F.lit(1).alias("cell"))
     got = pivots.top_k(df.withColumn("v", pivots.whole("e")), 50)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
+
+
+def test_only_visited_cells_are_copied_for_a_group_of_queries(spark):
+    dealt = spark.createDataFrame([(i, i % 4, 0) for i in range(40)], "vec_id long, cell int, block int")
+    choices = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 2, 1), (4, 5, 1), (4, 0, 2)], "vec_id long, part int, cell int")
+    got = sorted((r.vec_id, r.part) for r in pivots.for_visits(dealt, choices).collect())
+    parts = {0: [0], 1: [2, 5], 2: [0]}  # nobody visits cell 3
+    assert got == sorted((i, p) for i in range(40) for p in parts.get(i % 4, []))

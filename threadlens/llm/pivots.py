@@ -126,6 +126,13 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
 
+def for_visits(dealt: DataFrame, choices: DataFrame) -> DataFrame:
+    """A copy of each row of ``dealt`` for every group of queries (``part``) that visits its cell, and no other."""
+    groups = choices.select("cell", "part").distinct().groupBy("cell").agg(F.collect_list("part").alias("parts"))
+    # one row a cell, so no more than there are pivots
+    return dealt.join(F.broadcast(groups), "cell").withColumn("part", F.explode("parts")).drop("parts")
+
+
 def top_k(vectors: DataFrame, every: int, k: int = 5, n_pivots: int = PIVOTS, sample: int = SAMPLE,
           block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of every row whose vec_id is divisible by ``every``.
@@ -198,12 +205,12 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, n_pivots: int = PIVOTS, sa
                  pa.array(names[cell].astype(np.int32))], ["vec_id", "v", "floor", "part", "cell"])
 
     floor = F.coalesce(F.col("least").cast("double"), F.lit(float("-inf")))
-    visits = asked.drop("cell", "block").join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left") \
+    choices = asked.drop("cell", "block").join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left") \
         .select("vec_id", "v", floor.alias("floor"), "part") \
-        .mapInArrow(choose, "vec_id long, v array<long>, floor double, part int, cell int") \
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+        .mapInArrow(choose, "vec_id long, v array<long>, floor double, part int, cell int")
+    visits = choices.withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
     # each block meets one group of queries at a time
-    parts = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    parts = for_visits(dealt, choices)
     found = visits.groupBy("cell", "block", "part").cogroup(parts.groupBy("cell", "block", "part")) \
         .applyInArrow(visit, _FOUND)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
