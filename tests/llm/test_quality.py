@@ -90,3 +90,14 @@ def test_hard_rows(spark, clashing, empty):
     assert all(r.base_failed for r in got if r.doc_id in (3, 4, 5, 6, 7))
     assert quality.judge(empty, labels).count() == 0
     assert quality.judge(empty, labels.limit(0)).count() == 0
+
+
+def test_more_strata_than_are_broadcast(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(2800).selectExpr("id AS doc_id", "concat('l', id % 2) AS lang",
+                                        f"if(id % 14 < 2, '{text} #### #### #### #### #### ####', '{text}') || ' ' || id AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 14 < 2, 0, 1) AS quality")
+    want = sorted(map(tuple, quality.judge(docs, labels).collect()))
+    assert {r[-len(quality.RULES):] for r in want} != {(None,) * len(quality.RULES)}
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    assert sorted(map(tuple, quality.judge(docs, labels).collect())) == want

@@ -19,7 +19,8 @@ one stratum, 597 with four, 688 with ten.
 
 Holdout documents are the labelled ones that pass the base rules. A document
 with several labels counts as good only if all its labels say so. Strata are the
-values of a column (null is one of them), at most ``MAX_STRATA``.
+values of a column (null is one of them); the cutoffs of up to ``MAX_STRATA`` are
+broadcast, more are joined as a table.
 
 Defined results: a null text counts as empty and fails the base rules; null ids
 and repeated rows are judged like any others; without labels the base rules
@@ -171,9 +172,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
         .groupBy("key").agg((F.min("q") > 0).alias("good"))
     holdout = rows.filter(~F.col("base_failed")).join(good, "key")
     cuts = save(cutoffs(holdout.select("stratum", "good", *COUNTS), alpha, delta))
-    if cuts.limit(MAX_STRATA + 1).count() > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {stratum!r}")
-    cuts = F.broadcast(cuts.withColumnRenamed("stratum", "of"))  # at most MAX_STRATA rows
+    few = cuts.limit(MAX_STRATA + 1).count() <= MAX_STRATA
+    cuts = cuts.withColumnRenamed("stratum", "of")
+    cuts = F.broadcast(cuts) if few else cuts
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(ratio(r) > F.col(f"cut_{r}"), F.lit(False))
