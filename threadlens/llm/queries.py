@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covering, langid, mixing, pivots, quality, rlindex, secrets, suffixtree, toxicity
+from . import (bpe, covering, langid, mixing, pivots, prefixtrie, quality, residues, rlindex, secrets, suffixtree,
+               tensored, toxicity)
 from .common import crc_bucket, read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -72,6 +73,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return residues.mine(rows.select("vec_id", label.alias("label"), pivots.whole("embedding").alias("v")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_length_index": op8_run_length_index,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_residues": op11_residues,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_tensored": op13_tensored,
 }
 ORACLE: dict[str, str] = {
     "op3_pivots": """
@@ -119,4 +137,78 @@ ORACLE: dict[str, str] = {
         SELECT s.doc_id, len(s.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed,
                coalesce(k.h, sha256('')) AS kept_sha256
         FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id""",
+    "op11_residues": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                   list_inner_product(a.v, c.v)::BIGINT AS score
+            FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+          AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+        QUALIFY rank <= 5""",
+    "op12_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                       md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT conv_id FROM turns),
+        steps AS (  -- a byte, then eight shifts
+            SELECT conv_id, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]
+                                     FOR c IN string_split(conv_id::VARCHAR, '')]) AS ops FROM ids),
+        convs AS (
+            SELECT conv_id, xor(4294967295, list_reduce(list_concat([4294967295]::BIGINT[], ops), lambda crc, op:
+                CASE WHEN op >= 0 THEN xor(crc, op) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384)
+                     ELSE crc // 2 END)) % 9 AS h FROM steps),
+        rebuilt AS (
+            SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t
+                ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= h
+            UNION ALL
+            SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > h),
+        paths AS (
+            SELECT conv_id, row_number() OVER w AS d, strlen(text) AS bytes,
+                   string_agg(md5(length(role) || ':' || role || text), '') OVER w AS k
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+            UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        ended AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM paths),
+        nodes AS (
+            SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                   CASE WHEN d > 0 THEN left(k, length(k) - 32) END AS above,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+            FROM ended GROUP BY k, d),
+        kids AS (SELECT above, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+        below AS (  -- each node counts for all nodes on its own path
+            SELECT p.k, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * n.bytes) AS saved
+            FROM nodes n LEFT JOIN kids ON kids.above = n.k
+            JOIN paths p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.k)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+               coalesce(kids.n, 0) AS n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.k = n.k LEFT JOIN kids ON kids.above = n.k
+        LEFT JOIN nodes up ON up.k = n.above""",
+    "op13_tensored": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)])
+                   END AS items FROM split),
+        shingles AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets),
+        linked AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.item = b.item AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reached AS (
+            SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reached r JOIN linked l ON l.x = r.y),
+        least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+        SELECT s.doc_id, len(s.items)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+        FROM sets s JOIN least l ON l.x = s.doc_id""",
 }
