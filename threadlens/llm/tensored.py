@@ -13,13 +13,14 @@ where it arrives. Sets that share a key there are joined to one candidate group;
 group goes on as one row with all its keys, before the shuffle too, so that a key which
 very many sets share stays small.
 
-Candidate groups are then compared on full sets. Groups of more than ``BLOCK`` sets are first
-dealt anew by prefix filtering, which is exact: sets of similarity t or more share one of the
-first n - ceil(t * n) + 1 shingles in any common order, here with the most frequent ones last,
-so that a passage in very many documents joins none of them. What is still larger is split
-into blocks; pairs of blocks that the links within blocks have already joined to one
-component are left out. Each comparison counts all intersections by matrix products and
-sends on a spanning forest of its links.
+Candidate groups are then compared on full sets, in blocks of about ``BLOCK``. Each
+comparison counts all intersections by matrix products and sends on a spanning forest of
+its links. Groups of several blocks go on: a few sets of each component found meet until
+that joins no more components. Then prefix filtering, which is exact, tells which
+components may still be linked: sets of similarity t or more share one of the first
+n - ceil(t * n) + 1 shingles in any common order, here with the most frequent ones last, so
+that a passage in very many documents joins none of them. In what that joins, the sets
+outside the largest component meet all others, in pairs of blocks.
 
 Defined results: documents without words, null texts included, have an empty set and are
 linked with nothing; rows with a null id are linked but name no component; rows that
@@ -29,13 +30,14 @@ repeat an id are documents of their own, with that id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import save
 from .covering import components
@@ -47,6 +49,7 @@ SIDE, WIDTH = 18, 3
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 HOT_SHINGLES = 10_000
+LEADERS = 4
 FILTER_CELLS = 1 << 23
 _SETS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -241,40 +244,39 @@ def candidates(nodes: DataFrame, side: int = SIDE) -> DataFrame:
                       .alias("v")).distinct()
 
 
-def _marks(h1: np.ndarray, h2: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for a digest and a doc_id in the filter of rows to compare."""
+def _marks(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What stands for a doc_id in the filter of rows to compare."""
     own = ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-    return (h1.view(np.uint64) + _stir(own * _MIX)).view(np.int64), h2
+    return _stir(own + _MIX).view(np.int64), _stir(own ^ _MIX).view(np.int64)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(h1, h2, items) of the rows whose digest and doc_id are those of ``wanted`` (h1, h2, first, ...), with its columns.
 
-    A filter of bounded size keeps most other rows' sets out of the shuffle.
+    A filter of bounded size on the doc_id keeps most other rows from being cut into shingles and shuffled.
     """
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = _marks(batch["h1"].to_numpy(), batch["h2"].to_numpy(), batch["first"])
+            k1, k2 = _marks(batch["first"])
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2)], ["k1", "k2"])
 
     n = wanted.count()
     cells = min(FILTER_CELLS, 1 << max(4, (4 * n).bit_length()))
     held = docs.sparkSession.sparkContext.broadcast(
-        sketch(wanted.select("h1", "h2", "first").mapInArrow(mark, "k1 long, k2 long"), cells))
+        sketch(wanted.select("first").mapInArrow(mark, "k1 long, k2 long"), cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch["text"]]
-            digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
-            k1, k2 = _marks(np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]), batch["doc_id"])
-            known = np.ones(len(sets), bool)
-            for t, at in enumerate(_places(k1, k2, cells)):
+            known = np.ones(batch.num_rows, bool)
+            for t, at in enumerate(_places(*_marks(batch["doc_id"]), cells)):
                 at = at + t * cells
                 known &= (held.value[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3) > 0
-            at = np.flatnonzero(known)
+            batch = batch.filter(pa.array(known))
+            sets = [shingles(t.as_py(), size) for t in batch["text"]]
+            digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[at, 0]), pa.array(digests[at, 1]), batch["doc_id"].take(pa.array(at)),
-                 pa.array([sets[i].tobytes() for i in at.tolist()], pa.binary())], ["h1", "h2", "doc_id", "items"])
+                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), batch["doc_id"],
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "doc_id", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
         .mapInArrow(run, "h1 long, h2 long, doc_id long, items binary")
@@ -283,11 +285,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                      & F.col("doc_id").eqNullSafe(F.col("first"))).drop("w1", "w2", "doc_id", "first")
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, its component's least node) of the links among the sets, or between ``left`` and the others if both occur."""
+def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, its component's least node) of the links among the sets."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
-    items, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), size.astype(np.int64))
     shared = times[column] > 1  # the others add nothing to an intersection
     number = np.cumsum(times > 1) - 1
@@ -297,12 +299,10 @@ def linked(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.n
     both = np.zeros((n, n))
     for lo in range(0, int((times > 1).sum()), 2048):
         a, b = np.searchsorted(column, [lo, lo + 2048])
-        has = np.zeros((n, min(2048, int(column[b - 1]) - lo + 1)), np.float32)
+        has = np.zeros((n, int(column[b - 1]) - lo + 1), np.float32)
         has[row[a:b], column[a:b] - lo] = 1
         both += has @ has.T
     near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    if left.any() and not left.all():
-        near &= left[:, None] != left[None, :]
     i, j = np.nonzero(np.triu(near, 1))
     label = _roots(n, i, j)
     moved = np.flatnonzero(label != np.arange(n))
@@ -310,32 +310,32 @@ def linked(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.n
 
 
 def compared(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) found by comparing full sets within each (root, a, b) of ``rows`` (h1, h2, items, root, a, b, second)."""
+    """Links (u, v) found by comparing full sets within each (root, a, b) of ``rows`` (h1, h2, items, root, a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
+        held: dict[tuple, bytes] = {}
         current = None
 
         def flush() -> pa.RecordBatch:
-            names, sets = list(held), [np.frombuffer(v[0], np.uint64) for v in held.values()]
-            i, j = linked(sets, np.array([v[1] for v in held.values()], bool), percent) if len(sets) > 1 else ([], [])
+            names = list(held)
+            i, j = linked([np.frombuffer(x, np.uint64) for x in held.values()], percent)
             u, v = [names[x] for x in i], [names[x] for x in j]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in side], pa.int64()) for side in (u, v) for k in (0, 1)],
                 ["u1", "u2", "v1", "v2"])
 
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("root", "a", "b", "h1", "h2", "items", "second")]
-            for root, a, b, h1, h2, items, second in zip(*columns):
+            columns = [batch[c].to_pylist() for c in ("root", "a", "b", "h1", "h2", "items")]
+            for root, a, b, h1, h2, items in zip(*columns):
                 group = (root["h1"], root["h2"], a, b)
                 if group != current:
                     if len(held) > 1:
                         yield flush()
                     held, current = {}, group
-                held[h1, h2] = (items, second)
+                held[h1, h2] = items
         if len(held) > 1:
             yield flush()
 
-    rows = rows.select("root", "a", "b", "h1", "h2", "items", "second") \
+    rows = rows.select("root", "a", "b", "h1", "h2", "items") \
         .repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
     return rows.mapInArrow(run, "u1 long, u2 long, v1 long, v2 long") \
         .select(F.struct(F.col("u1").alias("h1"), F.col("u2").alias("h2")).alias("u"),
@@ -353,13 +353,14 @@ def blocked(groups: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_S
 
 def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCENT,
               many: int = BLOCK, hot: int = HOT_SHINGLES) -> DataFrame:
-    """(h1, h2, root) of the sets of ``large`` (h1, h2, first), joined where their prefixes share a shingle."""
+    """Links (u, v) between the components (``within``) of ``large`` (h1, h2, first, within) that share a shingle
+    of their sets' prefixes."""
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch["items"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], ["item"])
 
-    sets = save(full_sets(docs, large.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"]))
+    sets = save(full_sets(docs, large.select("h1", "h2", "first", "within"), size).select("items", "within"))
     # the frequent ones last: at most ``hot`` of them, which is enough for passages that very many documents share
     often = sets.select("items").mapInArrow(items, "item long").groupBy("item").count().filter(F.col("count") > many) \
         .orderBy(F.desc("count"), "item").limit(hot).collect()
@@ -369,59 +370,78 @@ def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCE
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h1, h2, one in zip(*[batch[c].to_pylist() for c in ("h1", "h2", "items")]):
+            for within, one in zip(batch["within"], batch["items"].to_pylist()):
                 own = np.frombuffer(one, np.int64)
                 last = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     last = np.where(known[at] == own, place[at], 0)
                 own = own[np.lexsort((own, last))][:len(own) - -(-percent * len(own) // 100) + 1]
+                h1, h2 = within["h1"].as_py(), within["h2"].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h1)), pa.array(np.full(len(own), h2)),
                                                   pa.array(own)], ["h1", "h2", "item"])
 
-    keys = save(sets.select("h1", "h2", "items").mapInArrow(prefix, "h1 long, h2 long, item long")
-                .select(F.struct("h1", "h2").alias("u"), "item"))
-    least = keys.groupBy("item").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    roots = components(keys.join(least, "item").select("u", "v").distinct())
-    return roots.select("node.h1", "node.h2", "root")
+    keys = save(sets.mapInArrow(prefix, "h1 long, h2 long, item long")
+                .select(F.struct("h1", "h2").alias("u"), "item").distinct())
+    least = keys.groupBy("item").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v <> w").drop("w")
+    return keys.join(least, "item").select("u", "v").distinct()
 
 
-def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: int, side: int) -> DataFrame | None:
+def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: int, side: int) -> DataFrame:
     """(h1, h2, root) of every set that is linked with another, by links confirmed on full sets."""
-    def rooted(found: DataFrame) -> DataFrame:
-        return nodes.select("h1", "h2", "n", "first").join(found, ["h1", "h2"])
-
     coarse = components(candidates(nodes, side)).select("node.h1", "node.h2", "root")
-    placed = save(blocked(rooted(coarse), block))
-    if not placed.filter("blocks > 1").isEmpty():
-        finer = by_prefix(docs, placed.filter("blocks > 1"), size, percent, block)
-        placed = save(placed.filter("blocks = 1").unionByName(blocked(rooted(finer), block)))
-    wanted = placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), F.col("mine").alias("b"),
-                           F.lit(False).alias("second"))
-    found = save(compared(full_sets(docs, wanted, size), percent))
-    split = placed.filter("blocks > 1")
-    if not split.isEmpty():
-        at = components(found).select("node.h1", "node.h2", F.col("root").alias("within"))
-        split = save(split.join(at, ["h1", "h2"], "left")
-                     .withColumn("within", F.coalesce("within", F.struct("h1", "h2"))))
-        per = split.groupBy("root", "mine").agg(F.min("within").alias("lo"), F.max("within").alias("hi"))
-        x = per.select("root", F.col("mine").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-        y = per.select("root", F.col("mine").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        # two blocks of one component need no comparison
-        pairs = x.join(y, "root").filter("a < b and (lo1 <> hi1 or lo2 <> hi2 or lo1 <> lo2)").select("root", "a", "b")
-        ways = pairs.select("root", "a", "b", F.explode(F.array("a", "b")).alias("mine"))
-        crossed = split.select("h1", "h2", "first", "root", "mine").join(ways, ["root", "mine"]) \
-            .withColumn("second", F.col("mine") == F.col("b")).drop("mine")
-        found = save(found.union(compared(_sent(docs, crossed, size), percent)))
+    placed = save(blocked(nodes.select("h1", "h2", "n", "first").join(coarse, ["h1", "h2"]), block))
+
+    def confirmed(wanted: DataFrame) -> DataFrame:
+        return save(compared(full_sets(docs, wanted, size), percent))
+
+    def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
+        at = components(links).select("node.h1", "node.h2", F.col("root").alias("within"))
+        return save(rows.join(at, ["h1", "h2"], "left")
+                    .withColumn("within", F.coalesce("within", F.struct("h1", "h2"))))
+
+    one = F.lit(0).alias("b")
+    found = confirmed(placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), one))
+    large = placed.filter("blocks > 1").select("h1", "h2", "n", "first", "root")
+    if large.isEmpty():
+        return components(found).select("node.h1", "node.h2", "root")
+    # a few sets of each component of two or more meet in common blocks, until that joins no more
+    some = Window.partitionBy("root", "within").orderBy(F.xxhash64("h1", "h2"), "h1", "h2")
+    while True:
+        within = with_component(large, found)
+        most = within.groupBy("root", "within").count().filter("count > 1").drop("count")
+        several = most.groupBy("root").count().filter("count > 1").select("root")
+        leaders = within.withColumn("nth", F.row_number().over(some)).filter(F.col("nth") <= LEADERS).drop("nth") \
+            .join(most, ["root", "within"], "left_semi").join(several, "root", "left_semi")
+        wanted = blocked(leaders, block).select("h1", "h2", "first", "root", F.col("mine").alias("a"), one)
+        new = save(confirmed(wanted).alias("f").join(within.select(
+            F.struct("h1", "h2").alias("u"), F.col("within").alias("wu")), "u").join(within.select(
+                F.struct("h1", "h2").alias("v"), F.col("within").alias("wv")), "v").filter("wu <> wv").select("u", "v"))
+        if new.isEmpty():
+            break
+        found = save(found.union(new))
+    # what else may be linked shares a shingle of the prefixes
+    joined = components(by_prefix(docs, within, size, percent, block))
+    within = within.drop("root").join(joined.withColumnRenamed("node", "within"), "within")
+    # in each such group the sets outside the largest component meet all
+    sizes = within.groupBy("root", "within").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    sizes = sizes.groupBy("root").agg(F.max(F.struct("sets", "within")).alias("top"), F.sum("sets").alias("sets"),
+                                      F.sum("items").alias("items"))
+    parts = [F.greatest(F.ceil(c / block), F.ceil(F.col("items") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+             for c in (F.col("sets"), F.col("sets") - F.col("top.sets"))]
+    sizes = sizes.select("root", F.col("top.within").alias("top"), parts[0].alias("blocks"), parts[1].alias("chunks"))
+    within = save(within.join(sizes, "root").select("h1", "h2", "first", "root", "within", "top", "blocks", "chunks"))
+    all_rows = within.select("h1", "h2", "first", "root", F.pmod(F.xxhash64("h1", "h2"), "blocks").cast("int").alias("a"),
+                             F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"))
+    others = within.filter("within <> top").select(
+        "h1", "h2", "first", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
+        F.pmod(F.xxhash64("h1", "h2"), "chunks").cast("int").alias("b"))
+    once = full_sets(docs, within.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"])
+    met = once.join(all_rows.union(others).drop("first"), ["h1", "h2"])
+    found = save(found.union(compared(met, percent)))
     return components(found).select("node.h1", "node.h2", "root")
 
 
-def _sent(docs: DataFrame, crossed: DataFrame, size: int) -> DataFrame:
-    """Full sets for rows that several comparisons ask for: fetched once, then copied."""
-    once = full_sets(docs, crossed.select("h1", "h2", "first").distinct(), size).dropDuplicates(["h1", "h2"])
-    return once.join(crossed.drop("first"), ["h1", "h2"])
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK,
                     side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row (doc_id, text)."""
