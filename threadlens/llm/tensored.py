@@ -15,8 +15,8 @@ very many sets share stays small.
 
 Candidate groups are then compared on full sets, in blocks of about ``BLOCK``. Each
 comparison counts all intersections by matrix products and sends on a spanning forest of
-its links. Groups of several blocks go on: a few sets of each component found meet until
-that joins no more components. Then prefix filtering, which is exact, tells which
+its links. Groups of several blocks go on: a few sets of each component found meet, until
+that joins no more. Then prefix filtering, which is exact, tells which
 components may still be linked: sets of similarity t or more share one of the first
 n - ceil(t * n) + 1 shingles in any common order, here with the most frequent ones last, so
 that a passage in very many documents joins none of them. In what that joins, the sets
@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import save
-from .covering import components
 from .prefixtrie import TABLES, _places, sketch
 
 SHINGLE = 4
@@ -286,7 +285,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, its component's least node) of the links among the sets."""
+    """The links (i, j) among the sets."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -302,46 +301,73 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
         has = np.zeros((n, int(column[b - 1]) - lo + 1), np.float32)
         has[row[a:b], column[a:b] - lo] = 1
         both += has @ has.T
-    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    i, j = np.nonzero(np.triu(near, 1))
-    label = _roots(n, i, j)
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+    return np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
 
 
 def compared(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) found by comparing full sets within each (root, a, b) of ``rows`` (h1, h2, items, root, a, b)."""
+    """Links (u, v) of the components (``label``) that full sets within each (root, a, b) link: each to the least one.
+
+    ``rows`` has h1, h2, items, root, a, b and label.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, bytes] = {}
+        held: dict[tuple, tuple] = {}
         current = None
 
         def flush() -> pa.RecordBatch:
-            names = list(held)
-            i, j = linked([np.frombuffer(x, np.uint64) for x in held.values()], percent)
-            u, v = [names[x] for x in i], [names[x] for x in j]
+            names = sorted({label for _, label in held.values()})
+            number = {label: i for i, label in enumerate(names)}
+            at = np.array([number[label] for _, label in held.values()])
+            u = v = np.zeros(0, np.int64)
+            if len(names) > 1:
+                i, j = linked([np.frombuffer(items, np.uint64) for items, _ in held.values()], percent)
+                least = _roots(len(names), at[i], at[j])
+                u = np.flatnonzero(least != np.arange(len(names)))
+                v = least[u]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in side], pa.int64()) for side in (u, v) for k in (0, 1)],
+                [pa.array([names[x][k] for x in side.tolist()], pa.int64()) for side in (u, v) for k in (0, 1)],
                 ["u1", "u2", "v1", "v2"])
 
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("root", "a", "b", "h1", "h2", "items")]
-            for root, a, b, h1, h2, items in zip(*columns):
+            columns = [batch[c].to_pylist() for c in ("root", "a", "b", "h1", "h2", "items", "label")]
+            for root, a, b, h1, h2, items, label in zip(*columns):
                 group = (root["h1"], root["h2"], a, b)
                 if group != current:
                     if len(held) > 1:
                         yield flush()
                     held, current = {}, group
-                held[h1, h2] = items
+                held[h1, h2] = (items, (label["h1"], label["h2"]))
         if len(held) > 1:
             yield flush()
 
-    rows = rows.select("root", "a", "b", "h1", "h2", "items") \
+    rows = rows.select("root", "a", "b", "h1", "h2", "items", "label") \
         .repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
     return rows.mapInArrow(run, "u1 long, u2 long, v1 long, v2 long") \
         .select(F.struct(F.col("u1").alias("h1"), F.col("u2").alias("h2")).alias("u"),
                 F.struct(F.col("v1").alias("h1"), F.col("v2").alias("h2")).alias("v"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (u, v): alternating stars, two shuffles by node and one to tell copies."""
+    edges = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
+    while True:
+        # a node's larger neighbours link to the least of its neighbourhood
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a node and its smaller neighbours link to the least of them
+        large = large.repartition("u")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u") \
+            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
+                                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = save(small.select("e.*").filter("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")) \
+                .union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        mark = now
+
+
 def blocked(groups: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows (h1, h2, n, first, root) of groups of two or more, with their group's ``blocks`` and their own block."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("items")).filter("sets > 1") \
@@ -353,14 +379,14 @@ def blocked(groups: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_S
 
 def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCENT,
               many: int = BLOCK, hot: int = HOT_SHINGLES) -> DataFrame:
-    """Links (u, v) between the components (``within``) of ``large`` (h1, h2, first, within) that share a shingle
+    """Links (u, v) between the components (``label``) of ``large`` (h1, h2, first, label) that share a shingle
     of their sets' prefixes."""
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch["items"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], ["item"])
 
-    sets = save(full_sets(docs, large.select("h1", "h2", "first", "within"), size).select("items", "within"))
+    sets = save(full_sets(docs, large.select("h1", "h2", "first", "label"), size).select("items", "label"))
     # the frequent ones last: at most ``hot`` of them, which is enough for passages that very many documents share
     often = sets.select("items").mapInArrow(items, "item long").groupBy("item").count().filter(F.col("count") > many) \
         .orderBy(F.desc("count"), "item").limit(hot).collect()
@@ -370,14 +396,14 @@ def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCE
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for within, one in zip(batch["within"], batch["items"].to_pylist()):
+            for label, one in zip(batch["label"], batch["items"].to_pylist()):
                 own = np.frombuffer(one, np.int64)
                 last = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     last = np.where(known[at] == own, place[at], 0)
                 own = own[np.lexsort((own, last))][:len(own) - -(-percent * len(own) // 100) + 1]
-                h1, h2 = within["h1"].as_py(), within["h2"].as_py()
+                h1, h2 = label["h1"].as_py(), label["h2"].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h1)), pa.array(np.full(len(own), h2)),
                                                   pa.array(own)], ["h1", "h2", "item"])
 
@@ -388,58 +414,60 @@ def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCE
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: int, side: int) -> DataFrame:
-    """(h1, h2, root) of every set that is linked with another, by links confirmed on full sets."""
+    """(h1, h2, root) of every set that may be linked with another; sets of one root are linked, on full sets."""
     coarse = components(candidates(nodes, side)).select("node.h1", "node.h2", "root")
     placed = save(blocked(nodes.select("h1", "h2", "n", "first").join(coarse, ["h1", "h2"]), block))
 
-    def confirmed(wanted: DataFrame) -> DataFrame:
-        return save(compared(full_sets(docs, wanted, size), percent))
+    def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows with the components that the links, one of each component at most, join theirs to."""
+        return save(rows.join(links.select(F.col("u").alias("label"), "v"), "label", "left")
+                    .withColumn("label", F.coalesce("v", "label")).drop("v"))
 
-    def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
-        at = components(links).select("node.h1", "node.h2", F.col("root").alias("within"))
-        return save(rows.join(at, ["h1", "h2"], "left")
-                    .withColumn("within", F.coalesce("within", F.struct("h1", "h2"))))
+    def confirmed(wanted: DataFrame) -> DataFrame:
+        return compared(full_sets(docs, wanted, size), percent)
 
+    # each set is in one block, and has the component that its block gives it
+    placed = placed.withColumn("label", F.struct("h1", "h2"))
     one = F.lit(0).alias("b")
-    found = confirmed(placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), one))
-    large = placed.filter("blocks > 1").select("h1", "h2", "n", "first", "root")
+    placed = joined(placed, confirmed(placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), one, "label")))
+    large = placed.filter("blocks > 1").select("h1", "h2", "n", "first", "root", "label")
     if large.isEmpty():
-        return components(found).select("node.h1", "node.h2", "root")
-    # a few sets of each component of two or more meet in common blocks, until that joins no more
-    some = Window.partitionBy("root", "within").orderBy(F.xxhash64("h1", "h2"), "h1", "h2")
+        return placed.select("h1", "h2", F.col("label").alias("root"))
+    # a few sets of each component of two or more meet, a component's in one block
+    some = Window.partitionBy("root", "label").orderBy(F.xxhash64("h1", "h2"), "h1", "h2")
     while True:
-        within = with_component(large, found)
-        most = within.groupBy("root", "within").count().filter("count > 1").drop("count")
-        several = most.groupBy("root").count().filter("count > 1").select("root")
-        leaders = within.withColumn("nth", F.row_number().over(some)).filter(F.col("nth") <= LEADERS).drop("nth") \
-            .join(most, ["root", "within"], "left_semi").join(several, "root", "left_semi")
-        wanted = blocked(leaders, block).select("h1", "h2", "first", "root", F.col("mine").alias("a"), one)
-        new = save(confirmed(wanted).alias("f").join(within.select(
-            F.struct("h1", "h2").alias("u"), F.col("within").alias("wu")), "u").join(within.select(
-                F.struct("h1", "h2").alias("v"), F.col("within").alias("wv")), "v").filter("wu <> wv").select("u", "v"))
-        if new.isEmpty():
+        most = large.groupBy("root", "label").count().filter("count > 1").drop("count")
+        several = most.groupBy("root").count().filter("count > 1") \
+            .select("root", F.ceil(F.col("count") * LEADERS / block).cast("int").alias("blocks"))
+        leaders = large.withColumn("nth", F.row_number().over(some)).filter(F.col("nth") <= LEADERS) \
+            .join(most, ["root", "label"], "left_semi").join(several, "root") \
+            .withColumn("a", F.pmod(F.xxhash64("label"), "blocks").cast("int"))
+        leaders = save(leaders.select("h1", "h2", "first", "root", "a", one, "label", "blocks"))
+        met = save(confirmed(leaders.drop("blocks")))
+        large = joined(large, met)
+        if met.isEmpty() or leaders.filter("blocks > 1").isEmpty():
             break
-        found = save(found.union(new))
     # what else may be linked shares a shingle of the prefixes
-    joined = components(by_prefix(docs, within, size, percent, block))
-    within = within.drop("root").join(joined.withColumnRenamed("node", "within"), "within")
+    near = components(by_prefix(docs, large, size, percent, block)).withColumnRenamed("node", "label")
+    groups = large.drop("root").join(near, "label")
     # in each such group the sets outside the largest component meet all
-    sizes = within.groupBy("root", "within").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
-    sizes = sizes.groupBy("root").agg(F.max(F.struct("sets", "within")).alias("top"), F.sum("sets").alias("sets"),
+    sizes = groups.groupBy("root", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    sizes = sizes.groupBy("root").agg(F.max(F.struct("sets", "label")).alias("top"), F.sum("sets").alias("sets"),
                                       F.sum("items").alias("items"))
     parts = [F.greatest(F.ceil(c / block), F.ceil(F.col("items") / BLOCK_SHINGLES), F.lit(1)).cast("int")
              for c in (F.col("sets"), F.col("sets") - F.col("top.sets"))]
-    sizes = sizes.select("root", F.col("top.within").alias("top"), parts[0].alias("blocks"), parts[1].alias("chunks"))
-    within = save(within.join(sizes, "root").select("h1", "h2", "first", "root", "within", "top", "blocks", "chunks"))
-    all_rows = within.select("h1", "h2", "first", "root", F.pmod(F.xxhash64("h1", "h2"), "blocks").cast("int").alias("a"),
+    sizes = sizes.select("root", F.col("top.label").alias("top"), parts[0].alias("blocks"), parts[1].alias("chunks"))
+    groups = save(groups.join(sizes, "root").select("h1", "h2", "first", "root", "label", "top", "blocks", "chunks"))
+    everyone = groups.select("h1", "h2", "root", "label", F.pmod(F.xxhash64("h1", "h2"), "blocks").cast("int").alias("a"),
                              F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"))
-    others = within.filter("within <> top").select(
-        "h1", "h2", "first", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
+    others = groups.filter("label <> top").select(
+        "h1", "h2", "root", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
         F.pmod(F.xxhash64("h1", "h2"), "chunks").cast("int").alias("b"))
-    once = full_sets(docs, within.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"])
-    met = once.join(all_rows.union(others).drop("first"), ["h1", "h2"])
-    found = save(found.union(compared(met, percent)))
-    return components(found).select("node.h1", "node.h2", "root")
+    once = full_sets(docs, groups.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"])
+    last = components(compared(once.join(everyone.union(others), ["h1", "h2"]), percent))
+    named = large.join(last.withColumnsRenamed({"node": "label", "root": "last"}), "label", "left") \
+        .select("h1", "h2", F.coalesce("last", "label").alias("root"))
+    return named.union(placed.filter("blocks = 1").select("h1", "h2", F.col("label").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK,
