@@ -85,7 +85,7 @@ def test_plan_is_native(spark):
 
 def test_hard_rows(spark, clashing, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (9, None)], "doc_id long, quality int")
-    got = quality.judge(clashing.drop("stratum", "key"), labels).collect()
+    got = quality.judge(clashing, labels).collect()
     assert len(got) == clashing.count()
     assert all(r.base_failed for r in got if r.doc_id in (3, 4, 5, 6, 7))
     assert quality.judge(empty, labels).count() == 0

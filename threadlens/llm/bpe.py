@@ -36,10 +36,27 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers among the first 256 code points, where the faster engine can split.
 LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe"}
+#: Letters and numbers that Unicode has since 17.0, or that the installed engine counts
+#: already; the vocabulary's library knows Unicode 16.0.
+NEWER = {
+    r"\p{L}": r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+             r"\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
+             r"\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+             r"\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+             r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+             r"\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+             r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed"
+             r"\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+             r"\U000323b0-\U00033479\U0003d000-\U0003fc3f",
+    r"\p{N}": r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"}
+#: Lower case that the library knows and older Unicode tables do not.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+         0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 #: Positions in a queue entry take this many bits; the rank stands above them.
 _BITS = 40
 _LOW = (1 << _BITS) - 1
 _NO_SPACE = re.compile(f"[^{SPACE}]+")
+_CASED = re.compile(f"[{''.join(map(chr, LOWER))}]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 #: Entries of each generation of each of a worker's two memories.
 _REMEMBERED = 120_000
@@ -70,7 +87,10 @@ class Vocabulary:
         split = next(p for p in definition["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # the engine's \s differs from this one's in four control codes
         pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
-        self.split = regex.compile(pattern)
+        as_known = pattern
+        for name, newer in NEWER.items():  # a class of its own, also where it stands in one
+            as_known = as_known.replace(name, f"[{name}--[{newer}]]")
+        self.split = regex.compile(as_known, regex.V1)
         for name, letters in LATIN.items():
             pattern = pattern.replace(f"[{name}]", f"[{letters}]").replace(name, letters)
         self.split_latin = re.compile(pattern)
@@ -127,7 +147,8 @@ class Vocabulary:
             piece.encode("latin-1")
         except UnicodeEncodeError:
             # lower case is taken letter by letter, without the final-sigma rule
-            return self.split.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            return self.split.findall(piece.translate(LOWER) if _CASED.search(piece) else piece)
         return self.split_latin.findall(piece.lower())
 
 

@@ -15,7 +15,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,14 +157,19 @@ HOT = 20_000
 INDEX_BYTES, INDEX_ROWS = 1 << 20, 200_000
 #: The mask of a text that loses all its windows.
 EVERY = -1
-_SEGMENTS = "key long, payload binary, n int, doc long, dkey long, lo long"
-_SPANS = "dkey long, lo long, mask long"
+_SEGMENTS = "key long, payload binary, n int, doc long, dkey long, lo long, mask long"
+_SPANS = "doc long, dkey long, lo long, mask long"
 
 
 def _unpack(parts: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype)
 
 
+def row_hash(*columns: str) -> Column:
+    """Tells rows of one doc_id apart, and deals them out."""
+    return F.xxhash64(*columns)
+
+
 def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schema: T.StructType,
             length: int = LENGTH, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """Find every window that also starts in a document with a smaller id, and finish each text.
@@ -185,9 +190,10 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     3) There segments are indexed and marked. 4) The marks go back to the groups.
     Grams are compared by hash, which may only let needless segments through;
     windows are compared by content, but for those of whole copies, which are equal
-    by hash. ``mark`` sees distinct segments of grams that are not hot, nothing else.
+    by hash. A row is known by its doc_id and a hash of its text, so that rows of
+    different ids are never mixed up. ``mark`` sees distinct segments of grams that are not hot, nothing else.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dkey"))
+    rows = docs.select("doc_id", "text", row_hash("doc_id", "text").alias("dkey"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups, n_parts = -(-total // group_bytes) + 1, -(-total // PART_BYTES) + 1
     rows = rows.withColumn("b", F.pmod("dkey", F.lit(n_groups)))
@@ -198,9 +204,9 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
 
     def grams(key: tuple, table: pa.Table, copies: pa.Table) -> pa.Table:
         u, found = unit(), []
-        copied = set(copies["copy"].to_pylist()) if "copy" in copies.column_names else ()
+        copied = set(zip(copies["of"].to_pylist(), copies["copy"].to_pylist())) if "copy" in copies.column_names else ()
         for doc, dkey, text in zip(*(table[c] for c in ("doc_id", "dkey", "text"))) if len(table) else ():
-            if doc.is_valid and text.is_valid and dkey.as_py() not in copied:
+            if doc.is_valid and text.is_valid and (doc.as_py(), dkey.as_py()) not in copied:
                 own = [h for h, _, _ in segments(u.symbols(u.units(text.as_py())), u.gram, length)]
                 if own:
                     found.append(np.unique(gram_of(np.concatenate(own))))
@@ -232,14 +238,14 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
         out: list[tuple] = []
         if "doc_id" in table.column_names and "shared" in told.column_names:
             wanted, often = (np.sort(_unpack([x.as_py() for x in told[c].drop_null()], "<u8")) for c in ("shared", "hot"))
-            copied = set(told["copy"].drop_null().to_pylist())
+            copied = {x for x in zip(told["of"].to_pylist(), told["copy"].to_pylist()) if x[1] is not None}
             u, least = unit(), {}
             for doc, dkey, text in sorted(zip(table["doc_id"].to_pylist(), table["dkey"].to_pylist(), table["text"]),
                                           key=lambda r: (r[0] is None, r[0] or 0)):
                 if doc is None or not text.is_valid:
                     continue
-                if dkey in copied:
-                    out.append((dkey, None, 0, EVERY, dkey, 0))
+                if (doc, dkey) in copied:
+                    out.append((dkey, None, 0, doc, dkey, 0, EVERY))
                     continue
                 units = u.units(text.as_py())
                 for h, lo, n in segments(u.symbols(units), u.gram, length):
@@ -249,24 +255,24 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                     for k, i, m in zip(h[take].view(np.int64).tolist(), lo[take].tolist(), n[take].tolist()):
                         segment = u.cut(units, i, i + m + length - 1)
                         if least.setdefault(segment, doc) == doc:
-                            out.append((k, segment, m, doc, dkey, i))
+                            out.append((k, segment, m, doc, dkey, i, 0))
                         else:  # a copy of one in a smaller document of this group: a mark already
-                            out.append((dkey, None, 0, (1 << m) - 1, dkey, i))
+                            out.append((dkey, None, 0, doc, dkey, i, (1 << m) - 1))
                     for first, m in zip(lo[in_hot].tolist(), n[in_hot].tolist()):
                         settled = 0
                         for i in range(first, first + m):
                             window = u.cut(units, i, i + length)
                             if least.setdefault(window, doc) == doc:
                                 k = xxhash.xxh64_intdigest(window, 11)
-                                out.append((k - (1 << 63), window, 1, doc, dkey, i))
+                                out.append((k - (1 << 63), window, 1, doc, dkey, i, 0))
                             else:
                                 settled |= 1 << i - first
                         if settled:
-                            out.append((dkey, None, 0, settled, dkey, first))
-        columns = list(zip(*out)) or [[]] * 6
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                            out.append((dkey, None, 0, doc, dkey, first, settled))
+        columns = list(zip(*out)) or [[]] * 7
+        types = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
-                        ["key", "payload", "n", "doc", "dkey", "lo"])
+                        ["key", "payload", "n", "doc", "dkey", "lo", "mask"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
@@ -291,14 +297,15 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
             # a later copy of a segment loses all its windows
             found = np.where(doc > np.array(first, np.int64)[of], every[of], masks[of]) if len(of) else of
             hit = found != 0
-            return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (dkey, lo, found)], ["dkey", "lo", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, dkey, lo, found)],
+                                              ["doc", "dkey", "lo", "mask"])
 
         for batch in batches:
             settled = []
-            for key, payload, n, doc, dkey, lo in zip(*(batch[c].to_pylist() for c in
-                                                       ("key", "payload", "n", "doc", "dkey", "lo"))):
+            for key, payload, n, doc, dkey, lo, mask in zip(*(batch[c].to_pylist() for c in (
+                    "key", "payload", "n", "doc", "dkey", "lo", "mask"))):
                 if payload is None:
-                    settled.append((dkey, lo, doc))
+                    settled.append((doc, dkey, lo, mask))
                     continue
                 if key != last and (size > INDEX_BYTES or len(refer) > INDEX_ROWS):
                     yield flush()
@@ -315,25 +322,25 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                 refer.append((i, doc, dkey, lo))
             if settled:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*settled)],
-                                                 ["dkey", "lo", "mask"])
+                                                 ["doc", "dkey", "lo", "mask"])
         yield flush()
 
     def end(key: tuple, table: pa.Table, spans: pa.Table) -> pa.Table:
         u = unit()
         if "doc_id" not in table.column_names:
             return finish(None, u, [])
-        bad: dict[int, list[tuple[int, int]]] = {}
+        bad: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if "mask" in spans.column_names:
-            for dkey, lo, mask in zip(*(spans[c].to_pylist() for c in ("dkey", "lo", "mask"))):
-                bad.setdefault(dkey, []).append((lo, mask))
+            for doc, dkey, lo, mask in zip(*(spans[c].to_pylist() for c in ("doc", "dkey", "lo", "mask"))):
+                bad.setdefault((doc, dkey), []).append((lo, mask))
         texts = []
-        for dkey, text in zip(table["dkey"].to_pylist(), table["text"]):
+        for *row, text in zip(table["doc_id"].to_pylist(), table["dkey"].to_pylist(), table["text"]):
             units, covered = u.units(text.as_py() or ""), None
-            if dkey in bad:
+            if tuple(row) in bad:
                 step = np.zeros(len(units) + 1, np.int64)
-                if (0, EVERY) in bad[dkey] and len(units) >= length:
+                if (0, EVERY) in bad[tuple(row)] and len(units) >= length:
                     step[0], step[-1] = 1, -1
-                for lo, mask in bad[dkey]:
+                for lo, mask in bad[tuple(row)]:
                     if mask == EVERY:
                         continue
                     at = lo + np.flatnonzero(np.unpackbits(np.array([mask], "<i8").view(np.uint8), bitorder="little"))
@@ -346,8 +353,8 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     whole = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text")).alias("whole")
     texts = rows.filter("doc_id is not null and text is not null").select("doc_id", "dkey", whole)
     least = texts.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = texts.join(least, "whole").filter("doc_id > least").select(F.col("dkey").alias("copy"))
-    copies = copies.select(F.pmod("copy", F.lit(n_groups)).alias("b"), "copy")
+    copies = texts.join(least, "whole").filter("doc_id > least").select(F.col("doc_id").alias("of"), F.col("dkey").alias("copy"))
+    copies = copies.select(F.pmod("copy", F.lit(n_groups)).alias("b"), "of", "copy")
 
     asked = rows.groupBy("b").cogroup(copies.groupBy("b")) \
         .applyInArrow(grams, "part long, b long, rest binary, count binary")
