@@ -164,7 +164,8 @@ def sketch(keys: DataFrame, cells: int) -> np.ndarray:
     schema = "shard long, counts binary"
     whole = np.zeros((TABLES * cells // shard, shard // 4), np.uint8)
     # bounded by the sketch's size
-    for row in keys.select("k1", "k2").mapInArrow(count, schema).repartition("shard").mapInArrow(add, schema).collect():
+    parts = keys.select("k1", "k2").mapInArrow(count, schema).repartition("shard").coalesce(len(whole))
+    for row in parts.mapInArrow(add, schema).collect():
         whole[row.shard] = np.frombuffer(row.counts, np.uint8)
     return whole.reshape(-1)
 

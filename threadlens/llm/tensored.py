@@ -50,6 +50,7 @@ BLOCK_SHINGLES = 1 << 20
 HOT_SHINGLES = 10_000
 LEADERS = 4
 FILTER_CELLS = 1 << 23
+TASK_ROWS = 20_000
 _SETS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -239,8 +240,8 @@ def candidates(nodes: DataFrame, side: int = SIDE) -> DataFrame:
 
     met = nodes.select("h1", "h2", "bands").mapInArrow(deal, _ENTRIES) \
         .repartition("key").sortWithinPartitions("key").mapInArrow(gather, _ENTRIES)
-    return met.select(F.struct("h1", "h2").alias("u"), F.struct(F.col("o1").alias("h1"), F.col("o2").alias("h2"))
-                      .alias("v")).distinct()
+    return met.select(F.struct("h1", "h2").alias("u"),
+                      F.struct(F.col("o1").alias("h1"), F.col("o2").alias("h2")).alias("v"))
 
 
 def _marks(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -346,26 +347,33 @@ def compared(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 F.struct(F.col("v1").alias("h1"), F.col("v2").alias("h2")).alias("v"))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """At most one partition for every ``TASK_ROWS`` rows, so that small tables are not written as many tiny files."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (u, v): alternating stars, two shuffles by node and one to tell copies."""
-    edges = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    """(node, root) of every node of the edges (u, v): alternating stars, two shuffles by node a round."""
+    edges = save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    n = edges.count()
+    edges = sized(edges, n)
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     while True:
         # a node's larger neighbours link to the least of its neighbourhood
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        both = edges.select(ways.alias("e")).select("e.*").repartition("u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node and its smaller neighbours link to the least of them
-        large = large.repartition("u")
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u") \
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
-                                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = save(small.select("e.*").filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        large = both.join(least, "u").filter("v > u") \
+            .select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        # a node and its smaller neighbours link to the least of them; no more edges than before
+        large = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        is_least = F.col("v") == F.col("m")
+        small = small.select(F.when(is_least, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"),
+                             (F.col("moved") | ~is_least).alias("moved"))
+        edges = save(sized(small, n))
+        if edges.filter("moved").isEmpty():  # stars already: each node has its root
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")) \
                 .union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
 
 
 def blocked(groups: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -377,16 +385,13 @@ def blocked(groups: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_S
         .withColumn("mine", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
 
 
-def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCENT,
-              many: int = BLOCK, hot: int = HOT_SHINGLES) -> DataFrame:
-    """Links (u, v) between the components (``label``) of ``large`` (h1, h2, first, label) that share a shingle
-    of their sets' prefixes."""
+def by_prefix(sets: DataFrame, percent: int = PERCENT, many: int = BLOCK, hot: int = HOT_SHINGLES) -> DataFrame:
+    """Links (u, v) between the components (``label``) of sets (items, label) that share a shingle of their prefixes."""
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one in batch["items"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64))], ["item"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(b"".join(batch["items"].to_pylist()), np.int64))], ["item"])
 
-    sets = save(full_sets(docs, large.select("h1", "h2", "first", "label"), size).select("items", "label"))
     # the frequent ones last: at most ``hot`` of them, which is enough for passages that very many documents share
     often = sets.select("items").mapInArrow(items, "item long").groupBy("item").count().filter(F.col("count") > many) \
         .orderBy(F.desc("count"), "item").limit(hot).collect()
@@ -396,43 +401,47 @@ def by_prefix(docs: DataFrame, large: DataFrame, size: int, percent: int = PERCE
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, one in zip(batch["label"], batch["items"].to_pylist()):
+            found = []
+            for one in batch["items"].to_pylist():
                 own = np.frombuffer(one, np.int64)
                 last = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     last = np.where(known[at] == own, place[at], 0)
-                own = own[np.lexsort((own, last))][:len(own) - -(-percent * len(own) // 100) + 1]
-                h1, h2 = label["h1"].as_py(), label["h2"].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h1)), pa.array(np.full(len(own), h2)),
-                                                  pa.array(own)], ["h1", "h2", "item"])
+                found.append(own[np.lexsort((own, last))][:len(own) - -(-percent * len(own) // 100) + 1])
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            labels = batch["label"].take(of)
+            yield pa.RecordBatch.from_arrays(
+                [labels.field("h1"), labels.field("h2"), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))],
+                ["h1", "h2", "item"])
 
     keys = save(sets.mapInArrow(prefix, "h1 long, h2 long, item long")
                 .select(F.struct("h1", "h2").alias("u"), "item").distinct())
     least = keys.groupBy("item").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v <> w").drop("w")
-    return keys.join(least, "item").select("u", "v").distinct()
+    return keys.join(least, "item").select("u", "v")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: int, side: int) -> DataFrame:
     """(h1, h2, root) of every set that may be linked with another; sets of one root are linked, on full sets."""
     coarse = components(candidates(nodes, side)).select("node.h1", "node.h2", "root")
     placed = save(blocked(nodes.select("h1", "h2", "n", "first").join(coarse, ["h1", "h2"]), block))
+    n_placed = placed.count()
 
     def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
         """The rows with the components that the links, one of each component at most, join theirs to."""
-        return save(rows.join(links.select(F.col("u").alias("label"), "v"), "label", "left")
-                    .withColumn("label", F.coalesce("v", "label")).drop("v"))
-
-    def confirmed(wanted: DataFrame) -> DataFrame:
-        return compared(full_sets(docs, wanted, size), percent)
+        rows = rows.join(links.select(F.col("u").alias("label"), "v"), "label", "left")
+        return save(sized(rows.withColumn("label", F.coalesce("v", "label")).drop("v"), n_placed))
 
     # each set is in one block, and has the component that its block gives it
-    placed = placed.withColumn("label", F.struct("h1", "h2"))
     one = F.lit(0).alias("b")
-    placed = joined(placed, confirmed(placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), one, "label")))
+    placed = placed.withColumn("label", F.struct("h1", "h2"))
+    asked = placed.select("h1", "h2", "first", "root", F.col("mine").alias("a"), one, "label")
+    placed = joined(placed, compared(full_sets(docs, asked, size), percent))
     large = placed.filter("blocks > 1").select("h1", "h2", "n", "first", "root", "label")
     if large.isEmpty():
         return placed.select("h1", "h2", F.col("label").alias("root"))
+    sets = save(full_sets(docs, large.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"]))
+    large = large.drop("first")
     # a few sets of each component of two or more meet, a component's in one block
     some = Window.partitionBy("root", "label").orderBy(F.xxhash64("h1", "h2"), "h1", "h2")
     while True:
@@ -442,14 +451,14 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: in
         leaders = large.withColumn("nth", F.row_number().over(some)).filter(F.col("nth") <= LEADERS) \
             .join(most, ["root", "label"], "left_semi").join(several, "root") \
             .withColumn("a", F.pmod(F.xxhash64("label"), "blocks").cast("int"))
-        leaders = save(leaders.select("h1", "h2", "first", "root", "a", one, "label", "blocks"))
-        met = save(confirmed(leaders.drop("blocks")))
+        leaders = save(sized(leaders.select("h1", "h2", "root", "a", one, "label", "blocks"), n_placed))
+        met = save(compared(sets.join(leaders.drop("blocks"), ["h1", "h2"]), percent))
         large = joined(large, met)
         if met.isEmpty() or leaders.filter("blocks > 1").isEmpty():
             break
     # what else may be linked shares a shingle of the prefixes
-    near = components(by_prefix(docs, large, size, percent, block)).withColumnRenamed("node", "label")
-    groups = large.drop("root").join(near, "label")
+    near = by_prefix(sets.join(large.select("h1", "h2", "label"), ["h1", "h2"]), percent, block)
+    groups = large.drop("root").join(components(near).withColumnRenamed("node", "label"), "label")
     # in each such group the sets outside the largest component meet all
     sizes = groups.groupBy("root", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
     sizes = sizes.groupBy("root").agg(F.max(F.struct("sets", "label")).alias("top"), F.sum("sets").alias("sets"),
@@ -457,14 +466,14 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, block: in
     parts = [F.greatest(F.ceil(c / block), F.ceil(F.col("items") / BLOCK_SHINGLES), F.lit(1)).cast("int")
              for c in (F.col("sets"), F.col("sets") - F.col("top.sets"))]
     sizes = sizes.select("root", F.col("top.label").alias("top"), parts[0].alias("blocks"), parts[1].alias("chunks"))
-    groups = save(groups.join(sizes, "root").select("h1", "h2", "first", "root", "label", "top", "blocks", "chunks"))
+    groups = groups.join(sizes, "root").select("h1", "h2", "root", "label", "top", "blocks", "chunks")
+    groups = save(sized(groups, n_placed))
     everyone = groups.select("h1", "h2", "root", "label", F.pmod(F.xxhash64("h1", "h2"), "blocks").cast("int").alias("a"),
                              F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"))
     others = groups.filter("label <> top").select(
         "h1", "h2", "root", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
         F.pmod(F.xxhash64("h1", "h2"), "chunks").cast("int").alias("b"))
-    once = full_sets(docs, groups.select("h1", "h2", "first"), size).dropDuplicates(["h1", "h2"])
-    last = components(compared(once.join(everyone.union(others), ["h1", "h2"]), percent))
+    last = components(compared(sets.join(everyone.union(others), ["h1", "h2"]), percent))
     named = large.join(last.withColumnsRenamed({"node": "label", "root": "last"}), "label", "left") \
         .select("h1", "h2", F.coalesce("last", "label").alias("root"))
     return named.union(placed.filter("blocks = 1").select("h1", "h2", F.col("label").alias("root")))
