@@ -11,7 +11,8 @@ BOUNDED_SINGLE = {"vocabulary", "encode_ids", "encode_padded_mask", "labelled_sa
                   "unlabelled_samples", "run_leaderboard", "recorded_leaderboard"}
 ACTION_QUERIES = {"csv_roundtrip", "params_roundtrip", "metrics_append", "metrics_from_log",
                   "lexicon_from_file", "stream_clean_stats", "stream_head_scores",
-                  "fit_fused_classifier", "csv_flat_files", "saved_vocabulary_lexicon"}
+                  "fit_fused_classifier", "csv_flat_files", "saved_vocabulary_lexicon",
+                  "csv_quoted_lines", "lexicon_file_order"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ACTION_QUERIES))

@@ -23,11 +23,11 @@ def test_encode_truncate_pad_mask(spark):
     voc = vocabulary(docs, "t", 2)                 # "a" then "b" (tie b/c broken by token)
     ids = {r.token: r.id for r in voc.collect()}
     assert ids == {"a": 4, "b": 5}
-    e = {r.id: r for r in encode(docs, ["id"], "t", voc, 2, max_len=8).collect()}
+    e = {r.id: r for r in encode(docs, ["id"], "t", voc, max_len=8).collect()}
     assert e[1].input_ids == [CLS, 4, 5, 4, UNK, SEP]
     assert e[3].input_ids == [CLS, SEP]
     assert len(e[4].input_ids) == 8 and e[4].n_tokens == 600   # whole text counted
-    p = pad(encode(docs, ["id"], "t", voc, 2, max_len=8).withColumn("g", F.lit(1)), ["g"], max_groups=1).collect()
+    p = pad(encode(docs, ["id"], "t", voc, max_len=8).withColumn("g", F.lit(1)), ["g"], max_groups=1).collect()
     for r in p:
         assert len(r.input_ids) == 8 and len(r.attention_mask) == 8
         n = sum(r.attention_mask)

@@ -101,6 +101,18 @@ def lexicon_from_file(spark, sf):
     return LX.lexicon_counts(d, "doc_id", "c", lex)
 
 
+@register("lexicon_file_order", _vector_sql(
+    "SELECT id AS doc_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY ord) AS lex_vec "
+    "FROM grid GROUP BY id"))
+def lexicon_file_order(spark, sf):
+    """The vector of a .dic file whose category numbers fall: the order is that of its lines."""
+    path = scratch_path(spark, "lexicon")
+    n = len(I.LEXICON_CATEGORIES)
+    write_dic(spark, list(I.LEXICON_CATEGORIES), I.LEXICON_PAIRS, path, numbers=[10 * (n - i) for i in range(n)])
+    v = LX.lexicon_vector(I.cleaned_docs(spark, sf), "doc_id", "c", read_dic(spark, path))
+    return v.select("doc_id", F.array_join(F.transform("lex_vec", lambda x: x.cast("string")), ",").alias("lex_vec"))
+
+
 # --- nulls, splits -------------------------------------------------------------
 
 @register("null_text_policy",

@@ -77,6 +77,19 @@ def csv_flat_files(spark, sf):
     return back.select("doc_id", "split", "content_cleaned", "label")
 
 
+@register("csv_quoted_lines",
+          f"SELECT doc_id, CASE WHEN text IN ({_NA_SQL}) THEN NULL ELSE text END AS text, n_chars, "
+          f"CASE WHEN source IN ({_NA_SQL}) THEN NULL ELSE source END AS source FROM documents")
+def csv_quoted_lines(spark, sf):
+    """Raw documents, with their line breaks and quotes, as quoted CSV, read back line by line in parallel."""
+    base = scratch_path(spark, "quoted")
+    rows = read_table(spark, sf, "documents").select("doc_id", "text", "n_chars", "source")
+    rows.write.options(**CSV_OPTIONS).csv(f"{base}/all.csv")
+    back = read_flat_splits(spark, base, "doc_id long, text string, n_chars long, source string",
+                            ("text", "source"), splits=("all",))
+    return back.select("doc_id", "text", "n_chars", "source")
+
+
 @register("fit_fused_classifier",
           f"SELECT d.doc_id, {I.split_sql('d.doc_id')} AS split, CAST(l.quality AS INTEGER) AS label, "
           "true AS score_in_range, true AS prediction_agrees FROM documents d JOIN labels l ON l.doc_id = d.doc_id")

@@ -5,7 +5,8 @@ Columns are found by header name, in any order and among others; a missing
 column and a malformed number are errors. Quoted multi-line fields are parsed,
 and the missing-value words pandas recognises become null, since Spark's CSV
 reader knows a single ``nullValue``. With folders the split is a partition
-column, so reading one split prunes the others' files.
+column, so reading one split prunes the others' files; each file is one task. A flat
+file may hold a whole split, so its lines are read in parallel (``quoted_csv``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import na_to_null
+from .quoted_csv import read_quoted
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -42,14 +44,20 @@ def _number(c: Column, name: str, kind: T.DataType) -> Column:
 
 def _read_by_name(spark: SparkSession, path: str, schema: str, text_cols: tuple[str, ...],
                   more: tuple[str, ...] = ()) -> DataFrame:
-    wanted = T.StructType.fromDDL(schema)
     header = [c for c in spark.read.options(**CSV_OPTIONS).csv(path).columns if c not in more]
-    missing = [f.name for f in wanted if f.name not in header]
-    if missing:
-        raise ValueError(f"{path}: no column {missing} among {header}")
     # all as text, and every file's own header must agree with the first one's
     as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
     df = spark.read.schema(as_text).options(**CSV_OPTIONS, enforceSchema="false").csv(path)
+    return _typed(df, path, header, schema, text_cols, more)
+
+
+def _typed(df: DataFrame, path: str, header: list[str], schema: str, text_cols: tuple[str, ...],
+           more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``schema`` from columns of text."""
+    wanted = T.StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {missing} among {header}")
     cols = []
     for f in wanted:
         c = F.col(f"`{f.name}`")
@@ -72,7 +80,8 @@ def read_flat_splits(spark: SparkSession, folder: str, schema: str, text_cols: t
     """Read ``<folder>/<split>.csv`` for each split; files may order their columns differently."""
     out = None
     for split in splits:
-        part = _read_by_name(spark, f"{folder.rstrip('/')}/{split}.csv", schema, text_cols) \
-            .withColumn(split_col, F.lit(split))
+        path = f"{folder.rstrip('/')}/{split}.csv"
+        rows = read_quoted(spark, path)
+        part = _typed(rows, path, rows.columns, schema, text_cols).withColumn(split_col, F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out
