@@ -58,7 +58,8 @@ EMOJI = (r"[\x{1f1e6}-\x{1f1ff}]{2}|[0-9#*]\x{fe0f}?\x{20e3}|"
 SENTENCE_BREAK = rf"""[.!?]+["')\]]*[{WS}]+"""
 NON_BLANK = rf"[^{WS}]"
 WORD_TOKEN = (rf"[\p{{L}}\p{{N}}_]+(?:[-'][\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_{WS}]")
-LEXICON_TOKEN = r"[\p{L}\p{N}_]+"
+LEXICON_CHAR = r"[\p{L}\p{N}_]"
+LEXICON_TOKEN = rf"{LEXICON_CHAR}+"
 URL_PLACEHOLDER = r"\[URL\]"
 
 # The same three for Spark's regex engine, which recurses for each repeat of a

@@ -5,7 +5,9 @@ after the four special ids; optionally only the ``size`` most frequent. Numbers
 are distributed positions and the vocabulary is a table like any other: nothing
 of it passes the driver. Encoding cuts a text's tokens at the limit, explodes
 them with their positions (each text's group is at most ``max_len`` ids), joins
-the vocabulary and regroups by text.
+the vocabulary and regroups by text. The ``HEAD`` most frequent tokens, which are
+most of all occurrences, are joined by broadcast, so that no occurrence of a stop
+word is shuffled by its token; only the others meet the rest of the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from .util import as_col, broadcast_if_bounded
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 N_SPECIAL = 4
 
+#: Tokens whose ids are broadcast: those of the first ids, so at most so many rows.
+HEAD = 4096
+
 
 def encoder_tokens(text: Column | str) -> Column:
     """Lower-cased words and single punctuation marks."""
@@ -54,13 +59,18 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame,
-           max_len: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
+           max_len: int = 512, carry: tuple[str, ...] = (), head: int = HEAD) -> DataFrame:
     """(keys..., carry..., input_ids array<int>, n_tokens): CLS ids SEP, with
     at most ``max_len`` ids in all; ``n_tokens`` counts the whole text."""
     toks = df.select(*keys, *carry, encoder_tokens(text).alias("_t"))
     ex = toks.select(*keys, *carry, F.size("_t").cast("long").alias("n_tokens"),
                      F.posexplode_outer(F.slice("_t", 1, max_len - 2)).alias("pos", "token"))
-    j = ex.join(vocab.select("token", F.col("id").alias("_tid")), "token", "left")
+    ids = vocab.select("token", F.col("id").alias("_tid"))
+    frequent = F.col("_tid") < N_SPECIAL + head
+    near = ex.join(broadcast_if_bounded(ids.filter(frequent), head), "token", "left")
+    known = F.col("_tid").isNotNull() | F.col("pos").isNull()
+    rest = near.filter(~known).drop("_tid").join(ids.filter(~frequent), "token", "left")
+    j = near.filter(known).unionByName(rest)
     item = F.when(F.col("pos").isNotNull(),
                   F.struct(F.col("pos"), F.coalesce(F.col("_tid"), F.lit(UNK)).alias("id")))
     g = j.groupBy(*keys, *carry, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("_p"))

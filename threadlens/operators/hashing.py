@@ -28,3 +28,15 @@ def hashed_tf(df: DataFrame, id_col: str, text_col: Column | str, dim: int, out:
     share = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
         F.col("_all") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0)) / F.col("_all")).otherwise(F.lit(0.0)))
     return g.select(id_col, share.alias(out))
+
+
+def hashed_array(text_col: Column | str, dim: int) -> Column:
+    """``hashed_tf`` of one text, as a projection."""
+    buckets = F.transform(lexicon_tokens(as_col(text_col)), lambda t: token_bucket(t, dim))
+
+    def shares(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
+            F.size(own) > 0, F.size(F.filter(own, lambda b: b == i)) / F.size(own)).otherwise(F.lit(0.0)))
+
+    # one element, so that the buckets are a variable and are computed once
+    return F.element_at(F.transform(F.array(buckets), shares), 1)

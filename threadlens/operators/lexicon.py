@@ -8,6 +8,11 @@ after that a token matches at most one surviving pattern, so matching is a
 plain equi-join of each token's candidate keys (its prefixes up to the
 longest stem, and the token itself) against the broadcast pattern table.
 No nested-loop join, no per-token regrouping.
+
+``lexicon_array`` computes the same vector inside the row, for streams and for
+plans that should have no exchange: the surviving patterns of a category are
+written as one prefix tree in regular-expression form, tried only where a token
+starts, so a token is left after its first character that no pattern has.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import LEXICON_CHAR
 from ..functions.text import lexicon_tokens
 from .util import as_col, broadcast_if_bounded
 
@@ -150,6 +156,45 @@ def lexicon_vector(df: DataFrame, id_col: str, text_col: Column | str, lex: Lexi
     return g.select(id_col, *carry, F.array(*[F.col(f"_c{i}") for i in range(lex.width)]).alias(out))
 
 
+def _prefix_tree(keys: list[tuple[str, bool]]) -> str:
+    """A regular expression for one token's start that matches if a word or stem (key, wild) does."""
+    tree: dict = {}
+    for key, wild in keys:
+        node = tree
+        for ch in key:
+            node = node.setdefault(ch, {})
+        node[wild] = True
+
+    def written(node: dict) -> str:
+        if True in node:  # a stem: whatever follows
+            return ""
+        ways = [f"\\x{{{ord(ch):x}}}{written(after)}" for ch, after in sorted((k, v) for k, v in node.items()
+                                                                             if isinstance(k, str))]
+        if False in node:  # a word: the token ends here
+            ways.append(f"(?!{LEXICON_CHAR})")
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return written(tree)
+
+
+def category_patterns(lex: Lexicon) -> list[str | None]:
+    """For each category the regular expression that matches once at each of its tokens; None if it has no pattern."""
+    # a key with any other character equals or starts no token
+    rows = lex.patterns.filter(F.col("key").rlike(rf"\A(?:{LEXICON_CHAR})*\z")).select("key", "wild", "ord").collect()
+    keys: dict[int, list[tuple[str, bool]]] = {}
+    for r in rows:
+        keys.setdefault(r.ord, []).append((r.key, r.wild))
+    return [rf"(?<!{LEXICON_CHAR})(?={LEXICON_CHAR}){_prefix_tree(keys[i])}" if i in keys else None
+            for i in range(lex.width)]
+
+
+def lexicon_array(text: Column | str, lex: Lexicon) -> Column:
+    """``lexicon_vector`` of one text, as a projection."""
+    lower = F.lower(F.coalesce(as_col(text), F.lit("")))
+    return F.array(*[F.lit(0).cast("long") if p is None else F.regexp_count(lower, F.lit(p)).cast("long")
+                     for p in category_patterns(lex)])
+
+
 def save_lexicon(lex: Lexicon, path: str) -> str:
     """The categories in order and the effective patterns, as two tables."""
     spark = lex.patterns.sparkSession

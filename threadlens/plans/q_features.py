@@ -91,6 +91,15 @@ def lexicon_vector(spark, sf):
                                            ",").alias("lex_vec"))
 
 
+@register("lexicon_projection", _vector_sql(
+    "SELECT id AS doc_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY ord) AS lex_vec "
+    "FROM grid GROUP BY id"))
+def lexicon_projection(spark, sf):
+    """The same vector computed inside the row: no exchange."""
+    v = I.cleaned_docs(spark, sf).select("doc_id", LX.lexicon_array("c", _lexicon(spark)).alias("lex_vec"))
+    return v.select("doc_id", F.array_join(F.transform("lex_vec", lambda x: x.cast("string")), ",").alias("lex_vec"))
+
+
 @register("lexicon_from_file", _COUNTS_SQL)
 def lexicon_from_file(spark, sf):
     """Same counts, with the lexicon written as a .dic file and read back."""

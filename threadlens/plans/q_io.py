@@ -14,7 +14,7 @@ from ..sources.splits import CSV_OPTIONS, read_flat_splits, read_splits, write_s
 from ..streaming import stateless as ST
 from . import inputs as I
 from . import sqltext as S
-from .q_features import FIT_SPLITS, fit_both
+from .q_features import FIT_SPLITS, _lexicon, fit_both
 from .q_score import FUSION, HEAD, _LOGITS_SQL, _fusion_sql, featurized
 from .q_text import _stats_sql
 from . import sqlmodel as M
@@ -146,6 +146,20 @@ def stream_clean_stats(spark, sf):
     return spark.read.parquet(f"{base}/sink")
 
 
+@register("stream_fusion_scores", _fusion_sql())
+def stream_fusion_scores(spark, sf):
+    """Documents as a file stream -> cleaner -> features -> scalers fitted beforehand -> late fusion -> parquet sink."""
+    ms, ml = fit_both(featurized(spark, sf).filter(F.col("split").isin(*FIT_SPLITS)))
+    src = deal(ST.file_stream(spark, sf, _DOC_SCHEMA, glob="documents.parquet"), ("doc_id",))
+    src = src.select("doc_id", "text", I.split_of("doc_id").alias("split"))
+    out = ST.stream_fusion_scores(src, "doc_id", "text", _lexicon(spark), ms, ml, FUSION, keep=("split",))
+    base = scratch_path(spark, "stream-fusion")
+    ST.run_available_now(out, f"{base}/sink", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/sink").select(
+        "doc_id", "split", F.round(F.element_at("probs", 1), 6).alias("p0"),
+        F.round(F.element_at("probs", 2), 6).alias("p1"), "prediction", F.round("score", 6).alias("score"))
+
+
 _Z = [f"z{i}" for i in range(len(HEAD.bias))]
 
 

@@ -224,3 +224,19 @@ def metrics_append(spark, sf):
                                        F.lit(name).alias("metric"), F.round(col, 9).alias("value")), path)
     m = runlog.read_metrics(spark, path)
     return m.select(F.col("run_id").cast("long").alias("run_id"), "epoch", "split", "metric", "value")
+
+
+@register("metrics_append_retry",
+          "SELECT run_id, epoch, 'validate' AS split, 'purchase_rate' AS metric, round(metric, 9) AS value "
+          f"FROM {HISTORY_SQL}")
+def metrics_append_retry(spark, sf):
+    """The same append run twice, its first try with a wrong value, and a third that fails half-way: read back once."""
+    h = history(spark, sf)
+    path = scratch_path(spark, "metrics")
+    rows = h.select("run_id", "epoch", F.lit("validate").alias("split"), F.lit("purchase_rate").alias("metric"),
+                    F.round("metric", 9).alias("value"))
+    runlog.append_metrics(rows.withColumn("value", F.col("value") + 1), path)
+    runlog.append_metrics(rows, path)
+    runlog.stage_metrics(rows.withColumn("value", F.col("value") + 2), path)
+    return runlog.read_metrics(spark, path).select(
+        F.col("run_id").cast("long").alias("run_id"), "epoch", "split", "metric", "value")

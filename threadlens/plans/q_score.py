@@ -10,7 +10,7 @@ from ..functions import arrays as A
 from ..functions.text import STAT_NAMES
 from ..operators import lexicon as LX
 from ..operators.batches import assign_batches
-from ..operators.hashing import hashed_tf
+from ..operators.hashing import hashed_array
 from ..operators.evaluate import epoch_metrics
 from ..operators.score import FusionModel, Linear, fusion_scores, head_scores, mean_batch_loss, rule_linear, row_losses
 from . import inputs as I
@@ -127,12 +127,14 @@ FUSION = FusionModel.from_rule(EMB_DIM, len(I.LEXICON_CATEGORIES), 2, seed=3)
 
 
 def featurized(spark, sf):
-    """(doc_id, split, stats..., lex_vec, x): the lexicon aggregate (statistics ride
-    along) and the hashed term frequencies that stand for the content."""
-    c = I.cleaned_docs(spark, sf)
-    d = c.select("doc_id", "split", "c", *tf.stat_columns("c"))
-    v = LX.lexicon_vector(d, "doc_id", "c", _lexicon(spark), carry=("split", *STAT_NAMES))
-    return v.join(hashed_tf(c, "doc_id", "c", EMB_DIM), "doc_id")
+    """(doc_id, split, stats..., lex_vec, x): statistics, lexicon counts, and the hashed term
+    frequencies that stand for the content, in one projection of the cleaned text."""
+    return I.cleaned_docs(spark, sf).select("doc_id", "split", *feature_columns("c", _lexicon(spark)))
+
+
+def feature_columns(text, lex):
+    return [*tf.stat_columns(text), LX.lexicon_array(text, lex).alias("lex_vec"),
+            hashed_array(text, EMB_DIM).alias("x")]
 
 
 def scaled_features(spark, sf):

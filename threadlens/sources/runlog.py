@@ -9,6 +9,10 @@ times of their own; what ties them together is the ``Epoch`` record before them.
 
 from __future__ import annotations
 
+import time
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +78,13 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch",
-                   partition_by: tuple[str, ...] = ("split",)) -> None:
-    """Append (run, epoch, split, metric, value) rows.
+                   partition_by: tuple[str, ...] = ("split",)) -> str:
+    """Append (run, epoch, split, metric, value) rows, safe to repeat; returns the commit.
+
+    The rows are staged in a folder of their own commit, and count only when a
+    manifest names what the commit holds: (run, epoch, split). Readers take each
+    from the latest commit that has it, so an append that is run again replaces
+    its first try, and one that failed half-way is never seen.
 
     Folders follow a low-cardinality column (the split); inside the files
     rows are sorted by (run, epoch), so a filter on a run skips row groups by
@@ -83,9 +92,26 @@ def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "
     runs into thousands of tiny files per append; repartitioning by the
     split would leave one task per split value writing everything.
     """
-    (df.sortWithinPartitions(*partition_by, run, epoch)
-     .write.mode("append").partitionBy(*partition_by).parquet(path))
-
-
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    commit = stage_metrics(df, path, run, epoch, partition_by)
+    staged = df.sparkSession.read.parquet(f"{path}/data/commit={commit}")
+    staged.select(run, epoch, *partition_by).distinct().write.parquet(f"{path}/manifest/commit={commit}")
+    return commit
+
+
+def stage_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch",
+                  partition_by: tuple[str, ...] = ("split",)) -> str:
+    """The first half of an append: rows that no reader sees yet."""
+    commit = f"c{time.time_ns():020d}-{uuid.uuid4().hex}"  # later ones sort higher
+    df.sortWithinPartitions(*partition_by, run, epoch).write.partitionBy(*partition_by) \
+        .parquet(f"{path}/data/commit={commit}")
+    return commit
+
+
+def read_metrics(spark: SparkSession, path: str, run: str = "run_id", epoch: str = "epoch",
+                 partition_by: tuple[str, ...] = ("split",)) -> DataFrame:
+    """The rows of the latest commit of each (run, epoch, split)."""
+    keys = [run, epoch, *partition_by]
+    latest = spark.read.parquet(f"{path}/manifest").groupBy(*keys).agg(F.max("commit").alias("commit"))
+    data, held = spark.read.parquet(f"{path}/data").alias("d"), latest.alias("m")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*keys, "commit")]
+    return data.join(held, reduce(lambda a, b: a & b, same), "left_semi").drop("commit")

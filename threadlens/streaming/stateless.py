@@ -1,4 +1,4 @@
-"""The stateless steps (cleaner, statistics, scaling, scoring) on streams.
+"""The stateless steps (cleaner, statistics, lexicon counts, scaling, scoring) on streams.
 
 They are plain column expressions, so the same functions build a streaming
 plan; no state store is involved. Sinks are files with a checkpoint in the
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import clean, stat_columns
-from ..operators.score import Linear, head_scores
+from ..operators.hashing import hashed_array
+from ..operators.lexicon import Lexicon, lexicon_array
+from ..operators.scaling import ScalerModel
+from ..operators.score import FusionModel, Linear, fusion_scores, head_scores
 
 
 def stream_text_features(src: DataFrame, id_col: str, text_col: str, **switches: bool) -> DataFrame:
@@ -27,6 +30,21 @@ def stream_head_scores(src: DataFrame, head: Linear, id_col: str, vec_col: str,
     return head_scores(x, head, "_x", keep=(id_col, *keep))
 
 
+def stream_fusion_scores(src: DataFrame, id_col: str, text_col: str, lex: Lexicon, stats: ScalerModel,
+                         counts: ScalerModel, model: FusionModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw text -> cleaner -> statistics, lexicon counts and hashed terms -> fitted scalers -> late fusion.
+
+    All in the row: (id, keep..., logits, probs, prediction, score).
+    """
+    c = src.select(id_col, *keep, clean(text_col).alias("_c"))
+    dim = model.content.shape[1]
+    f = c.select(id_col, *keep, *stat_columns("_c"), lexicon_array("_c", lex).alias("_l"),
+                 hashed_array("_c", dim).alias("_x"))
+    z = f.select(id_col, *keep, "_x", F.array(*[stats.column(n, n) for n in stats.features]).alias("_zs"),
+                 counts.array("_l").alias("_zl"))
+    return fusion_scores(z, model, "_x", "_zs", "_zl", keep=(id_col, *keep))
+
+
 def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Process everything available, then stop; returns the finished query."""
     q = (df.writeStream.format(fmt).outputMode("append")
