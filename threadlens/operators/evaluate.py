@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import running
 from .util import broadcast_if_bounded, safe_div
 
@@ -27,7 +28,11 @@ def class_counts(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ())
     Derived from the confusion counts, at most C x C rows a group, which are then
     brought together by group; what follows by group needs no further exchange.
     """
-    conf = confusion(df, label, pred, by)
+    return counts_of(confusion(df, label, pred, by), by)
+
+
+def counts_of(conf: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``class_counts`` from confusion counts (by..., label, prediction, n)."""
     conf = conf.repartition(*by) if by else conf.coalesce(1)
     n, hit = F.col("n"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     rows = F.array(F.struct(F.col("label").alias("cls"), n.alias("s"), F.lit(0).cast("long").alias("p"), hit.alias("t")),
@@ -49,9 +54,14 @@ def per_class(counts: DataFrame) -> DataFrame:
 def binary_prf(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = (),
                positive: int = 1) -> DataFrame:
     """Precision, recall and F1 of the positive class."""
-    y, yh = F.col(label) == positive, F.col(pred) == positive
-    g = df.groupBy(*by).agg(F.count_if(y & yh).alias("tp"), F.count_if(~y & yh).alias("fp"),
-                            F.count_if(y & ~yh).alias("fn"))
+    return prf_of(confusion(df, label, pred, by), by, positive)
+
+
+def prf_of(conf: DataFrame, by: tuple[str, ...] = (), positive: int = 1) -> DataFrame:
+    """``binary_prf`` from confusion counts (by..., label, prediction, n)."""
+    y, yh = F.col("label") == positive, F.col("prediction") == positive
+    g = conf.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for c, name in (
+        (y & yh, "tp"), (~y & yh, "fp"), (y & ~yh, "fn"))])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return g.select(*by, safe_div(tp, tp + fp).alias("precision"),
                     safe_div(tp, tp + fn).alias("recall"),
@@ -60,8 +70,12 @@ def binary_prf(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = (),
 
 def micro_macro(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Micro precision (= accuracy) and macro precision, recall and F1."""
-    pc = per_class(class_counts(df, label, pred, by))
-    return pc.groupBy(*by).agg(
+    return averages_of(class_counts(df, label, pred, by), by)
+
+
+def averages_of(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``micro_macro`` from class counts."""
+    return per_class(counts).groupBy(*by).agg(
         safe_div(F.sum("tp"), F.sum("predicted")).alias("micro_precision"),
         F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
         F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
@@ -114,6 +128,11 @@ def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (),
     y = F.col(label) == positive
     g = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+    return auc_of(g, by)
+
+
+def auc_of(g: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``roc_auc`` from the positives and negatives of each score (by..., _s, _p, _n)."""
     r = running(g, list(by), ["_s"], {"_nb": ("sum", F.col("_n"))}, inclusive=False)
     a = r.groupBy(*by).agg(
         F.sum(F.col("_p") * (F.col("_nb") + F.col("_n") * F.lit(0.5))).alias("_u"),
@@ -133,22 +152,43 @@ def epoch_metrics(scored: DataFrame, label: str = "label", pred: str = "predicti
     ``multiclass`` micro precision and macro precision / recall / F1; and the
     loss: the mean of batch means when ``batched`` (the same rows with their
     ``batch``) is given, else the row mean. The record appended to the metrics
-    table each epoch.
+    table each epoch. All of it comes from one aggregate over grouping sets: label
+    and prediction, score, batch.
     """
+    rows = scored if batched is None else batched
+    groups = [(label, "label"), (pred, "prediction")]
+    sets = {"pairs": ["label", "prediction"]}
+    if score is not None and not multiclass:
+        groups.append((score, "_s"))
+        sets["scores"] = ["_s"]
+    if loss is not None:
+        sets["losses"] = []
+        if batched is not None:
+            groups.append((batch, "_batch"))
+            sets["losses"] = ["_batch"]
+    names = [*by, *(alias for _, alias in groups)]
+    value = F.lit(None).cast("double") if loss is None else F.col(loss)
+    rows = rows.select(*by, *[F.col(c).alias(alias) for c, alias in groups], value.alias("_loss"))
+    # one aggregate for all metrics; what it leaves is small and read several times
+    totals = materialize(rows.groupingSets([[F.col(c) for c in (*by, *own)] for own in sets.values()], *names).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("_p"),
+        F.avg("_loss").alias("_m")))
+
+    def part(which: str) -> DataFrame:
+        number = sum(1 << i for i, c in enumerate(reversed(names)) if c not in (*by, *sets[which]))
+        return totals.filter(F.col("_set") == number)
+
+    pairs = part("pairs").select(*by, "label", "prediction", "n")
     if multiclass:
-        m, names = micro_macro(scored, label, pred, by), ("micro_precision", "macro_precision", "macro_recall", "macro_f1")
+        m, shown = averages_of(counts_of(pairs, by), by), ("micro_precision", "macro_precision", "macro_recall", "macro_f1")
     else:
-        m, names = binary_prf(scored, label, pred, by), ("precision", "recall", "f1")
+        m, shown = prf_of(pairs, by), ("precision", "recall", "f1")
     out = m.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
-    if score is not None and not multiclass:
-        a = roc_auc(scored, label, score, by)
+        F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in shown])))
+    if "scores" in sets:
+        a = auc_of(part("scores").select(*by, "_s", "_p", (F.col("n") - F.col("_p")).alias("_n")), by)
         out = out.unionByName(a.select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")))
     if loss is not None:
-        if batched is not None:
-            b = batched.groupBy(*by, batch).agg(F.avg(loss).alias("_m"))
-            l_ = b.groupBy(*by).agg(F.avg("_m").alias("value"))
-        else:
-            l_ = scored.groupBy(*by).agg(F.avg(loss).alias("value"))
-        out = out.unionByName(l_.select(*by, F.lit("loss").alias("metric"), "value"))
+        mean = part("losses").groupBy(*by).agg(F.avg("_m").alias("value"))
+        out = out.unionByName(mean.select(*by, F.lit("loss").alias("metric"), "value"))
     return out

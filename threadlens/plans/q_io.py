@@ -106,29 +106,65 @@ def fit_fused_classifier(spark, sf):
                     ((F.col("score") >= 0.5) == (F.col("prediction") == 1)).alias("prediction_agrees"))
 
 
-def fused_classifier_scores(spark, sf):
-    """(doc_id, split, label, prediction, score) of the fitted classifier."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+REG = 1e-4
+N_FEATURES = FUSION.content.shape[1] + len(STAT_NAMES) + FUSION.lexicon.shape[1]
+
 
+def classifier_rows(spark, sf):
+    """(doc_id, split, label, features array<double>) of the labelled documents, features scaled."""
     f = featurized(spark, sf)
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     f = materialize(f.join(lab, "doc_id", "left"))
     ms, ml = fit_both(f.filter(F.col("split").isin(*FIT_SPLITS)))
-    x = f.filter("label is not null").select(
-        "doc_id", "split", "label", array_to_vector("x").alias("vx"),
-        array_to_vector(F.array(*[ms.column(n, n) for n in STAT_NAMES])).alias("vs"),
-        array_to_vector(ml.array("lex_vec")).alias("vl"))
-    x = VectorAssembler(inputCols=["vx", "vs", "vl"], outputCol="features").transform(x)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4,
-                            elasticNetParam=0.0, maxIter=50)
-    p = lr.fit(x.filter(F.col("split") == "train")).transform(x)
+    return f.filter("label is not null").select(
+        "doc_id", "split", "label",
+        F.concat("x", F.array(*[ms.column(n, n) for n in STAT_NAMES]), ml.array("lex_vec")).alias("features"))
+
+
+def fit_classifier(rows, label="label"):
+    """Logistic regression with an L2 penalty, on the train split; run to convergence."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    x = rows.filter(F.col("split") == "train").select(F.col(label).alias("label"),
+                                                      array_to_vector("features").alias("features"))
+    return LogisticRegression(regParam=REG, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-13).fit(x)
+
+
+def fused_classifier_scores(spark, sf):
+    """(doc_id, split, label, prediction, score) of the fitted classifier."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = classifier_rows(spark, sf)
+    p = fit_classifier(rows).transform(rows.withColumn("features", array_to_vector("features")))
     return p.select("doc_id", "split", F.col("label").cast("int").alias("label"),
                     F.col("prediction").cast("int").alias("prediction"),
                     F.element_at(vector_to_array("probability"), -1).alias("score"))
 
 
+def loss_gradient(rows, weights: list[float], intercept: float):
+    """(feature, gradient) of the penalised mean loss on the train split: one aggregate; feature -1 is the intercept."""
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    z = F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(float(intercept)), lambda a, b: a + b)
+    r = rows.filter(F.col("split") == "train").select("features", (1 / (1 + F.exp(-z)) - F.col("label")).alias("r"))
+    parts = [F.avg(F.col("r") * F.element_at("features", i + 1)) + REG * float(v) for i, v in enumerate(weights)]
+    g = r.agg(F.array(F.avg("r"), *parts).alias("g"))
+    return g.select(F.posexplode("g").alias("at", "gradient")) \
+        .select((F.col("at") - 1).cast("long").alias("feature"), "gradient")
+
+
+@register("fit_certificate", f"SELECT feature::BIGINT AS feature, true AS optimal FROM range(-1, {N_FEATURES}) t(feature)")
+def fit_certificate(spark, sf):
+    """The fit is checked: with the fitted weights the gradient of the penalised loss, which has one optimum, is zero.
+
+    Weights of an unfinished or wrong fit have larger gradients, and rows that differ from the oracle's.
+    """
+    rows = materialize(classifier_rows(spark, sf))
+    model = fit_classifier(rows)
+    g = loss_gradient(rows, model.coefficients.toArray().tolist(), model.intercept)
+    return g.select("feature", (F.abs("gradient") < 1e-4).alias("optimal"))
+
+
 _DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

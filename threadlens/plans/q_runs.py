@@ -13,10 +13,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
+from ..operators.util import broadcast_if_bounded
 from ..session import scratch_path
 from ..sources import runlog
 from ..sources.tables import read_table
-from .q_score import REPLY_EPOCHS, REPLY_RUNS, reply_head, reply_metrics_sql, reply_record
+from .q_score import GRID_RUNS, REPLY_EPOCHS, REPLY_RUNS, grid_head, reply_head, reply_metrics_sql, reply_records
 from .registry import register
 
 PATIENCE, MAX_EPOCHS = 3, 300
@@ -194,12 +195,12 @@ def recorded_leaderboard(spark, sf):
     """Score -> epoch record -> append to the metrics table -> best epoch by validation
     macro recall -> test metric there, for runs that differ in seed and weight decay."""
     path = scratch_path(spark, "records")
-    for seed, wd in REPLY_RUNS:
-        for epoch in range(1, REPLY_EPOCHS + 1):
-            m = reply_record(spark, sf, reply_head(seed, wd, epoch))
-            runlog.append_metrics(m.select(
-                F.lit(f"head-seed-{seed}-lr1e-05-wd{wd}").alias("run_id"), F.lit(seed).cast("long").alias("seed"),
-                F.lit(wd).alias("weight_decay"), F.lit(epoch).cast("long").alias("epoch"), "split", "metric", "value"), path)
+    runs = [(seed, wd, epoch) for seed, wd in REPLY_RUNS for epoch in range(1, REPLY_EPOCHS + 1)]
+    names = spark.createDataFrame(
+        [(i, f"head-seed-{seed}-lr1e-05-wd{wd}", seed, wd, epoch) for i, (seed, wd, epoch) in enumerate(runs)],
+        "head int, run_id string, seed long, weight_decay double, epoch long")
+    m = reply_records(spark, sf, [reply_head(*run) for run in runs])
+    runlog.append_metrics(m.join(broadcast_if_bounded(names, len(runs)), "head").drop("head"), path)
     m = runlog.read_metrics(spark, path).filter(F.col("metric") == "macro_recall")
     run = ["run_id", "seed", "weight_decay", "epoch"]
     hist = m.groupBy(*run).agg(F.max(F.when(F.col("split") == "validate", F.col("value"))).alias("metric"),
@@ -240,3 +241,44 @@ def metrics_append_retry(spark, sf):
     runlog.stage_metrics(rows.withColumn("value", F.col("value") + 2), path)
     return runlog.read_metrics(spark, path).select(
         F.col("run_id").cast("long").alias("run_id"), "epoch", "split", "metric", "value")
+
+
+def _grid_sql():
+    runs = " UNION ALL ".join(
+        f"SELECT '{model}' AS model, {seed}::BIGINT AS seed, {lr}::DOUBLE AS lr, {wd}::DOUBLE AS weight_decay, "
+        f"{epoch}::BIGINT AS epoch, split, metric, value FROM {reply_metrics_sql(grid_head(model, seed, lr, wd, epoch))}"
+        for model, seed, lr, wd in GRID_RUNS for epoch in range(1, REPLY_EPOCHS + 1))
+    run = "model, seed, lr, weight_decay"
+    return (f"WITH r AS ({runs}), v AS (SELECT * FROM r WHERE split = 'validate' AND metric = 'macro_recall'), "
+            f"best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY {run} ORDER BY value DESC, epoch) = 1) "
+            f"SELECT row_number() OVER (ORDER BY round(best.value, 9) DESC, {run}) AS rank, {run}, best.epoch AS best_epoch, "
+            "round(best.value, 9) AS val_macro_recall, round(t.value, 9) AS test_macro_recall, round(l.value, 9) AS test_loss "
+            f"FROM best JOIN r t USING ({run}, epoch) JOIN r l USING ({run}, epoch) WHERE t.split = 'test' "
+            "AND t.metric = 'macro_recall' AND l.split = 'test' AND l.metric = 'loss'")
+
+
+@register("run_grid_leaderboard", _grid_sql())
+def run_grid_leaderboard(spark, sf):
+    """Runs that differ in model, seed, rate and weight decay: all their epochs scored and recorded in one job, then ranked."""
+    path = scratch_path(spark, "grid")
+    runs = [(*run, epoch) for run in GRID_RUNS for epoch in range(1, REPLY_EPOCHS + 1)]
+    names = spark.createDataFrame([(i, *run) for i, run in enumerate(runs)],
+                                  "head int, model string, seed long, lr double, weight_decay double, epoch long")
+    names = names.withColumn("run_id", F.concat_ws("|", "model", F.lpad(F.col("seed").cast("string"), 9, "0"),
+                                                   F.format_string("%.9f", "lr"), F.format_string("%.9f", "weight_decay")))
+    m = reply_records(spark, sf, [grid_head(*run) for run in runs])
+    runlog.append_metrics(m.join(broadcast_if_bounded(names, len(runs)), "head").drop("head"), path)
+    m = runlog.read_metrics(spark, path)
+    run = ["model", "seed", "lr", "weight_decay"]
+
+    def of(split, metric, name):
+        return F.max(F.when((F.col("split") == split) & (F.col("metric") == metric), F.round("value", 9))).alias(name)
+
+    hist = m.groupBy("run_id", *run, "epoch").agg(of("validate", "macro_recall", "metric"),
+                                                  of("test", "macro_recall", "test"), of("test", "loss", "loss"))
+    b = R.best_so_far(hist)
+    s = R.summarize(b, R.early_stop(b).select("run_id", "stop_epoch"), ["metric", "test", "loss", *run])
+    lb = R.leaderboard(s, "metric")
+    return lb.select(F.col("rank").cast("long").alias("rank"), *run, "best_epoch",
+                     F.col("metric").alias("val_macro_recall"), F.col("test").alias("test_macro_recall"),
+                     F.col("loss").alias("test_loss"))

@@ -247,6 +247,18 @@ def reply_head(seed: int, weight_decay: float, epoch: int) -> Linear:
     return Linear([[round(w * keep, 6) for w in row] for row in lin.weight], lin.bias)
 
 
+#: Runs that differ in model, seed, learning rate and weight decay.
+GRID_RUNS = (("small", 7, 1e-05, 0.001), ("small", 8, 2e-05, 0.1), ("large", 9, 1e-05, 0.01), ("large", 7, 5e-05, 0.001),
+             ("wide", 11, 3e-05, 0.05))
+
+
+def grid_head(model: str, seed: int, lr: float, weight_decay: float, epoch: int) -> Linear:
+    """The head of a run's epoch: a larger rate moves it further from its model's start."""
+    lin, start = reply_head(seed, weight_decay, epoch), rule_linear(N_CLASSES, EMB_DIM, len(model))
+    step = min(1.0, lr * 2e4 * epoch)
+    return Linear([[round(a + step * (b - a), 6) for a, b in zip(r, t)] for r, t in zip(start.weight, lin.weight)], lin.bias)
+
+
 def _reply_logits_sql(head: Linear) -> str:
     return ("(SELECT vec_id, " + I.split_sql("vec_id") + " AS split, CAST(label AS INTEGER) AS label, "
             + ", ".join(f"{e} AS z{i}" for i, e in enumerate(M.linear(_EMB_IN, head))) + " FROM embeddings)")
@@ -273,12 +285,26 @@ def reply_metrics_sql(head: Linear) -> str:
         "SELECT split, 'macro_f1', af FROM m UNION ALL SELECT split, 'loss', v FROM l)")
 
 
+def reply_records(spark, sf, heads: list[Linear]):
+    """Score every embedding with each head, and their epoch records per split: (head, split, metric, value).
+
+    One scan and one job for all heads, a bounded number: each row carries its prediction and loss
+    for every head, and is a row a head only where the counts are taken.
+    """
+    x = _emb(spark, sf)
+    logits = [head("x").alias(f"z{i}") for i, head in enumerate(heads)]
+    z = x.select("vec_id", "split", "label", *logits)
+    found = [F.struct(F.lit(i).alias("head"), A.argmax(f"z{i}").alias("prediction"),
+                      A.cross_entropy(f"z{i}", "label").alias("loss")) for i in range(len(heads))]
+    s = materialize(z.select("vec_id", "split", "label", F.array(*found).alias("found")))
+    b = assign_batches(s, "vec_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
+    b = b.select("split", "label", "batch_id", F.inline("found"))
+    return epoch_metrics(b, batched=b, multiclass=True, by=("head", "split"))
+
+
 def reply_record(spark, sf, head: Linear):
     """Score every embedding with the head, and the epoch's record per split."""
-    s = row_losses(head_scores(_emb(spark, sf), head, "x", keep=("vec_id", "split", "label")), "label") \
-        .select("vec_id", "split", "label", "prediction", "loss")
-    b = assign_batches(s, "vec_id", batch_size=BATCH_SIZE, seed=SEED, epoch=EPOCH)
-    return epoch_metrics(s, batched=b, multiclass=True)
+    return reply_records(spark, sf, [head]).drop("head")
 
 
 @register("reply_epoch_metrics",
