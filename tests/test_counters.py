@@ -20,6 +20,26 @@ def test_emoji_sequences_once(spark):
     assert one(spark, emoji_count, s) == 8
 
 
+def test_every_code_point_with_the_emoji_property_counts(spark):
+    import regex
+    points = [c for c in [*range(0x20000), 0xE0067, 0xE007F] if not 0xD800 <= c < 0xE000 and c]
+    df = spark.createDataFrame([(c, chr(c)) for c in points], "c int, t string")
+    got = {r.c for r in df.select("c", emoji_count("t").alias("n")).filter("n > 0").collect()}
+    want = {c for c in points if regex.match(r"\p{Emoji}", chr(c))} - set(map(ord, "0123456789#*")) \
+        - set(range(0x1F1E6, 0x1F200))
+    assert got == want
+    assert {0xA9, 0x2122, 0x25B6, 0x23CF, 0x2B05, 0x3297} <= got and not {0x2713, 0x2606, 0x2717} & got
+
+
+def test_emoji_sequence_types(spark):
+    england = "\U0001F3F4" + "".join(chr(0xE0000 + ord(c)) for c in "gbeng") + "\U000E007F"
+    for text, n in (("\u00a9 \u00a9\ufe0f", 2), ("\u25b6\ufe0e", 1), ("#\ufe0f\u20e3*\u20e3", 2), ("1 # *", 0),
+                    (england, 1), (england + england, 2), ("\U0001F1E6", 0), ("\U0001F3FB", 1),
+                    ("\U0001F9D1\U0001F3FD\u200d\U0001F91D\u200d\U0001F9D1\U0001F3FF", 1),
+                    ("\U0001F3F3\ufe0f\u200d\U0001F308", 1), ("\u2713\u2606", 0)):
+        assert one(spark, emoji_count, text) == n, text
+
+
 def test_sentences(spark):
     assert one(spark, sentence_count, "Hi there. How are you?! I'm \"fine.\" ok") == 4
     assert one(spark, sentence_count, "") == 0

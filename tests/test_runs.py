@@ -48,3 +48,21 @@ def test_hot_run_spans_blocks(spark):
         v = (e * 7919) % 1000
         m, s = max(m, v), s + v
         assert got[e] == (m, s)
+
+
+def test_numbers_of_a_log(spark, tmp_path):
+    from threadlens.sources import runlog
+    report = ("Best test clf_report:\n               precision    recall  f1-score   support\n\n"
+              "     no help       0.50      1.00      0.67         3\n    accuracy                           0.60         5\n"
+              "weighted avg       0.70      0.60      0.57         5\n")
+    stamp = "2022-01-02 03:04:0{},000 - 7 - INFO - "
+    records = ["Namespace(seed=3)", "Epoch: 1", "Train loss: 0.5", "Best val f1: nan?", report, "time: 12.5s\n", "done"]
+    folder = tmp_path / "log=m-seed-3-lr1e-05-wd0.001.log"
+    folder.mkdir()
+    (folder / "part.txt").write_text("\n".join(stamp.format(i) + r for i, r in enumerate(records)))
+    got = {(r.epoch, r.split, r.metric): r.value for r in runlog.log_metrics(runlog.read_logs(spark, str(tmp_path))).collect()}
+    cells = {"no help/precision": .5, "no help/recall": 1, "no help/f1-score": .67, "no help/support": 3,
+             "accuracy/f1-score": .6, "accuracy/support": 5, "weighted avg/precision": .7, "weighted avg/recall": .6,
+             "weighted avg/f1-score": .57, "weighted avg/support": 5}
+    assert got == {(1, "train", "loss"): .5, (1, None, "seconds"): 12.5,
+                   **{(1, "test", k): v for k, v in cells.items()}}

@@ -128,7 +128,7 @@ def fit_classifier(rows, label="label"):
 
     x = rows.filter(F.col("split") == "train").select(F.col(label).alias("label"),
                                                       array_to_vector("features").alias("features"))
-    return LogisticRegression(regParam=REG, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-13).fit(x)
+    return LogisticRegression(regParam=REG, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(x)
 
 
 def fused_classifier_scores(spark, sf):

@@ -160,6 +160,10 @@ def _report(n):
           "UNION ALL SELECT DISTINCT model, seed, lr, weight_decay, NULL, 'arguments', 'seed=' || seed || ', lr=1e-05' FROM r)")
 def metrics_from_log(spark, sf):
     """Write a log a run, with arguments, epochs and class reports; parse the files back."""
+    return _logs(spark, sf).select("model", "seed", "lr", "weight_decay", "epoch", "key", "value_text")
+
+
+def _logs(spark, sf):
     h = logged_history(spark, sf)
     model, seed = F.concat(F.lit("model"), (F.col("run") % 5).cast("string")), F.col("run") % 4
     h = h.withColumn("log", runlog.run_name(model, seed, "1e-05", "0.001"))
@@ -173,7 +177,51 @@ def metrics_from_log(spark, sf):
             F.concat(F.lit("Best val clf_report:"), _report(F.col("n").cast("string"))),
             F.concat(F.lit("time: "), F.col("n").cast("string"), F.lit(".2500s\n"))]))
     path = runlog.write_logs(records, "log", ["epoch", "nth"], scratch_path(spark, "logs"))
-    return runlog.read_logs(spark, path).select("model", "seed", "lr", "weight_decay", "epoch", "key", "value_text")
+    return runlog.read_logs(spark, path)
+
+
+_LOG_METRICS_SQL = (
+    "(WITH h AS " + _LOGGED_SQL + ", r AS (SELECT 'model' || (run % 5) AS model, run % 4 AS seed, '1e-05' AS lr, "
+    "0.001::DOUBLE AS weight_decay, epoch, printf('%.6f', loss)::DOUBLE AS loss, "
+    "printf('%.6f', recall)::DOUBLE AS recall, n FROM h) "
+    "SELECT model, seed, lr, weight_decay, epoch, 'train' AS split, 'loss' AS metric, loss AS value FROM r "
+    "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'validate', 'macro_recall', recall FROM r "
+    "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'validate', '1/precision', 0.5 FROM r "
+    "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'validate', '1/recall', 0.25 FROM r "
+    "UNION ALL SELECT model, seed, lr, weight_decay, epoch, 'validate', 'accuracy/recall', n::DOUBLE FROM r "
+    "UNION ALL SELECT model, seed, lr, weight_decay, epoch, NULL, 'seconds', n + 0.25::DOUBLE FROM r)")
+
+
+@register("log_metrics", f"SELECT * FROM {_LOG_METRICS_SQL}")
+def log_metrics(spark, sf):
+    """The numbers of the logs: single values, cells of the class reports, seconds."""
+    return runlog.log_metrics(_logs(spark, sf))
+
+
+@register("log_leaderboard",
+          f"WITH m AS {_LOG_METRICS_SQL}, e AS (SELECT model, seed, lr, weight_decay, epoch, "
+          "max(CASE WHEN metric = 'macro_recall' THEN value END) AS metric, "
+          "max(CASE WHEN metric = 'loss' THEN value END) AS loss, sum(CASE WHEN metric = 'seconds' THEN value END) AS sec "
+          "FROM m GROUP BY ALL), "
+          "b AS (SELECT *, row_number() OVER (PARTITION BY model, seed, lr, weight_decay ORDER BY metric DESC, epoch) AS nth, "
+          "sum(sec) OVER (PARTITION BY model, seed, lr, weight_decay) AS elapsed, "
+          "count(*) OVER (PARTITION BY model, seed, lr, weight_decay) AS epochs FROM e) "
+          "SELECT row_number() OVER (ORDER BY metric DESC, model, seed) AS rank, model, seed, epoch AS best_epoch, "
+          "metric AS val_macro_recall, loss AS train_loss, elapsed AS elapsed_sec, epochs FROM b WHERE nth = 1")
+def log_leaderboard(spark, sf):
+    """Every run by its best epoch, with the time it took: from the logs alone."""
+    run = ["model", "seed", "lr", "weight_decay"]
+    m = runlog.log_metrics(_logs(spark, sf))
+    hist = m.groupBy(*run, "epoch").agg(F.max(F.when(F.col("metric") == "macro_recall", F.col("value"))).alias("metric"),
+                                        F.max(F.when(F.col("metric") == "loss", F.col("value"))).alias("loss"),
+                                        F.sum(F.when(F.col("metric") == "seconds", F.col("value"))).alias("sec"))
+    hist = hist.withColumn("run_id", F.concat_ws("|", *run))
+    took = hist.groupBy("run_id").agg(F.sum("sec").alias("elapsed_sec"), F.count(F.lit(1)).alias("epochs"))
+    b = R.best_so_far(hist)
+    s = R.summarize(b, R.early_stop(b, patience=MAX_EPOCHS).select("run_id", "stop_epoch"), ["metric", "loss", "model", "seed"])
+    lb = R.leaderboard(s.join(took, "run_id"), "metric")
+    return lb.select(F.col("rank").cast("long").alias("rank"), "model", "seed", "best_epoch",
+                     F.col("metric").alias("val_macro_recall"), F.col("loss").alias("train_loss"), "elapsed_sec", "epochs")
 
 
 def _recorded_sql():

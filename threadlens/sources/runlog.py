@@ -77,6 +77,48 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
         .withColumns({"seed": F.col("seed").try_cast("long"), "weight_decay": F.col("weight_decay").try_cast("double")})
 
 
+#: The records that hold a split's metric, and the names of splits.
+SPLIT_KEY = r"(?i)^(?:best )?(train|val|validate|validation|test) (.+)$"
+SPLIT_NAMES = {"val": "validate", "validation": "validate"}
+SECONDS = r"^([0-9.]+) ?s$"
+REPORT_ROW = r"^\s*(\S.*?)((?:\s+[0-9.]+)+)\s*$"
+
+
+def log_metrics(logs: DataFrame) -> DataFrame:
+    """Numbers of the records of ``read_logs``: model, seed, lr, weight_decay, epoch, split, metric, value.
+
+    * ``Train loss``, ``Best val f1`` and the like: the split, and the metric with underscores;
+    * a class report: a row for each of its cells, named ``<row>/<column>``; a row with fewer numbers
+      than columns has the last ones (as the accuracy has);
+    * ``time``: ``seconds``, of no split.
+    Records that hold no number are left out.
+    """
+    run = ["model", "seed", "lr", "weight_decay", "epoch"]
+    name = F.lower(F.regexp_extract("key", SPLIT_KEY, 1))
+    names = F.create_map(*[F.lit(x) for kv in SPLIT_NAMES.items() for x in kv])
+    of_split = logs.filter(F.col("key").rlike(SPLIT_KEY)).select(
+        *run, F.coalesce(F.try_element_at(names, name), name).alias("split"),
+        F.replace(F.regexp_extract("key", SPLIT_KEY, 2), F.lit(" "), F.lit("_")).alias("metric"), "value_text")
+    single = of_split.select(*run, "split", "metric", F.col("value_text").try_cast("double").alias("value"))
+    lines = F.filter(F.split("value_text", "\n"), lambda x: F.trim(x) != "")
+    reports = of_split.filter(F.contains("value_text", F.lit("\n"))).withColumn("lines", lines)
+    columns = F.split(F.trim(F.element_at("lines", 1)), r"\s+")
+    rows = reports.select(*run, "split", columns.alias("columns"),
+                          F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    rows = rows.filter(F.col("line").rlike(REPORT_ROW)).select(
+        *run, "split", "columns", F.regexp_extract("line", REPORT_ROW, 1).alias("row"),
+        F.split(F.trim(F.regexp_extract("line", REPORT_ROW, 2)), r"\s+").alias("cells"))
+    skip = F.size("columns") - F.size("cells")
+    cells = rows.filter(skip >= 0).select(*run, "split", "row", "columns", skip.alias("skip"),
+                                          F.posexplode("cells").alias("at", "cell"))
+    cells = cells.select(*run, "split", F.concat_ws("/", "row", F.col("columns")[F.col("at") + F.col("skip")]).alias("metric"),
+                         F.col("cell").try_cast("double").alias("value"))
+    times = logs.filter((F.col("key") == "time") & F.trim("value_text").rlike(SECONDS)).select(
+        *run, F.lit(None).cast("string").alias("split"), F.lit("seconds").alias("metric"),
+        F.regexp_extract(F.trim("value_text"), SECONDS, 1).try_cast("double").alias("value"))
+    return single.union(cells).union(times).filter("value is not null")
+
+
 def append_metrics(df: DataFrame, path: str, run: str = "run_id", epoch: str = "epoch",
                    partition_by: tuple[str, ...] = ("split",)) -> str:
     """Append (run, epoch, split, metric, value) rows, safe to repeat; returns the commit.
