@@ -13,7 +13,8 @@ ACTION_QUERIES = {"csv_roundtrip", "params_roundtrip", "metrics_append", "metric
                   "lexicon_from_file", "stream_clean_stats", "stream_head_scores",
                   "fit_fused_classifier", "csv_flat_files", "saved_vocabulary_lexicon",
                   "csv_quoted_lines", "lexicon_file_order", "metrics_append_retry",
-                  "stream_fusion_scores", "fit_certificate", "run_grid_leaderboard", "log_metrics", "log_leaderboard"}
+                  "stream_fusion_scores", "fit_certificate", "run_grid_leaderboard", "log_metrics", "log_leaderboard",
+                  "learnt_sentences"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ACTION_QUERIES))

@@ -86,6 +86,7 @@ NON_BLANK = rf"[^{WS}]"
 WORD_TOKEN = (rf"[\p{{L}}\p{{N}}_]+(?:[-'][\p{{L}}\p{{N}}_]+)*|[^\p{{L}}\p{{N}}_{WS}]")
 LEXICON_CHAR = r"[\p{L}\p{N}_]"
 LEXICON_TOKEN = rf"{LEXICON_CHAR}+"
+DOTTED_WORD = r"\p{L}+(?:\.\p{L}+)*\.?"
 URL_PLACEHOLDER = r"\[URL\]"
 
 # The same three for Spark's regex engine, which recurses for each repeat of a

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as tf
+from ..functions.patterns import DOTTED_WORD, WS
 from ..functions.text import STAT_NAMES
+from ..operators.sentences import LEAST_SCORE, MOST, SURE, Abbreviations
 from . import inputs as I
 from . import sqltext as S
 from ..sources.tables import read_table
@@ -129,3 +131,42 @@ def quality_profile(spark, sf):
     return j.groupBy("quality").agg(
         F.count(F.lit(1)).alias("n_docs"),
         *[F.round(F.avg(n), 6).alias(f"avg_{n[2:]}") for n in STAT_NAMES])
+
+
+_WAYS = "string_agg(replace(word, '.', chr(92) || '.'), '|' ORDER BY length(word) DESC, word)"
+_BEFORE = "(^|[^\\p{L}.])((?i:"
+_LOWER_AFTER = rf"))\.([{WS}]+[^\p{{Lu}}{WS}])"
+
+
+def _learnt_sql() -> str:
+    titles = f"({S.lit(_BEFORE)} || titles || {S.lit('))' + chr(92) + '.')})"
+    others = f"({S.lit(_BEFORE)} || others || {S.lit(_LOWER_AFTER)})"
+    no_titles = f"CASE WHEN titles IS NULL THEN text ELSE regexp_replace(text, {titles}, '\\1\\2', 'g') END"
+    # a match takes the character that the next one needs before it: twice
+    once = f"regexp_replace(c, {others}, '\\1\\2\\3', 'g')"
+    twice = f"regexp_replace({once}, {others}, '\\1\\2\\3', 'g')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT regexp_extract_all(text, {S.lit(DOTTED_WORD)}) AS ws FROM d),
+t AS (SELECT unnest(ws) AS w, unnest(list_concat(ws[2:], [NULL])) AS after FROM w),
+c AS (SELECT lower(regexp_replace(w, {S.lit(chr(92) + '.$')}, '')) AS word, count(*) AS n, count_if(suffix(w, '.')) AS k,
+      count_if(suffix(w, '.') AND left(after, 1) <> lower(left(after, 1))) AS up,
+      count_if(suffix(w, '.') AND left(after, 1) = lower(left(after, 1))) AS low FROM t GROUP BY 1),
+p AS (SELECT sum(k) / sum(n)::DOUBLE AS p FROM c),
+a AS (SELECT word, up >= low AS title, length(word) - length(replace(word, '.', '')) AS inside,
+      2 * (k * ln({SURE} / p) + (n - k) * ln((1 - {SURE}) / (1 - p))) AS ratio, n - k AS other FROM c, p WHERE k > 0),
+s AS (SELECT word, title, ratio * exp(-(length(word) - inside)) * (inside + 1)
+      * pow((length(word) - inside)::DOUBLE, -other::DOUBLE) AS score FROM a),
+f AS (SELECT * FROM s WHERE score >= {LEAST_SCORE} ORDER BY score DESC, word LIMIT {MOST}),
+ways AS (SELECT {_WAYS} FILTER (title) AS titles, {_WAYS} FILTER (NOT title) AS others FROM f),
+one AS (SELECT doc_id, others, {no_titles} AS c FROM d, ways),
+two AS (SELECT doc_id, CASE WHEN others IS NULL THEN c ELSE {twice} END AS c FROM one)
+SELECT doc_id, {S.sentence_count('c')} AS n_sentences FROM two"""
+
+
+@register("learnt_sentences", _learnt_sql())
+def learnt_sentences(spark, sf):
+    """Sentences of each document, periods of abbreviations that the corpus itself teaches left aside."""
+    d = I.documents(spark, sf)
+    learnt = Abbreviations.fit(d, "text")
+    return d.select("doc_id", learnt.sentence_count("text").alias("n_sentences"))
