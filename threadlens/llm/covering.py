@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import save
 
@@ -223,11 +224,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each group, the one with the least doc_id (of rows that repeat it, any one)."""
-    fps = save(fingerprints(docs, keep=("doc_id",), shingle=shingle).select("row.doc_id", "fp"))
+    text, row = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    # texts are cut into shingles once; after that a row is known by its id and two hashes of its text
+    known = docs.select("doc_id", "text", F.struct(text.alias("t1"), row.alias("t2")).alias("of"))
+    fps = save(fingerprints(known, keep=("doc_id", "of"), shingle=shingle).select("row.doc_id", "row.of", "fp"))
     # a null id is chosen only where a group has no other
-    chosen = groups(fps, radius).groupBy("root") \
-        .agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("kept")) \
-        .select(F.col("kept.first").alias("id"), F.col("kept.fp").alias("of"))
-    rows = fingerprints(docs, shingle=shingle)
-    rows = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("of")), "left_semi")
-    return rows.groupBy("row.doc_id", "fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
+    roots = groups(fps.select("doc_id", "fp"), radius).select("fp", "root")
+    one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "fp", "of")).alias("kept")
+    least = fps.groupBy("fp").agg(one).join(roots, "fp").groupBy("root").agg(F.min("kept").alias("kept"))
+    chosen = least.select(F.col("kept.doc_id").alias("id"), F.col("kept.of.t1").alias("k1"), F.col("kept.of.t2").alias("k2"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_of"), text.alias("t1"), row.alias("t2"))
+    rows = rows.join(chosen, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+                     & F.col("id_of").eqNullSafe(F.col("id")), "left_semi")
+    same = Window.partitionBy("t1", "t2", "id_of").orderBy("t1")
+    return rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
