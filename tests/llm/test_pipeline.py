@@ -67,4 +67,4 @@ def test_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) <= names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
