@@ -69,7 +69,8 @@ def encode(df: DataFrame, keys: list[str], text: Column | str, vocab: DataFrame,
     frequent = F.col("_tid") < N_SPECIAL + head
     near = ex.join(broadcast_if_bounded(ids.filter(frequent), head), "token", "left")
     known = F.col("_tid").isNotNull() | F.col("pos").isNull()
-    rest = near.filter(~known).drop("_tid").join(ids.filter(~frequent), "token", "left")
+    # always by shuffle: were both parts still dealt by text, their union would count on equal numbers of partitions
+    rest = near.filter(~known).drop("_tid").join(ids.filter(~frequent).hint("merge"), "token", "left")
     j = near.filter(known).unionByName(rest)
     item = F.when(F.col("pos").isNotNull(),
                   F.struct(F.col("pos"), F.coalesce(F.col("_tid"), F.lit(UNK)).alias("id")))
