@@ -53,22 +53,117 @@ def test_binomial_tail(spark):
         assert r.tail == pytest.approx(1.0 if r.k >= r.n * 0.01 else binomial_cdf(r.n, r.k, 0.01), rel=1e-9)
 
 
+def level(rule, row):
+    above, below, grid = quality.RULES[rule]
+    value = row[above] / row[below] if row[below] else 0.0
+    return sum(value > cutoff for cutoff in grid)
+
+
+def brute_cutoffs(rows, alpha=quality.ALPHA, delta=quality.DELTA):
+    """Cutoffs of each stratum in plain Python; rows are dicts with stratum, good, orders and the counts."""
+    rejects = lambda chosen, r: any(level(rule, r) >= at for rule, at in chosen.items())
+    strata = {r["stratum"] for r in rows}
+    tested = {s: [r for r in rows if r["stratum"] == s and not r["orders"]] for s in strata}
+    n_strata = max(1, sum((1 - alpha) ** sum(r["good"] for r in tested[s]) <= delta for s in strata
+                          if any(r["good"] for r in tested[s])))
+    out = {}
+    for s in strata:
+        ordering = [r for r in rows if r["stratum"] == s and r["orders"]]
+        n, n_bad = max(1, sum(r["good"] for r in ordering)), max(1, sum(not r["good"] for r in ordering))
+        best = None
+        for step, tolerance in enumerate(quality.TOLERANCES):
+            chosen = {}
+            for rule, (_, _, grid) in quality.RULES.items():
+                options = []
+                for at in range(1, len(grid) + 1):
+                    k = sum(r["good"] and level(rule, r) >= at for r in ordering)
+                    bad = sum(not r["good"] and level(rule, r) >= at for r in ordering)
+                    if k / n <= tolerance and bad / n_bad > k / n:
+                        options.append((bad, at))
+                if options:
+                    chosen[rule] = max(options)[1]
+            if not chosen:
+                continue  # this tolerance has no rule set
+            good = [r for r in tested[s] if r["good"]]
+            bad = [r for r in tested[s] if not r["good"]]
+            k = sum(rejects(chosen, r) for r in good)
+            if k >= len(good) * alpha or binomial_cdf(len(good), k, alpha) > delta / n_strata:
+                break
+            gain = sum(rejects(chosen, r) for r in bad) / max(1, len(bad)) - k / max(1, len(good))
+            if gain > 0 and (best is None or gain > best[0]):
+                best = gain, chosen
+        if best:
+            out[s] = {rule: grid[best[1][rule] - 1] if rule in best[1] else None
+                      for rule, (_, _, grid) in quality.RULES.items()}
+    return out
+
+
+SCHEMA = "stratum string, good boolean, orders boolean, n_words long, word_chars long, n_symbols long, " \
+    "n_lines long, n_dup_lines long, n_repeat_words long, n_capital_words long"
+
+
 def holdout(spark, n_good, n_over, n_bad, stratum="en"):
-    """Good documents of which ``n_over`` have half symbols, and bad ones that all have."""
-    def row(good, symbols):
-        return (stratum, good, 100, 400, symbols, 10, 0, 0, 0)
-    rows = [row(True, 0)] * (n_good - n_over) + [row(True, 200)] * n_over + [row(False, 200)] * n_bad
-    return spark.createDataFrame(rows, "stratum string, good boolean, n_words long, word_chars long, n_symbols long, "
-                                       "n_lines long, n_dup_lines long, n_repeat_words long, n_capital_words long")
+    """Good documents of which ``n_over`` have half symbols, and bad ones that all have; each third one orders."""
+    def row(i, good, symbols):
+        return (stratum, good, i % 3 == 0, 100, 400, symbols, 10, 0, 0, 0)
+    rows = [row(i, True, 200 if i >= n_good - n_over else 0) for i in range(n_good)] \
+        + [row(i, False, 200) for i in range(n_bad)]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def test_cutoffs_need_evidence(spark):
     assert quality.cutoffs(holdout(spark, 2000, 0, 50)).first().cut_symbols == 0.4
-    assert quality.cutoffs(holdout(spark, 100, 0, 50)).count() == 0  # too few good ones to bound the risk
-    many = quality.cutoffs(holdout(spark, 2000, 60, 50)).collect()  # three in a hundred good ones would go
-    assert not many or many[0].cut_symbols is None
+    assert quality.cutoffs(holdout(spark, 89, 0, 50)).first().cut_symbols == 0.4  # 59 of them test
+    assert quality.cutoffs(holdout(spark, 87, 0, 50)).count() == 0  # too few good ones to bound the risk
+    assert quality.cutoffs(holdout(spark, 2000, 140, 50)).count() == 0  # seven in a hundred good ones would go
     two = quality.cutoffs(holdout(spark, 2000, 0, 50).union(holdout(spark, 2000, 2000, 50, None)))
     assert {r.stratum: r.cut_symbols for r in two.collect()} == {"en": 0.4}
+    small = quality.cutoffs(holdout(spark, 89, 0, 50).union(holdout(spark, 30, 0, 9, "fr")))
+    assert [r.stratum for r in small.collect()] == ["en"]  # a stratum that cannot pass costs the others nothing
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cutoffs_against_brute_force(spark, seed):
+    import random
+    rng = random.Random(seed)
+
+    def row(stratum):
+        good = rng.random() < 0.8
+        n = rng.randint(50, 200)
+        noise = rng.random() < (0.02 if good else 0.5)
+        return (stratum, good, rng.random() < 0.3, n, n * rng.choice([4, 5, 6, 8 + 4 * noise]),
+                rng.randint(0, n // 2) if noise else 0, 20, rng.randint(0, 19) if noise else rng.randint(0, 1),
+                rng.randint(0, n // 3) if noise else rng.randint(0, 3), rng.randint(0, n // (3 if noise else 40)))
+    rows = [row(s) for s, size in (("en", 900), ("fr", 250), (None, 160), ("de", 60)) for _ in range(size)]
+    got = {r.stratum: {rule: r[f"cut_{rule}"] for rule in quality.RULES}
+           for r in quality.cutoffs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    want = brute_cutoffs([dict(zip(names, r)) for r in rows])
+    assert got == want and got
+
+
+def test_verdicts_of_whole_table_against_brute_force(spark):
+    """``kept`` of every document, and that the cutoffs decide some of them."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    rows = [r.asDict() for r in quality.features(docs, keep=("doc_id", "lang")).select("row.*", *quality.COUNTS)
+            .withColumn("orders", quality.orders(F.col("doc_id"))).collect()]
+    labels = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF01}/labels.parquet").filter("quality is not null").collect():
+        labels[r.doc_id].append(r.quality)
+    for r in rows:
+        r["stratum"], r["failed"] = r["lang"], r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+    cuts = brute_cutoffs([{**r, "good": min(labels[r["doc_id"]]) > 0} for r in rows
+                          if not r["failed"] and r["doc_id"] in labels])
+
+    def rejected(r):
+        for rule, (above, below, _) in quality.RULES.items():
+            cut = cuts.get(r["stratum"], {}).get(rule)
+            if cut is not None and r[below] and r[above] / r[below] > cut:
+                return True
+        return False
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op10_quality(spark, SF01).collect()}
+    assert got == {r["doc_id"]: (r["failed"], not r["failed"] and not rejected(r)) for r in rows}
+    assert any(not failed and not kept for failed, kept in got.values())
 
 
 def test_risk_holds_on_labelled_rows(spark):

@@ -2,20 +2,29 @@
 
 Each rule is a ratio of counts of a text; a document is rejected by a rule if
 its ratio exceeds the cutoff of its stratum. Cutoffs come from a fixed grid and
-from labelled documents: for a stratum with n good holdout documents of which k
-exceed a cutoff, the cutoff is valid if the exact binomial tail
-P(Binomial(n, ``ALPHA`` / number of rules) <= k) is at most ``DELTA`` / (strata x
-rules). That is the one-sided Clopper-Pearson bound on the false rejection rate,
-Bonferroni-corrected over strata and rules; within a rule the cutoffs are tested
-from the loosest on, up to the first that fails, which needs no correction since
-their rejections are nested. So with confidence 1 - DELTA no stratum loses more
-than ALPHA of its good documents. Of the valid cutoffs the one that parts bad
-from good documents best is taken (the loosest among equals); a rule without a
-valid cutoff that helps rejects nothing in that stratum.
-
-So a stratum needs log(DELTA / (strata x rules)) / log(1 - ALPHA / rules) good
-holdout documents that no rule would reject before any cutoff is valid: 459 with
-one stratum, 597 with four, 688 with ten.
+from labelled documents, in two steps on different documents:
+
+1. A third of the holdout, by a hash of the key, orders the candidates. For each
+   tolerance of ``TOLERANCES`` a stratum gets a rule set: of each rule, the cutoffs
+   that cost at most that share of its good documents and reject a greater share of
+   the bad ones; of those, the one that rejects most bad documents (the loosest
+   among equals). So each rule set rejects all that the one before it rejects.
+2. The rest tests the rule sets of a stratum, each as a whole. With n good documents
+   of which a set rejects k, it is valid if the exact binomial tail
+   P(Binomial(n, ``ALPHA``) <= k) is at most ``DELTA`` / strata: the one-sided
+   Clopper-Pearson bound on the false rejection rate, Bonferroni-corrected over
+   strata. Sets are tested in their order up to the first that fails (fixed-sequence
+   testing, which needs no correction within a stratum).
+
+So with confidence 1 - DELTA no stratum loses more than ALPHA of its good
+documents, by all its rules together. Of the valid sets the one that parts bad from
+good test documents best is taken (the loosest among equals). A stratum without a
+valid set that helps rejects nothing.
+
+A set that rejects no good document is valid from log(DELTA / strata) / log(1 - ALPHA)
+good test documents on: 59 with one stratum, 86 with four, 104 with ten. Strata with
+fewer than the 59 cannot pass whatever their rows say, are not tested, and do not
+count in the correction.
 
 Holdout documents are the labelled ones that pass the base rules. A document
 with several labels counts as good only if all its labels say so. Strata are the
@@ -38,6 +47,10 @@ from .common import SEPARATORS, save
 #: Share of good documents that a stratum may lose to the rules, and the chance that it loses more.
 ALPHA = 0.05
 DELTA = 0.05
+#: Shares of good ordering documents that a rule may cost, one rule set each, in rising order.
+TOLERANCES = [0.0, 0.001, 0.0025, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05]
+#: One of so many holdout documents orders the rule sets; the others test them.
+ORDERING = 3
 MAX_STRATA = 1000
 MIN_WORDS = 50
 SHARES = [0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9]
@@ -123,44 +136,73 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(F.when(k == 0, first).otherwise(total)))
 
 
+def orders(key: Column) -> Column:
+    """Whether a holdout document orders the rule sets (the others test them)."""
+    return F.pmod(F.xxhash64(key, F.lit(10)), F.lit(ORDERING)) == 0
+
+
+def rule_sets(ordering: DataFrame) -> DataFrame:
+    """Per stratum and step (position in ``TOLERANCES``) one column a rule: its level (null: rejects nothing).
+
+    ``ordering`` has stratum, good, level_<rule> and count.
+    """
+    reached = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"level_{r}").alias("reached")) for r in RULES])
+    # a document that reaches a level exceeds that level's cutoff and all below it; level 0 counts the documents
+    levels = ordering.select("stratum", "good", "count", F.inline(reached)) \
+        .groupBy("stratum", "good", "rule", "reached").agg(F.sum("count").alias("count")) \
+        .select("stratum", "rule", F.explode(F.sequence(F.lit(0), "reached")).alias("level"),
+                F.when(F.col("good"), F.col("count")).otherwise(0).alias("k"),
+                F.when(F.col("good"), 0).otherwise(F.col("count")).alias("bad")) \
+        .groupBy("stratum", "rule", "level").agg(F.sum("k").alias("k"), F.sum("bad").alias("bad"))
+    rule = Window.partitionBy("stratum", "rule")  # one row a level of the grid
+    n, n_bad = (F.max(F.when(F.col("level") == 0, F.col(c))).over(rule) for c in ("k", "bad"))
+    cost, caught = F.col("k") / F.greatest("n", F.lit(1)), F.col("bad") / F.greatest("n_bad", F.lit(1))
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("tolerance")) for i, t in enumerate(TOLERANCES)])
+    return levels.withColumns({"n": n, "n_bad": n_bad}).filter((F.col("level") > 0) & (caught > cost)) \
+        .select("stratum", "rule", "level", "bad", cost.alias("cost"), F.inline(steps)).filter("cost <= tolerance") \
+        .groupBy("stratum", "step").agg(*[
+            F.max_by(F.when(F.col("rule") == r, F.col("level")),
+                     F.when(F.col("rule") == r, F.struct("bad", "level"))).alias(f"set_{r}") for r in RULES])
+
+
 def cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per stratum one column a rule with its cutoff (null: none), from labelled rows.
 
-    ``holdout`` has stratum, good (boolean) and the counts.
+    ``holdout`` has stratum, good and orders (booleans), and the counts.
     """
-    def reached(rule: str) -> Column:
+    def level(rule: str) -> Column:
         """How many of the rule's cutoffs a document exceeds."""
         value = ratio(rule)
-        above = F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda cutoff: value > cutoff)
-        return F.struct(F.lit(rule).alias("rule"), F.size(above).alias("level"))
-
-    levels = save(holdout.select("stratum", "good", F.inline(F.array(*map(reached, RULES))))
-                  .groupBy("stratum", "good", "rule", "level").count())
-    n_strata = max(1, levels.select("stratum").distinct().count())
-    # a document that reaches a level exceeds that level's cutoff and all cutoffs below it
-    tests = levels.select("stratum", "rule", F.explode(F.sequence(F.lit(0), "level")).alias("level"),
-                          F.when(F.col("good"), F.col("count")).otherwise(0).alias("k"),
-                          F.when(F.col("good"), 0).otherwise(F.col("count")).alias("bad")) \
-        .groupBy("stratum", "rule", "level").agg(F.sum("k").alias("k"), F.sum("bad").alias("bad"))
-    # every grid level is tested, also one that no document reaches
-    grid = tests.filter("level = 0").select("stratum", "rule", F.col("k").alias("n"), F.col("bad").alias("n_bad"))
-    sizes = F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*map(F.lit, RULES[r][2])))])
-    grid = grid.select("*", F.posexplode(sizes[F.col("rule")]).alias("level", "cutoff")) \
-        .withColumn("level", F.col("level") + 1)
-    tests = grid.join(tests, (grid["stratum"].eqNullSafe(tests["stratum"])) & (grid["rule"] == tests["rule"])
-                      & (grid["level"] == tests["level"]), "left") \
-        .select(grid["stratum"], grid["rule"], grid["level"], "cutoff", "n", "n_bad",
-                F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    passes = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) \
-        <= F.lit(delta / len(RULES) / n_strata)
-    loosest_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("level"))
+        return F.size(F.filter(F.array(*map(F.lit, RULES[rule][2])), lambda cutoff: value > cutoff))
+
+    names = [f"level_{r}" for r in RULES]
+    # documents of the same levels are one row from here on, so no stratum is hot
+    rows = save(holdout.select("stratum", "good", "orders", *[level(r).alias(f"level_{r}") for r in RULES])
+                .groupBy("stratum", "good", "orders", *names).count())
+    tested = rows.filter("not orders")
+    enough = tested.filter("good").groupBy("stratum").agg(F.sum("count").alias("n")) \
+        .filter(F.pow(F.lit(1 - alpha), F.col("n")) <= delta)
+    n_strata = max(1, enough.count())
+    sets = rule_sets(rows.filter("orders")).withColumnRenamed("stratum", "of")
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | F.coalesce(F.col(f"level_{r}") >= F.col(f"set_{r}"), F.lit(False))
+
+    def total(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("count")).otherwise(0))
+
+    chosen = [f"set_{r}" for r in RULES]
+    tests = tested.join(sets, tested["stratum"].eqNullSafe(sets["of"])).groupBy("stratum", "step", *chosen).agg(
+        total(F.col("good")).alias("n"), total(F.col("good") & rejected).alias("k"),
+        total(~F.col("good")).alias("n_bad"), total(~F.col("good") & rejected).alias("bad"))
+    passes = binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta / n_strata)
+    loosest_first = Window.partitionBy("stratum").orderBy("step")  # one row a step
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - F.col("k") / F.greatest("n", F.lit(1))
-    valid = tests.withColumn("passes", passes) \
-        .withColumn("valid", F.min("passes").over(loosest_first)).filter("valid") \
-        .withColumn("gain", gain).filter("gain > 0")
-    return valid.groupBy("stratum").agg(*[
-        F.max_by(F.when(F.col("rule") == r, F.col("cutoff")),
-                 F.when(F.col("rule") == r, F.struct("gain", "cutoff"))).alias(f"cut_{r}") for r in RULES])
+    best = tests.withColumn("passes", passes).withColumn("valid", F.min("passes").over(loosest_first)) \
+        .filter("valid").withColumn("gain", gain).filter("gain > 0") \
+        .groupBy("stratum").agg(F.max_by(F.struct(*chosen), F.struct("gain", -F.col("step"))).alias("best"))
+    return best.select("stratum", *[
+        F.get(F.array(*map(F.lit, RULES[r][2])), F.col(f"best.set_{r}") - 1).alias(f"cut_{r}") for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text",
@@ -171,7 +213,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     good = labels.select(F.col(key).alias("key"), F.col(label).alias("q")).filter("q is not null") \
         .groupBy("key").agg((F.min("q") > 0).alias("good"))
     holdout = rows.filter(~F.col("base_failed")).join(good, "key")
-    cuts = save(cutoffs(holdout.select("stratum", "good", *COUNTS), alpha, delta))
+    cuts = save(cutoffs(holdout.select("stratum", "good", orders(F.col("key")).alias("orders"), *COUNTS), alpha, delta))
     few = cuts.limit(MAX_STRATA + 1).count() <= MAX_STRATA
     cuts = cuts.withColumnRenamed("stratum", "of")
     cuts = F.broadcast(cuts) if few else cuts
