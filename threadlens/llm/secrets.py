@@ -2,7 +2,8 @@
 
 Three patterns find base spans (``assign``, ``access``, ``hex``). Beyond them,
 a value that stands where a credential would (after a credential word and a
-colon, an equals sign or "is", or before the @ of a URL) is reported as
+colon, an equals sign or "is", after "bearer" and a blank if it looks like a
+token, or before the @ of a URL) is reported as
 ``guess`` if guessing it is costly enough: a dynamic programme over the value's
 positions finds the cheapest segmentation into dictionary words, dates,
 repeats, keyboard walks and brute-force spans, in log10 of guesses, with one
@@ -47,8 +48,11 @@ MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 _CREDENTIAL = r"(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|api_?key|credentials?|auth|bearer" \
     r"|private_?key|access_?key|client_?secret)"
-#: Up to the value. Groups: the sign before it (none for "is"), and the quote that opens it.
-CONTEXT = re.compile(rf"""(?<![A-Za-z0-9]){_CREDENTIAL}(?:["']?\x20{{0,8}}([:=])|\x20{{1,8}}is(?=\x20))"""
+#: What follows "bearer" as a token: 16 characters or more with a digit, so no plain word.
+_TOKEN = r"(?=[A-Za-z0-9._~+/-]{16})(?=[A-Za-z._~+/-]*[0-9])"
+#: Up to the value. Groups: the sign before it (none for "is" and a blank), and the quote that opens it.
+CONTEXT = re.compile(rf"""(?<![A-Za-z0-9]){_CREDENTIAL}"""
+                     rf"""(?:["']?\x20{{0,8}}([:=])|\x20{{1,8}}is(?=\x20)|(?<=bearer)\x20{{1,8}}{_TOKEN})"""
                      r"""\x20{0,8}(["']?)(?=[!-~])""", re.IGNORECASE | re.ASCII)
 #: A value and its closing quote; a backslash keeps the character after it from closing.
 QUOTED = {'"': re.compile(r'(?:[!#-\[\]-~]|\\[!-~])*+"'), "'": re.compile(r"(?:[!-&(-\[\]-~]|\\[!-~])*+'")}
@@ -79,8 +83,10 @@ ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 #: Groups: first number, separator, second and third number.
-DATE = re.compile(r"(\d{1,4})([-/._ ]?)(\d{1,2})\2(\d{1,4})")
-YEAR = re.compile(r"(?:19|20)\d\d")
+DATE = re.compile(r"(\d{1,4})([-/._ ])(\d{1,2})\2(\d{1,4})", re.ASCII)
+#: Digits of the first and second number of a date without separators, by its length.
+DATE_SPLITS = {6: [(2, 2)], 8: [(4, 2), (2, 2)]}
+YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 
 
 def keyboard() -> dict[str, set[str]]:
@@ -121,13 +127,20 @@ class GuessCost:
         return math.log10(rank + 1) + extra
 
     @staticmethod
-    def _date(m: re.Match) -> float | None:
-        a, b, c = m[1], m[3], m[4]
-        year, days = (a, (b, c)) if len(a) == 4 else (c, (a, b))
-        if len(year) not in (2, 4) or not all(1 <= int(x) <= 31 for x in days) or min(map(int, days)) > 12:
+    def _date(part: str) -> float | None:
+        """Price of the cheapest reading of ``part`` as a date: two-digit years, or four-digit ones at either end."""
+        if (m := DATE.fullmatch(part)):
+            readings, extra = [(m[1], m[3], m[4])], math.log10(4)
+        elif part.isascii() and part.isdigit():
+            readings, extra = [(part[:a], part[a:a + b], part[a + b:]) for a, b in DATE_SPLITS.get(len(part), [])], 0.0
+        else:
             return None
-        span = max(abs(int(year) - 2000), 20) if len(year) == 4 else 100
-        return math.log10(365 * span) + (math.log10(4) if m[2] else 0.0)
+        prices = []
+        for a, b, c in readings:
+            year, days = (a, (b, c)) if len(a) == 4 else (c, (a, b))
+            if len(year) in (2, 4) and all(len(x) <= 2 and 1 <= int(x) <= 31 for x in days) and min(map(int, days)) <= 12:
+                prices.append(math.log10(365 * (max(abs(int(year) - 2000), 20) if len(year) == 4 else 100)) + extra)
+        return min(prices, default=None)
 
     def __call__(self, value: str) -> float:
         n = len(value)
@@ -151,10 +164,9 @@ class GuessCost:
                     offer(i, j, price)
             if (m := YEAR.match(value, i)):
                 offer(i, m.end(), math.log10(max(abs(int(m[0]) - 2000), 20)))
-            for width in (6, 7, 8, 9, 10):
-                m = DATE.fullmatch(value, i, min(n, i + width))
-                if m and (price := self._date(m)) is not None:
-                    offer(i, m.end(), price)
+            for width in (6, 7, 8, 9, 10) if value[i].isdigit() else ():
+                if i + width <= n and (price := self._date(value[i:i + width])) is not None:
+                    offer(i, i + width, price)
             if walk[i] >= 2 and (i == 0 or walk[i - 1] == 0):  # walks and repeats start where they may
                 turns = 0.0
                 for j in range(i + 2, i + walk[i] + 1):
