@@ -141,3 +141,37 @@ def test_segments_cover_every_window_once_and_equal_windows_share_a_gram(length,
                 seen.append(w)
                 assert grams.setdefault(tuple(symbols[w:w + length]), x) == x
     assert seen == list(range(len(symbols) - length + 1))
+
+
+def test_longer_grams_are_prefixes_that_equal_windows_share():
+    rng = np.random.default_rng(5)
+    symbols = np.concatenate([rng.integers(0, 2, 500), np.zeros(200, np.int64)]).astype(np.uint64)
+    known, seen = {}, []
+    for h, lo, n in windows.segments(symbols, 8, 50, (16, 32)):
+        for x, i, m in zip(h, lo, n):
+            for w in range(i, i + m):
+                seen.append(w)
+                window = symbols[w:w + 50].tolist()
+                assert known.setdefault(tuple(window), tuple(x)) == tuple(x)
+                runs = [windows.rolling(symbols[w:w + 50], k) for k in (8, 16, 32)]
+                at = int(np.argmin(runs[0][:19]))
+                assert tuple(x) == tuple(r[at] for r in runs)
+    assert seen == list(range(651))
+
+
+def test_the_key_is_the_shortest_prefix_that_is_not_hot():
+    grams = np.array([[1, 2, 3], [4, 2, 3], [1, 5, 3], [1, 2, 6], [7, 8, 9]], np.uint64)
+    hot, shared = np.array([1, 2, 3], np.uint64), np.array([1, 2, 3, 4, 6], np.uint64)
+    level, take = windows.keys_of(grams, shared, hot)
+    assert level.tolist() == [3, 0, 1, 2, 0] and take.tolist() == [True, True, False, True, False]
+
+
+def test_most_removed_words_are_found_by_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame(made_rows(), "doc_id long, text string")
+
+    def words_removed():
+        return suffixtree.dedup(docs, with_text=False).groupBy().sum("n_removed").first()[0]
+
+    whole = words_removed()
+    monkeypatch.setattr(suffixtree, "mark", lambda payloads, n, first: np.full(n.sum(), np.iinfo(np.int64).max))
+    assert words_removed() < 0.2 * whole

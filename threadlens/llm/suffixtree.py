@@ -3,13 +3,16 @@
 A word is removed if a window of ``LENGTH`` words that covers it also starts in a
 document with a smaller id. All suffixes of all documents would make one
 generalised suffix tree; its deep internal nodes (those at a depth of LENGTH
-words or more) are the repeats sought. The tree is built in parts: suffixes are
-dealt out by a gram, the one with the least hash among those of their first LENGTH
-words (not a prefix); suffixes whose gram no other document has are leaves and go
-nowhere, and a gram that too many documents share is split further, by the longest
-prefix that matters, the whole window. So every part fits in memory, and each
-repeat lies in one part. Whole copies of a text (by hash), copies of a segment and
-windows of hot grams are settled without a tree (``windows.removed``).
+words or more) are the repeats sought. The tree is built in parts by prefixes of
+variable length. A suffix goes with the anchor among its first words: the suffix
+starting there whose first 8 words have the least hash, so that neighbours mostly
+share an anchor and travel as one segment. Parts are prefixes of anchors: 8 words,
+and where more documents share them than a part may hold (counted beforehand), 16,
+then 32, and last the whole window. Prefixes of one document only are leaves
+and go nowhere. So every part fits in memory, and each repeat lies in one part.
+Trees are built twice: over the suffixes of a group of documents, so that a repeat
+leaves the group once, and over what is left, by prefix. Only whole copies of
+a text (by hash) are settled without a tree (``windows.removed``).
 
 A part's tree is held as its sorted leaves and the longest common prefixes of
 neighbours: the internal nodes are the intervals of neighbours that share a
@@ -64,7 +67,7 @@ def leaves(sequence: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> tup
 
 
 def mark(payloads: list[bytes], n: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bits of each segment's windows that also start in a segment with a smaller first document."""
+    """The smallest document below the deep node of each window of the segments, in order."""
     ids: dict[bytes, int] = {}
     number, lengths = [], []
     for payload in payloads:
@@ -80,11 +83,9 @@ def mark(payloads: list[bytes], n: np.ndarray, first: np.ndarray) -> np.ndarray:
     node = np.concatenate([[0], np.cumsum(common < LENGTH)])
     where = np.searchsorted(at, order, side="right") - 1
     start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    least = np.minimum.reduceat(first[where], start)[node]
-    late = first[where] > least
-    bits = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(bits, where[late], np.int64(1) << (order[late] - at[where[late]]))
-    return bits
+    least = np.empty(len(order), np.int64)
+    least[(np.cumsum(n) - n)[where] + order - at[where]] = np.minimum.reduceat(first[where], start)[node]
+    return least
 
 
 _FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),

@@ -4,13 +4,17 @@ A window is ``LENGTH`` consecutive symbols (words or bytes) of one document. Its
 gram is the one with the least hash among the runs of ``gram`` symbols inside
 it, so equal windows have equal grams, and neighbouring windows mostly share
 theirs: a run of windows with one gram is a segment, and a document has far
-fewer segments than windows.
+fewer segments than windows. A unit with ``longer`` lengths takes the gram among
+the places where a run of the longest of them, too, lies inside the window: the
+gram is then a prefix of the suffix that starts there, and the longer runs are
+longer prefixes of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import compress
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +83,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
 
 
+def sliding_first(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the leftmost least of every ``width`` neighbours is, by doubling."""
+    at, size = np.arange(len(x)), 1
+    while size < width:
+        shift = min(size, width - size)
+        a, b = at[:-shift], at[shift:]
+        at = np.where(x[b] < x[a], b, a)
+        size += shift
+    return at
+
+
 def within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which of ``x`` are among the sorted values."""
     if not len(ordered):
@@ -86,13 +101,26 @@ def within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def segments(symbols: np.ndarray, gram: int, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, first window, number of windows) of the segments, in chunks."""
+def segments(symbols: np.ndarray, gram: int, length: int = LENGTH,
+             longer: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram hash, first window, number of windows) of the segments, in chunks.
+
+    With ``longer`` lengths, rising, the hashes are rows: of the gram, and of the
+    longer runs that start with it.
+    """
     windows = len(symbols) - length + 1
+    width = length - (longer[-1] if longer else gram) + 1  # places of the gram in a window
     for lo in range(0, max(windows, 0), _CHUNK):
         hi = min(windows, lo + _CHUNK)
-        least = sliding_least(rolling(symbols[lo:hi + length - 1], gram), length - gram + 1)
-        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        part = symbols[lo:hi + length - 1]
+        if longer:
+            at = sliding_first(rolling(part, gram)[:hi - lo + width - 1], width)
+            least = np.stack([rolling(part, k)[at] for k in (gram, *longer)], axis=1)
+            new = (least[1:] != least[:-1]).any(axis=1)
+        else:
+            least = sliding_least(rolling(part, gram), width)
+            new = least[1:] != least[:-1]
+        start = np.flatnonzero(np.concatenate([[True], new]))
         n = np.diff(np.append(start, hi - lo))
         pieces = -(-n // MOST)
         if (pieces > 1).any():  # repetitive text: one gram for long
@@ -105,7 +133,8 @@ def segments(symbols: np.ndarray, gram: int, length: int = LENGTH) -> Iterator[t
 class Bytes:
     """A text as its UTF-8 bytes."""
 
-    gram = 20
+    gram, longer = 20, ()
+    in_group, in_part = False, 2
 
     def __init__(self):
         self.table = byte_symbols()
@@ -128,7 +157,8 @@ class Bytes:
 class Words:
     """A text as its words: runs of anything but the six ASCII separators."""
 
-    gram = 8
+    gram, longer = 8, (16, 32)
+    in_group, in_part = True, 1
 
     def __init__(self):
         self.known = WordSymbols()
@@ -151,16 +181,83 @@ class Words:
 #: Text a group of documents holds, and text whose grams one task of the filter counts, in bytes.
 GROUP_BYTES = 2 << 20
 PART_BYTES = 16 << 20
-#: A gram that more documents share is hot: each of its windows is then a key of its own.
+#: A part holds the segments of at most so many documents. A gram that more share is hot: the next longer
+#: one decides, in the end the whole window.
 HOT = 20_000
 #: Distinct segments that are indexed together, in bytes, and the rows that refer to them.
 INDEX_BYTES, INDEX_ROWS = 1 << 20, 200_000
+#: Rows of one key that wait for their marks.
+PLACES = 400_000
 #: The mask of a text that loses all its windows.
 EVERY = -1
 _SEGMENTS = "key long, payload binary, n int, doc long, dkey long, lo long, mask long"
 _SPANS = "doc long, dkey long, lo long, mask long"
 
 
+def keys_of(grams: np.ndarray, wanted: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a segment's lengths (columns) is its key, and whether others share it.
+
+    The shortest that is not hot; one past the last column if all are.
+    """
+    hot = within(grams.ravel(), often).reshape(grams.shape)
+    level = np.argmin(np.concatenate([hot, np.zeros((len(hot), 1), bool)], axis=1), axis=1)
+    key = grams[np.arange(len(grams)), np.minimum(level, grams.shape[1] - 1)]
+    return level, within(key, wanted)
+
+
+class Bundle:
+    """Segments of some keys, the places that hold them, and the marks of those places.
+
+    Only segments whose key has ``several`` go through ``mark``; copies of any other
+    are told by its first document.
+    """
+
+    def __init__(self, mark: Callable, several: int):
+        self.mark, self.several = mark, several
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.n: list[int] = []
+        self.first: list[int] = []
+        self.keys: list[int] = []
+        self.places: list[tuple[int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, key: int, payload: bytes, n: int, doc: int, dkey: int, lo: int) -> None:
+        i = self.ids.setdefault(payload, len(self.ids))
+        if i == len(self.first):
+            self.n.append(n)
+            self.first.append(doc)
+            self.keys.append(key)
+            self.size += len(payload)
+        elif doc < self.first[i]:
+            self.first[i] = doc
+        self.places.append((i, doc, dkey, lo))
+
+    def marks(self) -> tuple[np.ndarray, ...]:
+        """Segment, doc, dkey, lo of every place, and its windows that also start in a smaller document, as bits."""
+        if not self.places:
+            return tuple(np.zeros((5, 0), np.int64))
+        n = np.array(self.n, np.int64)
+        first, base = np.array(self.first, np.int64), np.cumsum(n) - n
+        least = np.repeat(first, n)
+        _, where, many = np.unique(np.array(self.keys, np.int64), return_inverse=True, return_counts=True)
+        use = many[where] >= self.several
+        if use.any():
+            least[np.repeat(use, n)] = self.mark(list(compress(self.ids, use)), n[use], first[use])
+        of, doc, dkey, lo = np.array(self.places, np.int64).T
+        bits = (np.int64(1) << n[of]) - 1  # of a copy that is not left to ``mark``
+        lead = np.flatnonzero((doc == first[of]) | (self.several == 1))
+        for some in np.array_split(lead, -(-len(lead) // 16384)):
+            m = n[of[some]]
+            start = np.cumsum(m) - m
+            offset = np.arange(m.sum()) - np.repeat(start, m)
+            late = np.repeat(doc[some], m) > least[np.repeat(base[of[some]], m) + offset]
+            bits[some] = np.add.reduceat(late.astype(np.int64) << offset, start)
+        return of, doc, dkey, lo, bits
+
+
 def _unpack(parts: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype)
 
@@ -175,9 +272,9 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     """Find every window that also starts in a document with a smaller id, and finish each text.
 
     ``docs`` has doc_id and text; ``unit`` is Words or Bytes. ``mark(payloads, n, first)``
-    indexes distinct segments whose first documents are ``first`` and tells for
-    each, as bits, which of its windows also start in a segment with a smaller
-    first document. ``finish(table, covered)`` turns a group of documents, and for
+    indexes distinct segments of ``n`` windows, held by documents the smallest of which
+    are ``first``, and tells for each window, in order, the smallest document that it
+    starts in. ``finish(table, covered)`` turns a group of documents, and for
     each the array of its removed units (None: none), into the result.
 
     Documents are dealt into groups by a hash, with one shuffle of the texts that
@@ -185,13 +282,16 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
     told apart first, by two hashes and their length: all their windows go, and
     they take no part in what follows. 1) A group's distinct grams, as packed numbers, go to the
     part of their hash, which tells each group those that other documents have,
-    too. 2) Groups send the segments of such grams to the gram's hash, whole;
-    of copies within a group only the first goes, the others are marked at once.
-    3) There segments are indexed and marked. 4) The marks go back to the groups.
+    too, and those that are hot. 2) Groups index and mark the segments of such grams among themselves
+    and send those with windows left to the key's hash, whole. The key is the
+    gram, or the shortest longer one that is not hot. 3) There segments are indexed
+    and marked. 4) The marks go back to the groups.
     Grams are compared by hash, which may only let needless segments through;
     windows are compared by content, but for those of whole copies, which are equal
     by hash. A row is known by its doc_id and a hash of its text, so that rows of
-    different ids are never mixed up. ``mark`` sees distinct segments of grams that are not hot, nothing else.
+    different ids are never mixed up. If ``unit.in_group`` is set and ``unit.in_part`` is 1, all
+    marks but those of whole copies come from ``mark``. Else step 2 only looks for copies of segments, and
+    step 3 indexes the segments of keys that have at least ``in_part``.
     """
     rows = docs.select("doc_id", "text", row_hash("doc_id", "text").alias("dkey"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -207,7 +307,7 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
         copied = set(zip(copies["of"].to_pylist(), copies["copy"].to_pylist())) if "copy" in copies.column_names else ()
         for doc, dkey, text in zip(*(table[c] for c in ("doc_id", "dkey", "text"))) if len(table) else ():
             if doc.is_valid and text.is_valid and (doc.as_py(), dkey.as_py()) not in copied:
-                own = [h for h, _, _ in segments(u.symbols(u.units(text.as_py())), u.gram, length)]
+                own = [h.ravel() for h, _, _ in segments(u.symbols(u.units(text.as_py())), u.gram, length, u.longer)]
                 if own:
                     found.append(np.unique(gram_of(np.concatenate(own))))
         gram, count = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
@@ -239,7 +339,7 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
         if "doc_id" in table.column_names and "shared" in told.column_names:
             wanted, often = (np.sort(_unpack([x.as_py() for x in told[c].drop_null()], "<u8")) for c in ("shared", "hot"))
             copied = {x for x in zip(told["of"].to_pylist(), told["copy"].to_pylist()) if x[1] is not None}
-            u, least = unit(), {}
+            u, sent = unit(), []
             for doc, dkey, text in sorted(zip(table["doc_id"].to_pylist(), table["dkey"].to_pylist(), table["text"]),
                                           key=lambda r: (r[0] is None, r[0] or 0)):
                 if doc is None or not text.is_valid:
@@ -248,56 +348,49 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                     out.append((dkey, None, 0, doc, dkey, 0, EVERY))
                     continue
                 units = u.units(text.as_py())
-                for h, lo, n in segments(u.symbols(units), u.gram, length):
-                    g = gram_of(h)
-                    in_hot = within(g, often)
-                    take = within(g, wanted) & ~in_hot
-                    for k, i, m in zip(h[take].view(np.int64).tolist(), lo[take].tolist(), n[take].tolist()):
-                        segment = u.cut(units, i, i + m + length - 1)
-                        if least.setdefault(segment, doc) == doc:
-                            out.append((k, segment, m, doc, dkey, i, 0))
-                        else:  # a copy of one in a smaller document of this group: a mark already
-                            out.append((dkey, None, 0, doc, dkey, i, (1 << m) - 1))
-                    for first, m in zip(lo[in_hot].tolist(), n[in_hot].tolist()):
-                        settled = 0
+                for h, lo, n in segments(u.symbols(units), u.gram, length, u.longer):
+                    h = h.reshape(len(lo), -1)
+                    level, take = keys_of(gram_of(h), wanted, often)
+                    short = take & (level < h.shape[1])
+                    for k, i, m in zip(h[short, level[short]].view(np.int64).tolist(), lo[short].tolist(), n[short].tolist()):
+                        sent.append((k, u.cut(units, i, i + m + length - 1), m, doc, dkey, i))
+                    for first, m in zip(lo[take & ~short].tolist(), n[take & ~short].tolist()):
                         for i in range(first, first + m):
                             window = u.cut(units, i, i + length)
-                            if least.setdefault(window, doc) == doc:
-                                k = xxhash.xxh64_intdigest(window, 11)
-                                out.append((k - (1 << 63), window, 1, doc, dkey, i, 0))
-                            else:
-                                settled |= 1 << i - first
-                        if settled:
-                            out.append((dkey, None, 0, doc, dkey, first, settled))
+                            sent.append((xxhash.xxh64_intdigest(window, 11) - (1 << 63), window, 1, doc, dkey, i))
+            # marks within the group first: what is left of it goes on
+            for row, bits in marked(sent, u.in_group):
+                if bits:
+                    out.append((row[4], None, 0, row[3], row[4], row[5], bits))
+                if bits != (1 << row[2]) - 1:
+                    out.append((*row, 0))
         columns = list(zip(*out)) or [[]] * 7
         types = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
                         ["key", "payload", "n", "doc", "dkey", "lo", "mask"])
 
+    def marked(sent: list[tuple], indexed: bool) -> Iterator[tuple[tuple, int]]:
+        """The rows of a group, which come by rising document, each with the bits of its marks."""
+        if not indexed:
+            least: dict[bytes, int] = {}
+            for row in sent:
+                yield row, 0 if least.setdefault(row[1], row[3]) == row[3] else (1 << row[2]) - 1
+            return
+        sent.sort(key=itemgetter(0))
+        bundle, lo = Bundle(mark, 1), 0
+        for hi in range(1, len(sent) + 1):
+            bundle.add(*sent[hi - 1])
+            if hi == len(sent) or bundle.size > INDEX_BYTES and sent[hi][0] != sent[hi - 1][0]:
+                yield from zip(sent[lo:hi], bundle.marks()[-1].tolist())
+                bundle.clear()
+                lo = hi
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        windows_of: list[int] = []
-        first: list[int] = []
-        keys: list[int] = []
-        refer: list[tuple] = []
-        size, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            n = np.array(windows_of, np.int64)
-            masks = np.zeros(len(ids), np.int64)
-            # a gram with one segment only has copies of it, which need no index
-            _, where, many = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
-            several = np.flatnonzero(many[where] > 1)
-            if len(several):
-                payloads = list(ids)
-                masks[several] = mark([payloads[i] for i in several.tolist()], n[several],
-                                      np.array(first, np.int64)[several])
-            of, doc, dkey, lo = (np.array(c, np.int64) for c in (zip(*refer) if refer else [[]] * 4))
-            every = (np.int64(1) << n) - 1
-            # a later copy of a segment loses all its windows
-            found = np.where(doc > np.array(first, np.int64)[of], every[of], masks[of]) if len(of) else of
-            hit = found != 0
-            return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (doc, dkey, lo, found)],
+        bundle, last = Bundle(mark, unit.in_part), None
+
+        def found() -> pa.RecordBatch:
+            _, *place, bits = bundle.marks()
+            return pa.RecordBatch.from_arrays([pa.array(x[bits != 0]) for x in (*place, bits)],
                                               ["doc", "dkey", "lo", "mask"])
 
         for batch in batches:
@@ -307,23 +400,19 @@ def removed(docs: DataFrame, unit: type, mark: Callable, finish: Callable, schem
                 if payload is None:
                     settled.append((doc, dkey, lo, mask))
                     continue
-                if key != last and (size > INDEX_BYTES or len(refer) > INDEX_ROWS):
-                    yield flush()
-                    ids, windows_of, first, keys, refer, size = {}, [], [], [], [], 0
+                if key != last and (bundle.size > INDEX_BYTES or len(bundle.places) > INDEX_ROWS):
+                    yield found()
+                    bundle.clear()
+                elif len(bundle.places) > PLACES:
+                    # a key's rows come by rising document, so later ones change no mark
+                    yield found()
+                    bundle.places = []
                 last = key
-                i = ids.setdefault(payload, len(ids))
-                if i == len(first):
-                    windows_of.append(n)
-                    first.append(doc)
-                    keys.append(key)
-                    size += len(payload)
-                elif doc < first[i]:
-                    first[i] = doc
-                refer.append((i, doc, dkey, lo))
+                bundle.add(key, payload, n, doc, dkey, lo)
             if settled:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*settled)],
                                                  ["doc", "dkey", "lo", "mask"])
-        yield flush()
+        yield found()
 
     def end(key: tuple, table: pa.Table, spans: pa.Table) -> pa.Table:
         u = unit()
