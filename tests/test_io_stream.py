@@ -37,3 +37,12 @@ def test_stream_equals_batch(spark):
     batch = ST.stream_text_features(batch_src.withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
     assert streamed == sorted(tuple(r) for r in batch.collect())
     assert len(streamed) == batch_src.count()
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    from threadlens.plans import QUERIES
+
+    spark.read.parquet(f"{SF01}/documents.parquet").limit(40).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF01}/embeddings.parquet").limit(40).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("stream_clean_stats", "stream_fusion_scores", "stream_head_scores"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 40, name
