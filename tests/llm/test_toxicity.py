@@ -78,3 +78,33 @@ def test_held_out_scores(spark):
     assert np.mean([r.predicted == r.toxic for r in learnt]) > 0.95
     held = [r for r in rows if r.held_out]
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.85
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda rows, shares: (rows, shares))
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    few = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    rows, shares = toxicity.fit(docs, few)
+    assert len(rows) == 4000 and set(shares.values()) == {1.0}
+    learnt = []
+    monkeypatch.setattr(toxicity, "train_shards", lambda rows: learnt.append(rows.count()))
+    toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(6000)], "doc_id long, toxic int"))
+    assert learnt == [6000]
+
+
+def test_shards_learn_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "VISITS", 3000)
+    def texts(n, seed):
+        rng = np.random.default_rng(seed)
+        return [(i, " ".join(f"w{j}" for j in rng.integers(0, 500, 40)) + (f" vile w{i % 9}" if i % 5 == 0 else ""), ("en", "de")[i % 2])
+                for i in range(n)]
+    rows = spark.createDataFrame(texts(900, 0), "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "SHARD", 300)
+    model = toxicity.fit(rows, labels)
+    again = toxicity.fit(rows, labels)
+    assert all(np.array_equal(v, again.network.state[k]) for k, v in model.network.state.items())
+    assert model.thresholds == again.thresholds and set(model.thresholds) == {"en", "de"}
+    hashes = toxicity.Hashes()
+    assert np.mean([(model.score(hashes.of(t)) >= 0.5) == (i % 5 == 0) for i, t, _ in texts(400, 1)]) > 0.95
