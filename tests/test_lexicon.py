@@ -60,3 +60,34 @@ def test_no_nested_loop_join(spark):
     df = spark.createDataFrame([(1, "the rest")], "id long, t string")
     plan = lexicon_vector(df, "id", "t", lex)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_found_keys_count_as_tokens_do(spark):
+    """Vectors, counts and the row-wise vector agree with matching each token, whatever the patterns."""
+    from pyspark.sql import functions as F
+    from threadlens import functions as tf
+    from threadlens.operators import lexicon as LX
+
+    texts = ["The thread, their THE of re-run ret_1 and 've théâtre", "", None, "of of ofthe x1 1x Ünder under \U0001F600the", " a  b "]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, c string")
+    for pairs in ([("th*", "a"), ("the", "b"), ("of", "b"), ("of", "a"), ("ün*", "c"), ("1*", "c"), ("a b", "b"), (" ", "a")],
+                  [("*", "a"), ("the", "b")], [("zzz", "a")], [("'ve", "a")], [("", "a"), ("x*", "b")]):
+        lex = LX.lexicon_from_pairs(spark, pairs, ["a", "b", "c"])
+        toks = d.select("id", F.explode(tf.lexicon_tokens("c")).alias("tok"))
+        want = {(r.id, r.category): r.n for r in LX.match_tokens(toks, "tok", lex).groupBy("id", "category").agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        assert {(r.id, r.category): r.n for r in LX.lexicon_counts(d, "id", "c", lex).collect()} == want, pairs
+        for got in (LX.lexicon_vector(d, "id", "c", lex), d.select("id", LX.lexicon_array("c", lex).alias("lex_vec"))):
+            assert {r.id: r.lex_vec for r in got.collect()} == {
+                i: [want.get((i, c), 0) for c in "abc"] for i in range(len(texts))}, pairs
+
+
+def test_spark_classes_hold_the_same_characters(spark):
+    from pyspark.sql import functions as F
+    from threadlens.functions import patterns as P
+
+    every = spark.range(0x110000).filter("id < 55296 or id >= 57344").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    for plain, fast in ((f"[{P.WS}]", P.WS_SPARK), (P.DIGIT, P.DIGIT_SPARK), (P.EMOJI_BASE, P.EMOJI_BASE_SPARK),
+                        (P.LEXICON_CHAR, P.LEXICON_CHAR_SPARK)):
+        assert every.filter(F.col("c").rlike(plain) != F.col("c").rlike(fast)).count() == 0
