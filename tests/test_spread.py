@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import patterns as P
 from threadlens.operators import encode as EN
-from threadlens.plans import QUERIES
+from threadlens.plans import QUERIES, q_io, q_score
 
 TEXTS = ["The man's ten 3rd-rate dogs. See http://a.b/c!", "", None, "und der Ärger — the end", "thr* one, many 12"]
 
@@ -25,6 +25,25 @@ def tables(spark, tmp_path):
         spark.conf.set("threadlens.scanPartitions", old)
 
 
+def tasks(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_features_of_one_row_group_are_computed_in_several_tasks(spark, tables):
+    assert spark.read.parquet(f"{tables}/documents.parquet").rdd.getNumPartitions() == 1
+    assert tasks(q_score.featurized(spark, tables)) > 1
+    assert tasks(q_io.classifier_rows(spark, tables)) > 1
+
+
+def test_only_labelled_documents_are_hashed_and_all_are_counted(spark, tables):
+    lab = spark.read.parquet(f"{tables}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("label"))
+    got = q_score.featurized(spark, tables, lab)
+    want = q_score.featurized(spark, tables).join(lab, "doc_id", "left")
+    want = want.withColumn("x", F.when(F.col("label").isNotNull(), F.col("x"))).select(got.columns)
+    key = lambda r: tuple(map(str, r))
+    assert got.count() == 62 and sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
 @pytest.mark.parametrize("name", ["labelled_samples", "unlabelled_samples", "encode_padded_mask"])
 def test_texts_are_cleaned_once(spark, tables, name):
     plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
