@@ -68,6 +68,62 @@ def test_made_rows(spark, unit, limits, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(rows, unit)
 
 
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_a_key_whose_later_rows_are_all_copies(spark, unit, monkeypatch):
+    """Marks are told while a key's rows are still coming; no row after that may be a segment's first."""
+    monkeypatch.setattr(windows, "INDEX_ROWS", 2)
+    monkeypatch.setattr(windows, "PLACES", 3)
+    operator, symbol = OPERATORS[unit], "x " if unit == "words" else "x"
+    monkeypatch.setattr(operator, "removed", lambda *a: windows.removed(*a, group_bytes=500))
+    rows = [(i, symbol * (49 + windows.MOST * (4 + i))) for i in range(30)]
+    got = operator.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, unit)
+
+
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+@pytest.mark.parametrize("alphabet", [1, 2, 3])
+def test_segments_of_one_key_are_indexed_in_pieces(unit, alphabet, monkeypatch):
+    rng = np.random.default_rng(6)
+    kind, mark = (windows.Words, suffixtree.mark) if unit == "words" else (windows.Bytes, rlindex.mark)
+    segments = {}
+    for _ in range(400):
+        symbols = [b"x"] * int(rng.integers(0, 80)) + [b"abc"[i:i + 1] for i in rng.integers(0, alphabet, 111)]
+        symbols = symbols[:int(rng.integers(50, 112))]
+        segments[(b" " if unit == "words" else b"").join(symbols)] = symbols
+    n, first = np.array([len(x) - 49 for x in segments.values()]), rng.integers(0, 50, len(segments))
+    least = {}
+    for x, doc in zip(segments.values(), first.tolist()):
+        for i in range(len(x) - 49):
+            least[tuple(x[i:i + 50])] = min(doc, least.get(tuple(x[i:i + 50]), doc))
+    monkeypatch.setattr(windows, "INDEX_BYTES", 1000)
+    sizes = []
+
+    def measured(payloads, n, first):
+        sizes.append(sum(map(len, payloads)))
+        return mark(payloads, n, first)
+
+    got = windows.in_pieces(measured, kind(), list(segments), n, first)
+    assert got.tolist() == [least[tuple(x[i:i + 50])] for x in segments.values() for i in range(len(x) - 49)]
+    assert max(sizes) < 0.5 * sum(map(len, segments)) or alphabet == 1
+
+
+def test_a_bundle_indexes_a_large_key_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(windows, "INDEX_BYTES", 1000)
+    sizes = []
+
+    def measured(payloads, n, first):
+        sizes.append(sum(map(len, payloads)))
+        return rlindex.mark(payloads, n, first)
+
+    bundle = windows.Bundle(measured, windows.Bytes, 2)
+    for doc in range(500):
+        around = rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+        bundle.add(1, around[:30] + b"one gram of all rows" + around[30:], 31, doc, doc, 0)
+    *_, bits = bundle.marks()
+    assert not bits.any() and len(sizes) > 1 and max(sizes) <= 3000
+
+
 @pytest.mark.parametrize("unit", ["words", "bytes"])
 def test_rows_whose_hashes_agree_are_not_mixed_up(spark, unit, monkeypatch):
     monkeypatch.setattr(windows, "row_hash", lambda doc_id, text: F.pmod(F.col(doc_id), F.lit(3)).cast("long"))
